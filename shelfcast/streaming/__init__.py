@@ -1,0 +1 @@
+"""Reserved: every supported computation is batch, so no streaming operator exists yet."""
