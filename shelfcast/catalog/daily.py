@@ -22,6 +22,7 @@ from shelfcast.operators import segments as S
 from shelfcast.plans import backtest as BT
 from shelfcast.plans import reports as R
 from shelfcast.schemas import KEYS, SERIES
+from shelfcast.session import written_once
 from shelfcast.sources import fixtures as X
 from shelfcast.sources import tables as T
 
@@ -33,7 +34,7 @@ KEY_SQL = "store_id, sku_id, date"
 # ------------------------------------------------------------------ shared frames
 def panel(spark, d) -> DataFrame:
     """Silver with dimensions and segments, without the forecasting features."""
-    return FE.add_dimensions(X.silver_with_siblings(spark, d), X.products(spark, d), X.stores(spark, d),
+    return FE.add_dimensions(X.silver(spark, d), X.products(spark, d), X.stores(spark, d),
                              X.segments(spark, d))
 
 
@@ -43,8 +44,10 @@ def native_forecasts(spark, d) -> DataFrame:
 
 def forecasts(spark, d) -> DataFrame:
     """Both weekday rules and their mix, with actuals."""
-    fc = native_forecasts(spark, d)
-    return BT.attach_actuals(fc.unionByName(BT.ensemble(fc, RULE, REPEAT)), panel(spark, d))
+    def build():
+        fc = native_forecasts(spark, d)
+        return BT.attach_actuals(fc.unionByName(BT.ensemble(fc, RULE, REPEAT)), panel(spark, d))
+    return written_once(spark, d, "forecasts", build)
 
 
 def scored(spark, d) -> DataFrame:
@@ -58,11 +61,10 @@ def promo_plan(spark, d) -> DataFrame:
 
 
 def policy_costs(spark, d) -> DataFrame:
-    fc = forecasts(spark, d)
-    daily = I.replay_inputs(fc, RULE)
-    first = first_replay_day(spark, d)
-    return I.run_policies(daily, I.recent_average(X.silver(spark, d), first), I.error_spread(BT.scored(fc), RULE, 1),
-                          I.median_cost_price(daily))
+    def build():
+        replayed = I.replay_policies(levels(spark, d))
+        return I.policy_costs(replayed, I.median_cost_price(I.replay_inputs(forecasts(spark, d), RULE)))
+    return written_once(spark, d, "policy_costs", build)
 
 
 def first_replay_day(spark, d):
@@ -79,7 +81,7 @@ def intervals(spark, d) -> DataFrame:
 
 
 def skus(spark, d) -> DataFrame:
-    return P.sku_stats(panel(spark, d), X.bounds(spark, d)[1])
+    return written_once(spark, d, "sku_stats", lambda: P.sku_stats(panel(spark, d), X.bounds(spark, d)[1]))
 
 
 def given_elasticities(spark) -> DataFrame:
@@ -168,7 +170,7 @@ def _(spark, d):
 @register("silver_panel", query("silver", f"""
 SELECT {cols(KEY_SQL + ', units_sold, true_demand, on_promo, discount_pct, stockout_flag, n_sibling_promo', 'regular_price, selling_price, demand_target, demand_filled')} FROM silver"""))
 def _(spark, d):
-    return rounded(X.silver_with_siblings(spark, d).select(
+    return rounded(X.silver(spark, d).select(
         *KEYS, "units_sold", "true_demand", "on_promo", "discount_pct", "stockout_flag", "n_sibling_promo",
         "regular_price", "selling_price", "demand_target", "demand_filled"))
 
@@ -250,24 +252,24 @@ def _(spark, d):
 
 @register("demand_lags", query("gold0", f"SELECT {KEY_SQL}, lag_28, lag_35, lag_42, lag_49, lag_364 FROM gold0"))
 def _(spark, d):
-    return FE.add_demand_history(panel(spark, d)).select(*KEYS, *[f"lag_{n}" for n in (28, 35, 42, 49, 364)])
+    return X.gold(spark, d).select(*KEYS, *[f"lag_{n}" for n in (28, 35, 42, 49, 364)])
 
 
 @register("rolling_demand", query("gold", f"""
 SELECT {cols(KEY_SQL, 'rmean_7, rmean_28, rmean_91, rstd_28, rzero_28')} FROM gold"""))
 def _(spark, d):
-    return rounded(FE.add_demand_history(panel(spark, d)).select(
+    return rounded(X.gold(spark, d).select(
         *KEYS, "rmean_7", "rmean_28", "rmean_91", "rstd_28", "rzero_28"))
 
 
 @register("weekday_mean_and_trend", query("gold", f"SELECT {cols(KEY_SQL, 'dow_mean_4w, trend_ratio')} FROM gold"))
 def _(spark, d):
-    return rounded(FE.add_demand_history(panel(spark, d)).select(*KEYS, "dow_mean_4w", "trend_ratio"))
+    return rounded(X.gold(spark, d).select(*KEYS, "dow_mean_4w", "trend_ratio"))
 
 
 @register("sibling_promotions", query("silver", f"SELECT {KEY_SQL}, on_promo, n_sibling_promo FROM silver"))
 def _(spark, d):
-    return X.silver_with_siblings(spark, d).select(*KEYS, "on_promo", "n_sibling_promo")
+    return X.silver(spark, d).select(*KEYS, "on_promo", "n_sibling_promo")
 
 
 GOLD_PLAIN = (KEY_SQL + ", category, region, segment, on_promo, n_sibling_promo, dow, dom, month, weekofyear, is_weekend, "
@@ -304,7 +306,7 @@ def _(spark, d):
 SELECT count(*) AS rows_checked, count(*) FILTER (a.lag_28 IS DISTINCT FROM b.demand_filled) AS mismatches
 FROM gold0 a LEFT JOIN gold0 b ON b.store_id = a.store_id AND b.sku_id = a.sku_id AND b.date = a.date - 28"""))
 def _(spark, d):
-    return FE.lag_mismatches(FE.add_demand_history(panel(spark, d)))
+    return FE.lag_mismatches(X.gold(spark, d))
 
 
 @register("demeaned_log_price", query("panel", f"""
@@ -312,7 +314,7 @@ SELECT {KEY_SQL}, round(ln(selling_price) - avg(ln(selling_price)) OVER (PARTITI
        CAST(date - min(date) OVER (PARTITION BY category) AS INTEGER) AS days_in
 FROM panel WHERE demand_target IS NOT NULL"""))
 def _(spark, d):
-    dated = C.add_calendar(panel(spark, d), X.HOLIDAYS)
+    dated = X.gold(spark, d)
     first = dated.where(F.col("demand_target").isNotNull()).groupBy("category").agg(F.min("date").alias("first_day"))
     rows = P.design_rows(dated).join(first, "category")
     return rounded(rows.select(*SERIES, F.date_add("first_day", F.round(F.col("t") * 365).cast("int")).alias("date"),
@@ -324,7 +326,7 @@ SELECT fold, cutoff, count(*) FILTER (date <= cutoff AND demand_target IS NOT NU
        count(*) FILTER (date > cutoff AND date <= cutoff + 28) AS test_rows
 FROM gold0, cutoffs GROUP BY ALL"""))
 def _(spark, d):
-    gold = FE.add_demand_history(panel(spark, d))
+    gold = X.gold(spark, d)
     cuts = X.cutoffs(spark, d)
     parts = [BT.training_rows(gold, c).agg(F.count(F.lit(1)).alias("train_rows"))
              .crossJoin(BT.test_window(gold, c).agg(F.count(F.lit(1)).alias("test_rows")))

@@ -14,6 +14,7 @@ from shelfcast.operators import hourly_forecast as HF
 from shelfcast.plans import hourly_backtest as HB
 from shelfcast.plans import hourly_reports as HR
 from shelfcast.schemas import PANEL_KEY, TARGETS, VIEWS
+from shelfcast.session import written_once
 from shelfcast.sources import fixtures as X
 from shelfcast.sources import tables as T
 
@@ -32,7 +33,8 @@ def cutoff(spark, d) -> int:
 
 
 def recovered(spark, d) -> DataFrame:
-    return H.recover_by_profile(prepared(spark, d), cutoff(spark, d), MIN_DAYS)
+    return written_once(spark, d, "recovered",
+                        lambda: H.recover_by_profile(prepared(spark, d), cutoff(spark, d), MIN_DAYS))
 
 
 def loss_table(spark, d) -> DataFrame:
@@ -47,13 +49,17 @@ def framed(spark, d) -> DataFrame:
 
 def simple_predictions(spark, d) -> DataFrame:
     """Two fixed predictors in the shape the learned forecasters use."""
-    cut = cutoff(spark, d)
-    frame = framed(spark, d).where((F.col("day") > cut) & (F.col("day") <= cut + 7)).withColumn("recovered_truth", F.col(COL))
-    parts = [frame.select(F.lit(t).alias("target"), F.lit(TARGETS[t]).alias("training_target"), "store_id", "product_id",
-                          "day", "observed", "recovered_truth", "rec_profile", "hours_stock_status", "sale_group",
-                          F.col(own).alias("own_truth"), F.col(p).alias("pred"))
-             for t, own, p in (("observed", "observed", "rmean_7"), ("rec_profile", "rec_profile", "dow_mean"))]
-    return parts[0].unionByName(parts[1])
+    def build():
+        cut = cutoff(spark, d)
+        rows = framed(spark, d).where((F.col("day") > cut) & (F.col("day") <= cut + 7))
+        choices = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(TARGETS[t]).alias("training_target"),
+                                     F.col(own).alias("own_truth"), F.col(p).alias("pred"))
+                            for t, own, p in (("observed", "observed", "rmean_7"), ("rec_profile", "rec_profile", "dow_mean"))])
+        return (rows.withColumn("c", F.explode(choices))
+                .select("c.target", "c.training_target", "store_id", "product_id", "day", "observed",
+                        F.col(COL).alias("recovered_truth"), "rec_profile", "hours_stock_status", "sale_group",
+                        "c.own_truth", "c.pred"))
+    return written_once(spark, d, "simple_predictions", build)
 
 
 def variants(spark, d) -> DataFrame:
@@ -365,7 +371,7 @@ def _(spark, d):
 @register("scores_by_days_ahead", query("hvariants", f"""
 SELECT cutoff_day, training_target, horizon_days, n, {cols('', SCORE_COLS)} FROM (
   SELECT CAST(cutoff AS INTEGER) AS cutoff_day, training_target, CAST(day - cutoff AS INTEGER) AS horizon_days, {HOURLY_SQL}
-  FROM (SELECT *, rec_profile AS y, p AS f FROM hvariants) GROUP BY 1, 2, 3)"""))
+  FROM (SELECT cutoff, training_target, day, rec_profile AS y, p AS f FROM hvariants) GROUP BY 1, 2, 3)"""))
 def _(spark, d):
     return rounded(HF.horizon_table(variants(spark, d), cutoff(spark, d)))
 

@@ -11,7 +11,7 @@ def _whole_if_close(position: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    accuracy: int = 100_000) -> DataFrame:
+                    accuracy: int = 20_000) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group.
 
     Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
@@ -64,7 +64,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
 
 def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median",
-                 accuracy: int = 100_000) -> DataFrame:
+                 accuracy: int = 20_000) -> DataFrame:
     by = by or []
     return exact_quantiles(df, value, [0.5], by, accuracy).select(*by, F.col("quantile").alias(name))
 

@@ -66,22 +66,35 @@ def croston_levels(panel: DataFrame, cutoffs: list[dt.date], alpha: float = 0.1,
 
     Exponential smoothing over the n sales of a series gives sale k the weight
     ``alpha (1-alpha)^(n-k)`` and the first one ``(1-alpha)^(n-1)``, so the recursion is a plain
-    aggregate of sizes and of gaps between sales. A series without sales forecasts 0.
+    aggregate of sizes and of gaps between sales. Sales are numbered once per series; a fold only
+    changes n, so all folds come out of one shuffle. A series without sales forecasts 0.
     """
-    hist = with_folds(panel.select(*SERIES, "date", F.col(demand).alias("y")), cutoffs)
-    by = Window.partitionBy(*FOLD).orderBy("date")
-    numbered = hist.withColumn("position", F.row_number().over(by))
-    sales = (numbered.where("y > 0")
-             .withColumn("k", F.row_number().over(by))
-             .withColumn("gap", F.col("position") - F.lag("position", 1, 0).over(by))
-             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*FOLD))))
-    weight = (F.pow(F.lit(1 - alpha), F.col("n") - F.col("k"))
-              * F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.lit(alpha)))
-    level = sales.groupBy(*FOLD).agg(F.sum(weight * F.col("y")).alias("z"), F.sum(weight * F.col("gap")).alias("p"))
-    everyone = hist.select(*FOLD, "cutoff").distinct()
-    return (everyone.join(level, FOLD, "left")
-            .select(*FOLD, "cutoff",
-                    F.coalesce(F.lit(1 - alpha / 2) * F.try_divide("z", "p"), F.lit(0.0)).alias("croston_sba")))
+    w = Window.partitionBy(*SERIES).orderBy("date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_sale = F.col("y") > 0
+    rows = (panel.where(F.col("date") <= F.lit(max(cutoffs)))
+            .select(*SERIES, "date", F.col(demand).cast("double").alias("y"))
+            .withColumn("position", F.row_number().over(w))
+            .withColumns({
+                "k": F.sum(is_sale.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                "before": F.max(F.when(is_sale, F.col("position"))).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+            .withColumn("gap", F.col("position") - F.coalesce("before", F.lit(0))))
+    folds = list(enumerate(cutoffs, 1))
+    rows = rows.withColumns({f"n_{i}": F.max(F.when(F.col("date") <= F.lit(c), F.col("k"))).over(whole)
+                             for i, c in folds})
+    sums = []
+    for i, c in folds:
+        known = F.col("date") <= F.lit(c)
+        weight = F.when(known & is_sale, F.pow(F.lit(1 - alpha), F.col(f"n_{i}") - F.col("k"))
+                        * F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.lit(alpha)))
+        sums += [F.sum(weight * F.col("y")).alias(f"z_{i}"), F.sum(weight * F.col("gap")).alias(f"p_{i}"),
+                 F.count(F.when(known, 1)).alias(f"days_{i}")]
+    per_fold = F.array(*[F.struct(
+        F.lit(i).alias("fold"), F.lit(c).alias("cutoff"), F.col(f"days_{i}").alias("days"),
+        F.coalesce(F.lit(1 - alpha / 2) * F.try_divide(f"z_{i}", f"p_{i}"), F.lit(0.0)).alias("croston_sba"))
+        for i, c in folds])
+    return (rows.groupBy(*SERIES).agg(*sums).select(*SERIES, F.explode(per_fold).alias("x"))
+            .where("x.days > 0").select(*SERIES, "x.fold", "x.cutoff", "x.croston_sba"))
 
 
 def croston_sba(panel: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON, alpha: float = 0.1,

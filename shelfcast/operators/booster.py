@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +40,27 @@ class BoosterParams:
 class BoosterModel:
     pipeline: PipelineModel
     features: list[str]
-    trees: list
     encodings: dict[str, DataFrame] = field(default_factory=dict)
-    start: float = 0.0
+
+    @property
+    def trees(self) -> list:
+        return [s for s in self.pipeline.stages if hasattr(s, "featureImportances")]
+
+    @property
+    def indexed(self) -> list[str]:
+        return [c for s in self.pipeline.stages if isinstance(s, StringIndexerModel) for c in s.getInputCols()]
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         """The input columns plus a prediction, which the log link keeps above 0."""
         keep = df.columns
+        originals = {c: F.col(f"{c}__kept").alias(c) for c in self.indexed}
+        df = df.withColumns({f"{c}__kept": F.col(c) for c in self.indexed})
         for c, table in self.encodings.items():
             df = _lookup(df, table, c)
-        out = self.pipeline.transform(_numeric_inputs(df, self.features, list(self.encodings)))
-        return out.select(*keep, F.greatest(F.col("prediction__"), F.lit(0.0)).alias(prediction))
+        numbers = [f for f in self.features if f not in self.indexed]
+        df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.indexed})
+        out = self.pipeline.transform(_numeric_inputs(df, numbers, list(self.encodings)))
+        return out.select(*[originals.get(c, F.col(c)) for c in keep], F.greatest(F.col("prediction__"), F.lit(0.0)).alias(prediction))
 
     def importance(self) -> DataFrame:
         """Share of the trees' gain per input, in percent."""
@@ -71,9 +81,7 @@ class BoosterModel:
 
 def load_booster(spark: SparkSession, path: str, features: list[str], encoded: list[str] | None = None) -> BoosterModel:
     """A saved model, ready to score; ``encoded`` names the inputs that were target-encoded."""
-    pipeline = PipelineModel.load(f"{path}/pipeline")
-    trees = [s for s in pipeline.stages if hasattr(s, "featureImportances")]
-    return BoosterModel(pipeline, features, trees,
+    return BoosterModel(PipelineModel.load(f"{path}/pipeline"), features,
                         {c: spark.read.parquet(f"{path}/encodings/{c}") for c in encoded or []})
 
 
@@ -132,8 +140,10 @@ def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list
     categories = [f for f in features if f in (categorical or []) or types[f] == "string"]
     df = (train.where(F.col(label).isNotNull())
           .select(*dict.fromkeys([*features, *row_key]), F.col(label).cast("double").alias("y__"))
-          .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categories if types[c] == "string"})
-          .withColumn("fold__", F.pmod(F.xxhash64(*row_key, F.lit(p.seed)), F.lit(FOLDS))))
+          .withColumn("fold__", F.pmod(F.xxhash64(*row_key, F.lit(p.seed)), F.lit(FOLDS)))
+          .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categories})
+          .persist())  # the facts, the indexers and the first tree all read it
+    source = df
     facts = df.agg(F.avg("y__").alias("mean"),
                    *[F.approx_count_distinct(c).alias(c) for c in categories]).first()
     start = math.log(max(facts["mean"] or 0.0, 1e-6))
@@ -145,6 +155,7 @@ def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list
             outside, full = _encode_levels(df, c, "y__", p)
             df, encodings[c] = _lookup(df, outside, c, ["fold__"]), cut_lineage(full)
     df = _numeric_inputs(df, [f for f in features if f not in indexed], list(encodings))
+    # encoded categories stay text; only their means become inputs
     stages = []
     if indexed:
         stages.append(StringIndexer(inputCols=indexed, outputCols=[f"{c}__in" for c in indexed],
@@ -173,7 +184,8 @@ def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list
             if r + 1 >= 2:
                 before.unpersist()
     state.unpersist()
+    source.unpersist()
     total = " + ".join(f"tree_{r}__" for r in range(len(trees))) or "0.0"
     link = SQLTransformer(
         statement=f"SELECT *, exp({start!r} + {p.learning_rate!r} * ({total})) AS prediction__ FROM __THIS__")
-    return BoosterModel(PipelineModel([*stages, *trees, link]), features, trees, encodings, start)
+    return BoosterModel(PipelineModel([*stages, *trees, link]), features, encodings)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import arrays as A
 from shelfcast.functions.quantiles import exact_median
 from shelfcast.schemas import OPEN_HOURS, PANEL_KEY, PROFILE_LEVELS
+from shelfcast.session import cut_lineage
 from shelfcast.sources.tables import concat_splits
 
 MIN_SHARE = 0.15
@@ -70,12 +71,12 @@ def _hour(c: str, h: int) -> Column:
 def profile_table(panel: DataFrame, fit: Column, min_days: int = MIN_DAYS) -> DataFrame:
     """Per (store, product, category): the share of a normal day's demand in each hour.
 
-    One pass over the panel sums the fit rows by hour; the coarser levels are rolled up from that
-    small table, and the fallbacks series -> store category -> category -> all are resolved there
+    One pass over the panel sums the fit rows by hour. That table has one row per series and is
+    written once, since it is read five times: the coarser levels are rolled up from it, and the fallbacks series -> store category -> category -> all are resolved there
     too, never on panel rows. Also carries the series' own totals and the overall daily mean.
     """
     hours = [F.coalesce(F.sum(F.when(fit, _hour("hours_sale", h))), F.lit(0.0)).alias(f"h{h}") for h in range(24)]
-    base = panel.groupBy(*PROFILE_KEY).agg(F.count(F.when(fit, 1)).alias("days"), *hours)
+    base = cut_lineage(panel.groupBy(*PROFILE_KEY).agg(F.count(F.when(fit, 1)).alias("days"), *hours))
     names = [f"h{h}" for h in range(24)]
     day_total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
 
@@ -171,8 +172,9 @@ def sale_groups(panel: DataFrame, cutoff: int) -> DataFrame:
     A series without history counts as low-sale.
     """
     past = F.when(F.col("day") <= cutoff, A.total("hours_sale"))
-    mean = F.avg(past).over(Window.partitionBy(*PANEL_KEY))
-    rows = panel.withColumn("series_mean", mean)
+    # written once: the median and the comparison must see the very same means
+    means = cut_lineage(panel.groupBy(*PANEL_KEY).agg(F.avg(past).alias("series_mean")))
+    rows = panel.join(means, PANEL_KEY)
     middle = exact_median(rows.select("series_mean"), "series_mean", name="middle")
     return (rows.crossJoin(F.broadcast(middle))
             .withColumn("sale_group", F.when(F.col("series_mean") >= F.col("middle"), "high-sale").otherwise("low-sale"))

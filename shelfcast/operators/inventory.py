@@ -5,27 +5,12 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfcast.schemas import SERIES, SERVICE_LEVELS, PolicyParams
 
 POLICY = ["policy", "target_service"]
-REPLAY = T.StructType([
-    T.StructField("store_id", T.StringType()),
-    T.StructField("sku_id", T.StringType()),
-    T.StructField("policy", T.StringType()),
-    T.StructField("target_service", T.DoubleType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("demand", T.DoubleType()),
-    T.StructField("on_hand", T.DoubleType()),
-    T.StructField("sold", T.DoubleType()),
-    T.StructField("lost", T.DoubleType()),
-])
-
 
 def z_score(service: float) -> float:
     return NormalDist().inv_cdf(service)
@@ -95,32 +80,34 @@ def replay_policies(levels: DataFrame, params: PolicyParams = PolicyParams()) ->
 
     Each day: receive what was ordered L days ago, on review days order up to the level minus all
     stock on hand and on order, then sell what is there. Days run in order within a series and
-    policy, so that pair is the unit of parallel work; it holds one row per day.
+    policy, so that pair is the unit of parallel work. It holds one item per day, and its state is
+    the stock and the L open deliveries, folded over the days inside the JVM.
     """
     review, lead = params.review_period, params.lead_time
     if lead < 1:
         raise ValueError("lead_time must be at least 1 day")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        demand, target = pdf["demand"].to_numpy(float), pdf["order_up_to"].to_numpy(float)
-        n = len(pdf)
-        due = np.zeros(n + lead)
-        on_hand, sold = np.zeros(n), np.zeros(n)
-        stock, on_order = float(pdf["start_stock"].iloc[0]), 0.0
-        for day in range(n):
-            stock, on_order = stock + due[day], on_order - due[day]
-            if day % review == 0:
-                order = max(0.0, math.ceil(target[day] - stock - on_order))
-                due[day + lead] += order
-                on_order += order
-            sold[day] = min(stock, demand[day])
-            stock -= sold[day]
-            on_hand[day] = stock
-        return pdf[["store_id", "sku_id", "policy", "target_service", "date", "demand"]].assign(
-            on_hand=on_hand, sold=sold, lost=demand - sold)
-
-    return levels.groupBy(*SERIES, *POLICY).applyInPandas(run, REPLAY)
+    def day(s: Column, x: Column) -> Column:
+        stock = s["stock"] + F.get(s["due"], F.lit(0))
+        open_orders = F.slice(s["due"], 2, lead - 1)
+        position = stock + F.aggregate(open_orders, F.lit(0.0), lambda a, q: a + q)
+        order = F.when(s["t"] % review == 0,
+                       F.greatest(F.lit(0.0), F.ceil(x["order_up_to"] - position).cast("double"))).otherwise(0.0)
+        sold = F.least(stock, x["demand"])
+        done = F.struct(x["date"].alias("date"), x["demand"].alias("demand"), (stock - sold).alias("on_hand"),
+                        sold.alias("sold"))
+        return F.struct((stock - sold).alias("stock"), F.concat(open_orders, F.array(order)).alias("due"),
+                        (s["t"] + 1).alias("t"), F.concat(s["days"], F.array(done)).alias("days"))
+
+    empty = F.array().cast("array<struct<date:date,demand:double,on_hand:double,sold:double>>")
+    begin = F.struct(F.col("start_stock").cast("double").alias("stock"), F.array_repeat(F.lit(0.0), lead).alias("due"),
+                     F.lit(0).alias("t"), empty.alias("days"))
+    series = levels.groupBy(*SERIES, *POLICY).agg(
+        F.array_sort(F.collect_list(F.struct("date", "demand", "order_up_to"))).alias("plan"),
+        F.first("start_stock").alias("start_stock"))
+    return (series.select(*SERIES, *POLICY, F.explode(F.aggregate("plan", begin, day)["days"]).alias("d"))
+            .select(*SERIES, *POLICY, "d.date", "d.demand", "d.on_hand", "d.sold",
+                    (F.col("d.demand") - F.col("d.sold")).alias("lost")))
 
 
 def policy_costs(replay: DataFrame, cost_price: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:

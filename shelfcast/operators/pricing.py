@@ -88,24 +88,35 @@ def _unpack(flat: np.ndarray, size: int, upper) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def _without_slopes(m: Column, size: int) -> Column:
+_SIZE = _P + 1
+# Where the gradient entry (i,) and the Hessian entry (i, j) sit in a moments array.
+_AT = {(int(i), int(j)): _SIZE + k for k, (i, j) in enumerate(zip(*_UPPER))}
+_CROSS = [_AT[(i, _P)] for i in range(_P)]
+# Per wanted entry of the shared block: its own position and the two factors the slope removes.
+_PARTS = [(i, _CROSS[i], _P) for i in range(_P)] + [
+    (_AT[(int(i), int(j))], _CROSS[int(i)], _CROSS[int(j)]) for i, j in zip(*_SHARED_UPPER)]
+
+
+def _positions(values: list[int]) -> Column:
+    return F.array(*[F.lit(int(v)) for v in values])
+
+
+def _without_slopes(m: Column) -> Column:
     """Eliminate the SKU's own trend from its summed moments (gradient, then upper Hessian)."""
-    where = {(int(i), int(j)): size + k for k, (i, j) in enumerate(zip(*_UPPER))}
-    last = size - 1
-    curve = F.get(m, F.lit(where[(last, last)]))
-    cross = [F.get(m, F.lit(where[(i, last)])) for i in range(last)]
-    pull = F.get(m, F.lit(last))
-    grad = [F.get(m, F.lit(i)) - F.coalesce(F.try_divide(cross[i] * pull, curve), F.lit(0.0)) for i in range(last)]
-    hess = [F.get(m, F.lit(where[(int(i), int(j))]))
-            - F.coalesce(F.try_divide(cross[i] * cross[j], curve), F.lit(0.0)) for i, j in zip(*_SHARED_UPPER)]
-    return F.array(*grad, *hess)
+    parts = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("left"), F.lit(c).alias("right"))
+                      for a, b, c in _PARTS])
+    curve = F.get(m, F.lit(_AT[(_P, _P)]))
+    return F.transform(parts, lambda p: F.get(m, p["own"]) - F.coalesce(
+        F.try_divide(F.get(m, p["left"]) * F.get(m, p["right"]), curve), F.lit(0.0)))
 
 
-def _slope_parts(m: Column, size: int) -> tuple[Column, Column, Column]:
-    where = {(int(i), int(j)): size + k for k, (i, j) in enumerate(zip(*_UPPER))}
-    last = size - 1
-    return (F.get(m, F.lit(last)), F.array(*[F.get(m, F.lit(where[(i, last)])) for i in range(last)]),
-            F.get(m, F.lit(where[(last, last)])))
+def _shared_only(m: Column) -> Column:
+    return F.transform(_positions([a for a, _, _ in _PARTS]), lambda at: F.get(m, at))
+
+
+def _slope_parts(m: Column) -> tuple[Column, Column, Column]:
+    return (F.get(m, F.lit(_P)), F.transform(_positions(_CROSS), lambda at: F.get(m, at)),
+            F.get(m, F.lit(_AT[(_P, _P)])))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -134,8 +145,8 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
         with_slopes = rows.join(slopes, ["category", "sku_id"])
         per_sku = cut_lineage(_gathered(_sum_moments(_series_moments(with_slopes, betas), ["category", "sku_id"]),
                                         ["category", "sku_id"]))
-        shared = per_sku.select("category", (_without_slopes(F.col("m"), _P + 1) if control_trend
-                                             else _drop_trend(F.col("m"))).alias("moments"))
+        shared = per_sku.select("category", (_without_slopes(F.col("m")) if control_trend
+                                             else _shared_only(F.col("m"))).alias("moments"))
         moved = {}
         for r in _gathered(_sum_moments(shared, ["category"]), ["category"]).collect():
             m = np.array(r["m"])
@@ -145,7 +156,7 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
         if control_trend:
             step = spark.createDataFrame([(c, [float(v) for v in d]) for c, d in moved.items()],
                                          "category string, step array<double>")
-            pull, cross, curve = _slope_parts(F.col("m"), _P + 1)
+            pull, cross, curve = _slope_parts(F.col("m"))
             change = F.coalesce(F.try_divide(pull - _dot(cross, F.col("step")), curve), F.lit(0.0))
             slopes = cut_lineage(slopes.join(per_sku.join(F.broadcast(step), "category"),
                                              ["category", "sku_id"], "left")
@@ -156,7 +167,7 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
 
     # robust part: squared residuals times what a regressor adds beyond series level and SKU trend
     if control_trend:
-        _, cross, curve = _slope_parts(F.col("m"), _P + 1)
+        _, cross, curve = _slope_parts(F.col("m"))
         ratio = F.transform(cross, lambda v: F.coalesce(F.try_divide(v, curve), F.lit(0.0)))
     else:
         ratio = F.array_repeat(F.lit(0.0), _P)
@@ -196,13 +207,6 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
              " cannibalisation_per_sibling double, n_obs long")
 
 
-def _drop_trend(m: Column) -> Column:
-    size = _P + 1
-    where = {(int(i), int(j)): size + k for k, (i, j) in enumerate(zip(*_UPPER))}
-    return F.array(*[F.get(m, F.lit(i)) for i in range(_P)],
-                   *[F.get(m, F.lit(where[(int(i), int(j))])) for i, j in zip(*_SHARED_UPPER)])
-
-
 def compare_with_truth(response: DataFrame, truth: DataFrame) -> DataFrame:
     """Estimates next to the category means of known parameters, with the relative error."""
     means = truth.groupBy("category").agg(F.avg("true_elasticity").alias("true_elasticity"),
@@ -216,7 +220,7 @@ def sku_stats(gold: DataFrame, last_day, days: int = 90) -> DataFrame:
     window = gold.where(F.col("date") > F.date_sub(F.lit(last_day), days))
     calendar = window.agg(F.countDistinct("date").alias("n_days"))
     regular = window.where(F.col("on_promo") == 0)
-    prices = exact_median(regular, "regular_price", ["sku_id"], "regular_price", accuracy=10_000)
+    prices = exact_median(regular, "regular_price", ["sku_id"], "regular_price")
     return (regular.groupBy("sku_id")
             .agg(F.min("category").alias("category"), F.min("unit_cost").alias("unit_cost"),
                  F.sum("demand_filled").alias("units"))

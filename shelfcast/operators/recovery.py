@@ -14,6 +14,7 @@ from shelfcast.operators.booster import BoosterModel, BoosterParams, fit_booster
 from shelfcast.operators.hourly import (MIN_DAYS, profile_recover, recover_by_profile, recovery_features,
                                         with_profile)
 from shelfcast.schemas import PANEL_KEY
+from shelfcast.session import cut_lineage
 
 INPUTS = ["observed", "share_in", "profile_est", "level", "oos_hours", "first_oos_hour", "last_oos_hour", "dow",
           "discount", "holiday_flag", "activity_flag", "avg_temperature", "precpt", "third_category_id"]
@@ -92,6 +93,7 @@ def recover(panel: DataFrame, cutoff: int, seed: int = 42, with_model: bool = Tr
     out = recover_by_profile(panel, cutoff, min_days)
     if not with_model:
         return out, None
+    out = cut_lineage(out)  # read for clean days, donors and scoring
     model = fit_recovery(out, F.col("day") <= cutoff, seed, params)
     return apply_recovery(model, out), model
 
@@ -122,7 +124,7 @@ def validate_recovery(panel: DataFrame, cutoff: int, holdout_share: float = 0.2,
     """
     clean = A.is_clean("hours_stock_status")
     known, hold = F.col("day") <= cutoff, held_out(holdout_share, seed)
-    rows = with_profile(panel, clean & known & ~hold, clean & known, min_days)
+    rows = cut_lineage(with_profile(panel, clean & known & ~hold, clean & known, min_days))
     model = fit_recovery(rows, known & ~hold, seed, params)
     tests = masked_days(rows.where(clean & known & hold), rows.where(~clean & known), seed + 1)
     left = F.col("x_observed")

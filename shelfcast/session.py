@@ -1,20 +1,44 @@
-"""Session helpers."""
+"""Session helpers: reliable storage for state that is read more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfcast-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iterative job's state to reliable storage, so lost executors do not replay the loop."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame],
+                 sort_by: list[str] | None = None) -> DataFrame:
+    """An intermediate table, written as parquet to the shared folder on first use and read from then on.
+
+    Bronze, silver, gold and forecasts are tables that many reports read; recomputing them per
+    report would repeat the expensive shuffles. Parquet keeps column pruning and filter pushdown.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df = build()
+        if sort_by:
+            df = df.sortWithinPartitions(*sort_by)
+        df.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

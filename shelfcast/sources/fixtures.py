@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from shelfcast.operators.features import add_sibling_promo, build_features
 from shelfcast.operators.quality import clean_sales
 from shelfcast.operators.segments import classify_demand
-from shelfcast.schemas import default_cutoffs
+from shelfcast.schemas import KEYS, default_cutoffs
+from shelfcast.session import written_once
 
 # The order in which lines of one key arrive; together these columns order them totally.
 ARRIVAL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
@@ -96,25 +97,34 @@ def cutoffs(spark: SparkSession, sf_dir: str) -> list[dt.date]:
     return default_cutoffs(bounds(spark, sf_dir)[1])
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_sales(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir))
+def build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = clean_sales(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir))
+    return add_sibling_promo(cleaned, products(spark, sf_dir))
 
 
-def silver_with_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_sibling_promo(silver(spark, sf_dir), products(spark, sf_dir))
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, sf_dir, "silver", lambda: build_silver(spark, sf_dir), KEYS)
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on the history before the first fold only."""
     first = cutoffs(spark, sf_dir)[0]
     return classify_demand(silver(spark, sf_dir).where(F.col("date") <= F.lit(first)))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(silver_with_siblings(spark, sf_dir), products(spark, sf_dir), stores(spark, sf_dir),
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, sf_dir, "segments", lambda: build_segments(spark, sf_dir))
+
+
+def build_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_features(silver(spark, sf_dir), products(spark, sf_dir), stores(spark, sf_dir),
                           segments(spark, sf_dir), HOLIDAYS)
 
 
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, sf_dir, "gold", lambda: build_gold(spark, sf_dir), KEYS)
+
+
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and day: hourly value of all but error events, error hours as stock-outs."""
     ev = table(spark, sf_dir, "events")
@@ -147,5 +157,5 @@ def hourly_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Everything but the last seven days, and the last seven days."""
     last = table(spark, sf_dir, "events").agg(F.max("ts").cast("date")).first()[0]
     split = F.lit(last - dt.timedelta(days=7))
-    panel = hourly_panel(spark, sf_dir)
+    panel = written_once(spark, sf_dir, "hourly", lambda: hourly_panel(spark, sf_dir))
     return panel.where(F.col("dt") <= split), panel.where(F.col("dt") > split)
