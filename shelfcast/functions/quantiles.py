@@ -16,7 +16,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
     Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
     sketch first brackets each wanted rank, repeated values are collapsed by a count, and only the
-    values inside a bracket (about 6/accuracy of a group) are put in order. The sketch only decides
+    values inside a bracket (about 8/accuracy of a group, or all of a group of up to ``accuracy``
+    rows) are put in order. The sketch only decides
     how many values are looked at; the result is exact because the rows below each bracket are
     counted, not estimated.
 
@@ -24,7 +25,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     """
     by = by or []
     data = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
-    slack = 2.0 / accuracy
+    # more than the sketch's own error, so both neighbours of a rank are inside its bracket
+    slack = 3.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
     sketch = data.groupBy(*by).agg(
@@ -32,12 +34,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         F.min("v").alias("v_min"), F.max("v").alias("v_max"),
         F.percentile_approx("v", lows + highs, accuracy).alias("marks"),
     )
-    k = len(probs)
+    k, small = len(probs), F.col("n_all") <= accuracy
     targets = F.array(*[
         F.struct(
             F.lit(i).alias("prob_id"),
-            (F.col("v_min") if lows[i] == 0.0 else F.col("marks")[i]).alias("low"),
-            (F.col("v_max") if highs[i] == 1.0 else F.col("marks")[k + i]).alias("high"),
+            F.when(small | F.lit(lows[i] == 0.0), F.col("v_min")).otherwise(F.col("marks")[i]).alias("low"),
+            F.when(small | F.lit(highs[i] == 1.0), F.col("v_max")).otherwise(F.col("marks")[k + i]).alias("high"),
             _whole_if_close(F.lit(float(p)) * (F.col("n_all") - 1)).alias("position"),
         ) for i, p in enumerate(probs)])
     brackets = sketch.select(*by, targets.alias("targets"))

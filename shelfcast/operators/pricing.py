@@ -16,6 +16,7 @@ from shelfcast.session import cut_lineage
 SHARED = ([f"dow_{d}" for d in range(1, 7)] + [f"month_{m}" for m in range(2, 13)]
           + ["log_price_dm", "on_promo", "n_sibling_promo", "holiday"])
 Z95 = 1.959963984540054
+MAX_BROADCAST_ROWS = 100_000
 _P = len(SHARED)
 
 
@@ -26,7 +27,7 @@ def design_rows(gold: DataFrame) -> DataFrame:
     start = rows.groupBy("category").agg(F.min("date").alias("first_day"))
     log_price = F.ln("selling_price")
     return (rows.withColumn("log_price_dm", log_price - F.avg(log_price).over(w))
-            .join(start, "category")
+            .join(F.broadcast(start), "category")  # one row per category, as the driver's matrices
             .select("category", *SERIES, F.col("demand_target").cast("double").alias("y"),
                     F.col("dow").cast("double").alias("dow"), F.col("month").cast("double").alias("month"),
                     "log_price_dm", F.col("on_promo").cast("double").alias("on_promo"),
@@ -139,10 +140,13 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
              .groupBy("category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_series"),
                                       F.countDistinct("sku_id").alias("n_skus")).collect())
     betas = {s["category"]: np.zeros(_P) for s in sizes}
+    # the slopes go to every task while they are few; beyond that they are joined on the SKU
+    n_slopes = sum(s["n_skus"] for s in sizes)
+    shared_out = F.broadcast if n_slopes <= MAX_BROADCAST_ROWS else (lambda df: df)
     slopes = rows.select("category", "sku_id").distinct().withColumn("slope", F.lit(0.0))
     bread = {}
     for _ in range(max_iter):
-        with_slopes = rows.join(slopes, ["category", "sku_id"])
+        with_slopes = rows.join(shared_out(slopes), ["category", "sku_id"])
         per_sku = cut_lineage(_gathered(_sum_moments(_series_moments(with_slopes, betas), ["category", "sku_id"]),
                                         ["category", "sku_id"]))
         shared = per_sku.select("category", (_without_slopes(F.col("m")) if control_trend
@@ -171,8 +175,8 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
         ratio = F.transform(cross, lambda v: F.coalesce(F.try_divide(v, curve), F.lit(0.0)))
     else:
         ratio = F.array_repeat(F.lit(0.0), _P)
-    with_ratio = rows.join(slopes.join(per_sku.select("category", "sku_id", ratio.alias("ratio")),
-                                       ["category", "sku_id"]), ["category", "sku_id"])
+    extras = slopes.join(per_sku.select("category", "sku_id", ratio.alias("ratio")), ["category", "sku_id"])
+    with_ratio = rows.join(shared_out(extras), ["category", "sku_id"])
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         category = pdf["category"].iloc[0]
