@@ -354,12 +354,14 @@ FROM (SELECT week, category, wape, bias, units,
                    sum(abs(forecast - actual)) / greatest(sum(actual), 1e-9) AS wape,
                    sum(forecast - actual) / greatest(sum(actual), 1e-9) AS bias, sum(actual) AS units
             FROM sc WHERE model = 'naive_dow_avg' GROUP BY 1, 2))""")
+# rel_price divides by a running mean, whose last digits depend on the engine's order of summation; nine
+# decimals on both sides keep a price equal to its mean on the same side of an edge at 1.
 DRIFT = ["rmean_28", "selling_price", "rel_price", "discount_pct", "price_ratio", "n_sibling_promo"]
 block("drift_ref", "gold cutoffs", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM gold "
+    f"SELECT '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value FROM gold "
     f"WHERE date <= (SELECT min(cutoff) FROM cutoffs) AND {f} IS NOT NULL" for f in DRIFT))
 block("drift_cur", "gold cutoffs", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM gold "
+    f"SELECT '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value FROM gold "
     f"WHERE date > (SELECT max(cutoff) FROM cutoffs) AND {f} IS NOT NULL" for f in DRIFT))
 block("drift_edges", "drift_ref", """
 SELECT feature, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS edges

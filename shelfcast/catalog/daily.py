@@ -572,7 +572,7 @@ SELECT feature, round(psi, 6) AS psi, CASE WHEN psi > 0.2 THEN 'investigate' WHE
 FROM drift"""))
 def _(spark, d):
     cuts = X.cutoffs(spark, d)
-    gold = X.gold(spark, d)
+    gold = X.gold(spark, d).select("date", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in DRIFT])
     return rounded(D.feature_drift(gold.where(F.col("date") <= F.lit(cuts[0])), gold.where(F.col("date") > F.lit(cuts[-1])),
                                    DRIFT))
 

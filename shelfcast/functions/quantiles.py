@@ -11,7 +11,7 @@ def _whole_if_close(position: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    accuracy: int = 20_000) -> DataFrame:
+                    accuracy: int = 20_000, few_groups: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group.
 
     Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
@@ -21,6 +21,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     how many values are looked at; the result is exact because the rows below each bracket are
     counted, not estimated.
 
+    ``few_groups`` promises a number of groups fixed by the caller (a list of features, say): the
+    brackets, one row per group, are then broadcast, so a huge group is never shuffled to one task.
+
     Returns ``by`` columns, ``prob_id`` (position in ``probs``) and ``quantile``.
     """
     by = by or []
@@ -44,7 +47,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         ) for i, p in enumerate(probs)])
     brackets = sketch.select(*by, targets.alias("targets"))
     counted = data.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    joined = counted.join(brackets, by) if by else counted.crossJoin(F.broadcast(brackets))
+    if not by:
+        joined = counted.crossJoin(F.broadcast(brackets))
+    else:
+        joined = counted.join(F.broadcast(brackets) if few_groups else brackets, by)
     # one row per (distinct value, bracket it is in or below); values above every bracket vanish,
     # and everything below a bracket falls into one row with a NULL value
     ordered = (joined.select(*by, "v", "c", F.explode("targets").alias("t"))

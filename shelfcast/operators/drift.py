@@ -53,7 +53,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: list[str],
     both = long(reference, 1).unionByName(long(current, 0))
     probs = [i / bins for i in range(bins + 1)]
     # one row per feature: as many rows as the caller lists names
-    edges = (exact_quantiles(long(reference, 1), "value", probs, ["feature"])
+    edges = (exact_quantiles(long(reference, 1), "value", probs, ["feature"], few_groups=True)
              .groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges")))
     inner = edges.select("feature", F.size("edges").alias("n_edges"),
                          F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2))

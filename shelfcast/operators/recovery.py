@@ -29,6 +29,7 @@ INPUT_GROUPS = {
 }
 PARAMS = BoosterParams(variance_power=1.3, rounds=30, min_rows=20)
 DONORS_PER_BUCKET = 10_000
+MAX_BUCKETS = 50_000
 
 
 def transplant_masks(targets: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
@@ -41,7 +42,7 @@ def transplant_masks(targets: DataFrame, donors: DataFrame, seed: int) -> DataFr
     n_donors = donors.count()
     if n_donors == 0:
         return targets.limit(0).withColumn("mask", F.col("hours_stock_status"))
-    buckets = max(1, math.ceil(n_donors / DONORS_PER_BUCKET))
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(n_donors / DONORS_PER_BUCKET)))
     donor_id = F.xxhash64(*PANEL_KEY, "dt", F.lit(seed))
     numbered = (donors.select(donor_id.alias("donor_id"), *PANEL_KEY, "dt", F.col("hours_stock_status").alias("mask"))
                 .withColumn("bucket", F.pmod("donor_id", F.lit(buckets)))
@@ -49,7 +50,7 @@ def transplant_masks(targets: DataFrame, donors: DataFrame, seed: int) -> DataFr
                     Window.partitionBy("bucket").orderBy("donor_id", *PANEL_KEY, "dt")) - 1)
                 .select("bucket", "slot", "mask"))
     sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size"))
-    # one row per bucket, so its size is the donor count over ten thousand
+    # one row per bucket, at most MAX_BUCKETS of them; with more donors the buckets get larger instead
     ranks = sizes.withColumn("bucket_rank", F.row_number().over(Window.orderBy("bucket")) - 1)
     filled = ranks.agg(F.count(F.lit(1)).alias("n_buckets"))
 
