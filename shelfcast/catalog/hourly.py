@@ -381,3 +381,12 @@ SELECT store_id, n, {cols('', SCORE_COLS)} FROM (SELECT store_id, {HOURLY_SQL} F
 GROUP BY store_id)"""))
 def _(spark, d):
     return rounded(recovered(spark, d).groupBy("store_id").agg(*hourly_metrics("observed", "rec_profile")))
+
+
+@register("bias_by_days_ahead_pivot", query("hvariants", f"""
+SELECT training_target, {", ".join(f"round(max(wpe_bias) FILTER (k = {k}), 6) AS day_{k}" for k in range(1, 8))} FROM (
+  SELECT training_target, CAST(day - cutoff AS INTEGER) AS k, {HOURLY_SQL}
+  FROM (SELECT cutoff, training_target, day, rec_profile AS y, p AS f FROM hvariants) GROUP BY 1, 2) GROUP BY training_target"""))
+def _(spark, d):
+    table = HF.horizon_table(variants(spark, d), cutoff(spark, d))
+    return rounded(HB.by_days_ahead(table, "wpe_bias").toDF("training_target", *[f"day_{k}" for k in range(1, 8)]))

@@ -96,3 +96,8 @@ def mean_over_folds(scores: DataFrame) -> DataFrame:
 
 def by_view(scores: DataFrame, metric: str, views: list[str]) -> DataFrame:
     return (headline(scores).groupBy("cutoff_day", "training_target").pivot("eval_view", views).agg(F.first(metric)))
+
+
+def by_days_ahead(horizon: DataFrame, metric: str, days: int = HOURLY_HORIZON) -> DataFrame:
+    """Mean of a metric over the folds, one column per day ahead."""
+    return (horizon.groupBy("training_target").pivot("horizon_days", list(range(1, days + 1))).agg(F.avg(metric)))

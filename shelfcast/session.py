@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +35,11 @@ def written_once(spark: SparkSession, source: str, name: str, build: Callable[[]
     report would repeat the expensive shuffles. Parquet keeps column pruning and filter pushdown.
     """
     key = (spark.sparkContext.applicationId, source, name)
+    try:
+        if key in _WRITTEN:
+            return spark.read.parquet(_WRITTEN[key])
+    except AnalysisException:
+        del _WRITTEN[key]  # someone cleared the folder: write it again
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df = build()
