@@ -6,15 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import dedup_digest
+from .quality import quality_digest
 from .secrets import secrets_digest
 from .tables import read
+from .toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_secret_scan,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op5_quality_forest, op6_content_sort_dedup, op9_toxicity_ftrl, op10_secret_scan)}
 SQL: dict[str, str] = {}

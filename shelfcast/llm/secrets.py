@@ -21,8 +21,11 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .tables import mapped, unpacked
 from .textgrid import kept
 
 # The base patterns and the shapes of public token formats.
@@ -122,23 +125,19 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str = "[secret]")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` packed in ``row``; ``spans`` (start, end, kind) and ``masked``, the text without secrets."""
-    from pyspark.sql import functions as F
-
+    """All columns of ``docs`` packed in ``row``; ``spans`` (start, end, kind) and ``masked``, the text without its secrets (null if none)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = b.column(0).slice(lo, 500)
+                texts = [t or "" for t in pc.struct_field(rows, text).to_pylist()]
                 found = [secret_spans(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([[dict(zip(("start", "end", "kind"), s)) for s in f] for f in found], kind),
+                    rows, pa.array([[dict(zip(("start", "end", "kind"), s)) for s in f] for f in found], kind),
                     pa.array([masked(t, f) if f else None for t, f in zip(texts, found)], pa.string())], ["row", "spans", "masked"])
 
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("scanned"))
-    kind = whole.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(work, f"row {kind}, spans array<struct<start: long, end: long, kind: string>>, masked string")
+    return mapped(docs, work, "spans array<struct<start: long, end: long, kind: string>>, masked string")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
@@ -164,10 +163,8 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The documents with their secrets masked and n_chars (if there) counted anew; documents without stay as they are."""
-    from pyspark.sql import functions as F
-
     out = scan(docs)
-    values = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    values = unpacked(docs)
     values["text"] = F.coalesce("masked", values["text"])
     if "n_chars" in values:
         kind = docs.schema["n_chars"].dataType

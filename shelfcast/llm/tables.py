@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(docs: DataFrame, work: Callable[[Iterator], Iterator], adds: str) -> DataFrame:
+    """``work`` over record batches with one struct column ``row`` of all columns; it returns ``row`` and the fields of ``adds``."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return whole.mapInArrow(work, f"row {whole.schema['row'].dataType.simpleString()}, {adds}")
+
+
+def unpacked(docs: DataFrame) -> dict[str, Column]:
+    """The columns of ``docs`` out of ``row``."""
+    return {c: F.col(f"row.`{c}`").alias(c) for c in docs.columns}
+
+
 def text_crc(column: Column) -> Column:
     """crc32 of a value written as text; null as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))

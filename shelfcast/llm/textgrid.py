@@ -62,9 +62,19 @@ def space_table() -> np.ndarray:
     return table
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and per text the number of words before it (n + 1 values)."""
-    solid = ~kept("spaces", space_table)[data]
+def letter_table() -> np.ndarray:
+    """Letters, digits and every byte beyond ASCII."""
+    table = np.zeros(256, bool)
+    table[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    return table
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and per text the number of words before it (n + 1 values).
+
+    ``solid`` flags the bytes that words consist of; all but white space unless given.
+    """
+    solid = ~kept("spaces", space_table)[data] if solid is None else solid
     first, after = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     after[:-1] &= ~solid[1:]
