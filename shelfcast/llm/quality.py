@@ -25,7 +25,7 @@ from .textgrid import byte_array, kept, mixed, slice_hashes, sliced, space_table
 
 SYMBOLS = b"#*$%&|<>"  # fixed by the contract
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATIOS = ["symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "distinct_share", "same_next_share", "mean_length"]
+RATIOS = ["symbol_share", "upper_share", "mark_share", "same_next_share"]
 STEPS = 2000  # grid of the calibrated threshold
 
 
@@ -87,16 +87,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 5, -1)
     out["n_repeat_words"] = np.bincount(word_text[np.cumsum(cover)[:-1] > 0], minlength=n)
-    again = repeated(mixed(words ^ (word_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))[1]
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (word_text[1:] == word_text[:-1])
     per = lambda x, y: x / np.maximum(y, 1)
-    n_lines = np.bincount(line_text, minlength=n)
-    out |= {"symbol_share": per(out["n_symbols"], out["word_chars"]), "dup_line_share": per(out["n_dup_lines"], n_lines),
-            "repeat_share": per(out["n_repeat_words"], n_words), "upper_share": per(per_text(upper, offsets), per_text(letter, offsets)),
+    out |= {"symbol_share": per(out["n_symbols"], out["word_chars"]), "upper_share": per(per_text(upper, offsets), per_text(letter, offsets)),
             "mark_share": per(per_text(marks[data], offsets), out["word_chars"]),
-            "distinct_share": 1 - per(np.bincount(word_text[again], minlength=n), n_words),
-            "same_next_share": per(np.bincount(word_text[same], minlength=n), n_words), "mean_length": per(out["word_chars"], n_words)}
+            "same_next_share": per(np.bincount(word_text[same], minlength=n), n_words)}
     return out
 
 

@@ -30,12 +30,12 @@ BITS = 20
 class Ftrl:
     """Rates and penalties of the update; ``epochs`` passes over the sample."""
 
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 3
-    max_rows: int = 12_000
+    l1: float = 4.0
+    l2: float = 0.0
+    epochs: int = 4
+    max_rows: int = 24_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

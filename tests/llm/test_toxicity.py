@@ -9,7 +9,7 @@ from shelfcast.llm.textgrid import byte_array
 from . import hard_cases as H
 import pyarrow as pa
 
-SF = "/root/testdata/sf0.1"
+SF = "/root/testdata/check_s"
 
 
 def test_features_stay_inside_a_text():
@@ -21,7 +21,7 @@ def test_features_stay_inside_a_text():
 
 def test_update_equals_a_plain_loop():
     rows, labels = [np.array([3, 5]), np.array([5]), np.array([3, 9])] * 4, np.array([1, 0, 1] * 4)
-    with_ = Ftrl(l1=0.2, epochs=2)
+    with_ = Ftrl(alpha=0.5, l1=0.2, l2=0.3, epochs=2)
     left, w, bias = fit_sparse(rows, labels, with_)
     z, n = {}, {}
 
@@ -79,4 +79,4 @@ def test_held_out_accuracy(spark):
     rows = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     hit = (rows.predicted == 1) & (rows.toxic == 1)
     assert hit.sum() >= 0.95 * (rows.toxic == 1).sum()
-    assert hit.sum() >= 0.97 * (rows.predicted == 1).sum()
+    assert hit.sum() >= 0.99 * (rows.predicted == 1).sum()
