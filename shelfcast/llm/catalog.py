@@ -11,10 +11,15 @@ from .quality import quality_digest
 from .secrets import secrets_digest
 from .tables import read
 from .toxicity import toxicity_digest
+from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,5 +37,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_quality_forest, op6_content_sort_dedup, op9_toxicity_ftrl, op10_secret_scan)}
-SQL: dict[str, str] = {}
+    op1_warc_dictionary, op5_quality_forest, op6_content_sort_dedup, op9_toxicity_ftrl, op10_secret_scan)}
+SQL: dict[str, str] = {
+    "op1_warc_dictionary": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             g as (select *, octet_length(encode(html)) as n, min(page_id) over (partition by html) as first_id,
+                          count(*) over (partition by html) as copies from p),
+             t as (select *, n >= 100 and copies > 1 and first_id is not null and first_id is distinct from page_id as again from g)
+        select page_id, n as payload_bytes, sha256(html) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type,
+               case when again then first_id end as refers_to
+        from t""",
+    "op6_content_sort_dedup": r"""
+        with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm from documents)
+        select doc_id, first_value(doc_id) over (partition by norm order by length(text) desc, doc_id nulls last
+                                                 rows between unbounded preceding and unbounded following) as keep_id,
+               count(*) over (partition by norm) as group_size,
+               doc_id is not distinct from first_value(doc_id) over (partition by norm order by length(text) desc, doc_id nulls last
+                                                 rows between unbounded preceding and unbounded following) as kept,
+               sha256(norm) as text_sha256
+        from t""",
+}
