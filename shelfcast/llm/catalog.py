@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import dedup_digest
 from .quality import quality_digest
+from .repair import shard_round_trip
 from .secrets import secrets_digest
 from .tables import read
 from .toxicity import toxicity_digest
@@ -28,6 +29,10 @@ def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_round_trip(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,7 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_warc_dictionary, op5_quality_forest, op6_content_sort_dedup, op9_toxicity_ftrl, op10_secret_scan)}
+    op1_warc_dictionary, op5_quality_forest, op6_content_sort_dedup, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan)}
 SQL: dict[str, str] = {
     "op1_warc_dictionary": """
         with p as (select page_id, coalesce(html, '') as html from pages),
