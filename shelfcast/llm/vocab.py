@@ -43,15 +43,10 @@ def led_stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, np.append(starts[1:], len(data))
 
 
-class Vocabulary:
-    """Encodes texts with one vocabulary file; keeps what it has encoded."""
+class StretchTable:
+    """Ids of stretches by their hash; a bounded number is kept."""
 
-    def __init__(self, path: str, stretches: Callable) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library, self.stretches = Tokenizer.from_file(path), stretches
-        self.library.encode_special_tokens = True
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
@@ -59,10 +54,13 @@ class Vocabulary:
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.size = np.zeros(TABLE_ROWS, np.int64), np.zeros(TABLE_ROWS, np.int32)
 
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes, flat = np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((x for g in got for x in g), np.uint32)
-        n, m = len(self.rows), len(got)
+    def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these stretches, and how many each has."""
+        raise NotImplementedError
+
+    def add(self, keys: list[int], pieces: list[bytes]) -> None:
+        flat, sizes = self.encode_new(pieces)
+        n, m = len(self.rows), len(sizes)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         if n + m > len(self.first):
@@ -74,9 +72,8 @@ class Vocabulary:
         self.used += len(flat)
         self.rows.update(zip(keys, range(n, n + m)))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n + 1 offsets of the texts among them."""
-        starts, ends = self.stretches(data, offsets)
+    def encode_stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the n + 1 offsets of the stretches among them."""
         code, keys = pd.factorize(slice_hashes(data, starts, ends))
         if len(self.rows) > TABLE_ROWS:
             self.clear()
@@ -86,13 +83,34 @@ class Vocabulary:
             at = np.zeros(len(keys), np.int64)
             at[code[::-1]] = np.arange(len(code))[::-1]  # where each stretch occurs first
             whole = data.tobytes()
-            where = list(zip(starts[at[new]].tolist(), ends[at[new]].tolist()))
-            self.add([keys[i] for i in new], [whole[s:e].decode() for s, e in where])
+            where = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
+            self.add([keys[i] for i in new], [whole[s:e] for s, e in where])
         row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))[code]
         size = self.size[row].astype(np.int64)
-        before = np.cumsum(size) - size
-        ids = self.ids[np.repeat(self.first[row] - before, size) + np.arange(int(size.sum()))]
-        upto = np.append(before, len(ids))
+        upto = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        return self.ids[np.repeat(self.first[row] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
+class Vocabulary(StretchTable):
+    """Encodes texts with one vocabulary file of the tokenizers library."""
+
+    def __init__(self, path: str, stretches: Callable) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library, self.stretches = Tokenizer.from_file(path), stretches
+        self.library.encode_special_tokens = True
+        super().__init__()
+
+    def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return np.fromiter((x for g in got for x in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the n + 1 offsets of the texts among them."""
+        starts, ends = self.stretches(data, offsets)
+        ids, upto = self.encode_stretches(data, starts, ends)
         return ids, upto[np.searchsorted(starts, offsets)]
 
 
