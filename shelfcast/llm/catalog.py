@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .exact_dedup import dedup_digest
 from .jaccard import join_digest
+from .katz import katz_digest
 from .packing import packing_digest
 from .quality import quality_digest
 from .repair import shard_round_trip
@@ -32,6 +33,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(read(spark, sf_dir, "documents"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_digest(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan)}
+    op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op4_katz_backoff, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan)}
 SQL: dict[str, str] = {
     "op1_warc_dictionary": """
         with p as (select page_id, coalesce(html, '') as html from pages),
