@@ -34,6 +34,7 @@ from .vocab import with_end, word_bpe
 END = 2  # fixed by the contract
 MAGIC = b"RePair01"
 SHARD_IDS, ROUNDS, PER_ROUND, MIN_COUNT, STEP = 1 << 20, 8, 2048, 12, 1024
+CELLS = 1 << 20
 
 
 def chosen(rank: np.ndarray) -> np.ndarray:
@@ -53,15 +54,17 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        code, seen = pd.factorize(pairs)
-        counts = np.bincount(code)
-        counts[(seen >> 32) == end] = 0
+        # places whose pair can be frequent: as many share its cell of a table, whatever the pair
+        cell = (symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA6B >> 8) & CELLS - 1
+        often = np.flatnonzero((np.bincount(cell, minlength=CELLS)[cell] >= MIN_COUNT) & (symbols[:-1] != end))
+        code, seen = pd.factorize((symbols[often] << 32) | symbols[often + 1])
+        counts = np.bincount(code, minlength=1)[:len(seen)]
         top = np.argsort(-counts, kind="stable")[:PER_ROUND]
         top = top[counts[top] >= MIN_COUNT]
-        rank = np.full(len(seen), -1, np.int64)
-        rank[top] = np.arange(len(top))
-        rank = rank[code]
+        ranks = np.full(len(seen), -1, np.int64)
+        ranks[top] = np.arange(len(top))
+        rank = np.full(len(symbols) - 1, -1, np.int64)
+        rank[often] = ranks[code]
         at = np.flatnonzero(chosen(rank))
         held = np.bincount(rank[at], minlength=len(top)) >= MIN_COUNT
         if not held.any():

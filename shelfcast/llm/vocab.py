@@ -18,6 +18,8 @@ from .textgrid import kept, slice_hashes, word_bounds
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 TABLE_ROWS = 400_000
+GROUP = 1000
+SPACE_BYTES = bytes([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])  # those with which any white space begins
 
 
 def word_stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,20 +54,31 @@ class StretchTable:
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.size = np.zeros(TABLE_ROWS, np.int64), np.zeros(TABLE_ROWS, np.int32)
+        self.first, self.size, self.hits = (np.zeros(TABLE_ROWS, np.int64) for _ in range(3))
+
+    def prune(self) -> None:
+        """Keep the half of the stretches that were met most often."""
+        n = len(self.rows)
+        stay = np.zeros(n, bool)
+        stay[np.argsort(-self.hits[:n], kind="stable")[:n // 2]] = True
+        keys, size = np.fromiter(self.rows, np.int64, n)[stay], self.size[:n][stay]
+        upto = np.cumsum(size)
+        flat = self.ids[np.repeat(self.first[:n][stay] - (upto - size), size) + np.arange(int(size.sum()))]
+        hits = self.hits[:n][stay]
+        self.clear()
+        self.put(keys.tolist(), flat, size)
+        self.hits[:len(hits)] = hits // 2
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these stretches, and how many each has."""
         raise NotImplementedError
 
-    def add(self, keys: list[int], pieces: list[bytes]) -> None:
-        flat, sizes = self.encode_new(pieces)
+    def put(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.rows), len(sizes)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         if n + m > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(n + m, np.int64)])
-            self.size = np.concatenate([self.size, np.zeros(n + m, np.int32)])
+            self.first, self.size, self.hits = (np.concatenate([x, np.zeros(n + m, np.int64)]) for x in (self.first, self.size, self.hits))
         self.ids[self.used:self.used + len(flat)] = flat
         self.first[n:n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n:n + m] = sizes
@@ -74,9 +87,9 @@ class StretchTable:
 
     def encode_stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the stretches among them."""
-        code, keys = pd.factorize(slice_hashes(data, starts, ends))
+        code, keys = pd.factorize(slice_hashes(data, starts, ends).view(np.int64))
         if len(self.rows) > TABLE_ROWS:
-            self.clear()
+            self.prune()
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.rows]
         if new:
@@ -84,9 +97,11 @@ class StretchTable:
             at[code[::-1]] = np.arange(len(code))[::-1]  # where each stretch occurs first
             whole = data.tobytes()
             where = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            self.add([keys[i] for i in new], [whole[s:e] for s, e in where])
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))[code]
-        size = self.size[row].astype(np.int64)
+            self.put([keys[i] for i in new], *self.encode_new([whole[s:e] for s, e in where]))
+        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        self.hits[row] += np.bincount(code, minlength=len(row))
+        row = row[code]
+        size = self.size[row]
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])
         return self.ids[np.repeat(self.first[row] - upto[:-1], size) + np.arange(upto[-1])], upto
@@ -95,17 +110,40 @@ class StretchTable:
 class Vocabulary(StretchTable):
     """Encodes texts with one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, stretches: Callable) -> None:
+    def __init__(self, path: str, stretches: Callable, between: str, bars: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.stretches = Tokenizer.from_file(path), stretches
         self.library.encode_special_tokens = True
+        # new stretches are encoded as one text with ``between`` between them, a word of one id that no
+        # stretch without the bytes ``bars`` (after its first) can give or touch
+        self.between, self.bars = between, bars
+        (self.mark,) = self.library.encode(between, add_special_tokens=False).ids
         super().__init__()
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        return np.fromiter((x for g in got for x in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        join = [len(p) > 1 and len(p.translate(None, self.bars)) == len(p) - (p[0] == 32) for p in pieces]
+        together, alone = [p for p, j in zip(pieces, join) if j], [p for p, j in zip(pieces, join) if not j]
+        between = self.between.encode()
+        groups = [between.join(together[i:i + GROUP]).decode() for i in range(0, len(together), GROUP)]
+        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(groups, add_special_tokens=False)]
+        parts = [x for g in got for x in (g, [self.mark])]
+        ids = np.concatenate([*parts, np.zeros(0)]).astype(np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        sizes = np.diff(marks, prepend=-1) - 1
+        if len(sizes) != len(together):
+            raise ValueError("a stretch was not told from its neighbours")
+        ids = np.delete(ids, marks)
+        if not alone:
+            return ids, sizes
+        own = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
+        join = np.array(join)
+        all_sizes = np.zeros(len(pieces), np.int64)
+        all_sizes[join], all_sizes[~join] = sizes, [len(o) for o in own]
+        out, of = np.zeros(int(all_sizes.sum()), np.uint32), np.repeat(join, all_sizes)
+        out[of], out[~of] = ids, [x for o in own for x in o]
+        return out, all_sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them."""
@@ -116,12 +154,12 @@ class Vocabulary(StretchTable):
 
 def byte_bpe(path: str | None = None) -> Vocabulary:
     path = path or public_tokenizers.path(BYTE_BPE)
-    return kept(f"vocabulary {path}", lambda: Vocabulary(path, led_stretches))
+    return kept(f"vocabulary {path}", lambda: Vocabulary(path, led_stretches, "\n", SPACE_BYTES))
 
 
 def word_bpe(path: str | None = None) -> Vocabulary:
     path = path or public_tokenizers.path(WORD_BPE)
-    return kept(f"vocabulary {path}", lambda: Vocabulary(path, word_stretches))
+    return kept(f"vocabulary {path}", lambda: Vocabulary(path, word_stretches, " \x01 ", b" \x01"))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
