@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,106 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .merges import PairMerges
+from .pretokens import slices
+from .stretches import StretchTable
 from .tables import mapped
 from .textgrid import byte_array, kept, sliced
-from .vocab import StretchTable
 
 RANKS = "byte_bpe_50k.tiktoken"
-LETTER, NUMBER, OTHER, LED, LAST, INNER, SHORT, LONG = range(8)  # classes; LED: space before a solid sign, LAST: other white space there
-FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_SPACES, ONE_MORE, TWO_MORE = range(8)  # states
-BLOCK, LONG_SLICE = 256, 192
-
-
-def automaton() -> tuple[np.ndarray, np.ndarray]:
-    """Next state and "a slice starts here" for 16 classes (the second eight: at a text's first code point) x 8 states."""
-    go, cut = np.zeros((16, 8), np.uint8), np.ones((16, 8), bool)
-    for kind, own in ((LETTER, IN_LETTERS), (NUMBER, IN_NUMBERS), (OTHER, IN_OTHERS)):
-        go[kind] = own
-        cut[kind, [own, AFTER_SPACE]] = False
-    for kind, state in ((SHORT, ONE_MORE), (LONG, TWO_MORE)):
-        go[kind] = state
-        go[kind, [IN_OTHERS, AFTER_SPACE]] = IN_OTHERS
-        cut[kind, [IN_OTHERS, AFTER_SPACE]] = False
-    go[LETTER, ONE_MORE], go[LETTER, TWO_MORE] = FRESH, ONE_MORE
-    cut[LETTER, [ONE_MORE, TWO_MORE]] = False
-    go[LED], go[LAST], go[INNER] = AFTER_SPACE, FRESH, IN_SPACES
-    cut[INNER, IN_SPACES] = False
-    go[8:] = go[:8, FRESH][:, None]
-    return go.ravel(), cut.ravel()
-
-
-class Classes:
-    """Letter, number, white space or other: the splitting library's own tables, asked once per code point."""
-
-    def __init__(self) -> None:
-        import tiktoken
-
-        single = {bytes([i]): i for i in range(256)}
-        self.ask = [tiktoken.Encoding(f"class {p}", pat_str=p, mergeable_ranks=single, special_tokens={}) for p in (r"\p{L}", r"\p{N}", r"\s")]
-        self.table = np.full(0x110000, 255, np.uint8)
-
-    def of(self, points: np.ndarray) -> np.ndarray:
-        got = self.table[points]
-        if (got == 255).any():
-            for c in np.unique(points[got == 255]).tolist():
-                letter, number, space = (bool(a.encode_ordinary(chr(c))) for a in self.ask)
-                self.table[c] = LETTER if letter else NUMBER if number else INNER if space else OTHER
-            got = self.table[points]
-        return got
-
-
-def classes(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The class of each code point with its look-ahead; ``first`` holds where texts begin."""
-    kind = kept("code point classes", Classes).of(points).copy()
-    edge = np.zeros(len(points) + 2, bool)
-    edge[first] = True
-    edge[len(points):] = True
-    space, after = kind == INNER, np.append(kind[1:], INNER)
-    led = space & (after != INNER) & ~edge[1:-1]
-    kind[led] = np.where(points[led] == 32, LED, LAST)
-    quote = np.flatnonzero((points == 39) & ~edge[1:-1])
-    one = points[quote + 1]
-    kind[quote[np.isin(one, [ord(c) for c in "stmd"])]] = SHORT
-    pairs = quote[~edge[quote + 2]]
-    two = points[pairs + 1].astype(np.int64) << 32 | points[pairs + 2]
-    kind[pairs[np.isin(two, [ord(a) << 32 | ord(b) for a, b in ("re", "ve", "ll")])]] = LONG
-    kind[first[first < len(points)]] += 8
-    return kind
-
-
-def slice_starts(kind: np.ndarray) -> np.ndarray:
-    """Which code points start a slice: the scan over composed transition functions."""
-    go, cut = kept("automaton", automaton)
-    n, m = len(kind), -(-len(kind) // BLOCK)
-    rows = np.full(m * BLOCK, LAST, np.int64)
-    rows[:n] = kind
-    rows = np.ascontiguousarray(rows.reshape(m, BLOCK).T) * 8
-    maps = np.tile(np.arange(8, dtype=np.uint8), (m, 1))  # each block's function of its first state
-    for own in rows:
-        maps = go[own[:, None] + maps]
-    step = 1
-    while step < m:  # maps[i]: blocks up to i, composed
-        later = maps.copy()
-        later[step:] = np.take_along_axis(maps[step:], maps[:-step].astype(np.int64), 1)
-        maps, step = later, step * 2
-    state = np.full(m, FRESH, np.int64)
-    state[1:] = maps[:-1, FRESH]
-    found = np.zeros((BLOCK, m), bool)
-    for i, own in enumerate(rows):
-        at = own + state
-        found[i], state = cut[at], go[at]
-    return found.T.ravel()[:n]
-
-
-def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the pre-tokens of all texts."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    first = np.unique(np.searchsorted(lead, offsets[:-1][offsets[:-1] < len(data)]))
-    starts = lead[slice_starts(classes(points, first))]
-    return starts, np.append(starts[1:], len(data))
 
 
 class Merger(StretchTable):
@@ -134,10 +40,7 @@ class Merger(StretchTable):
         known = [(a, b, rank) for whole, rank in self.ranks.items() for k in range(1, len(whole))
                  if (a := self.ranks.get(whole[:k])) is not None and (b := self.ranks.get(whole[k:])) is not None]
         pairs = np.array(known, np.int64)
-        key = pairs[:, 0] << 20 | pairs[:, 1]
-        order = np.argsort(key)
-        self.pair_key, self.pair_rank = np.append(key[order], np.iinfo(np.int64).max), np.append(pairs[order, 2], -1)
-        self.pairs = dict(zip(key.tolist(), pairs[:, 2].tolist()))
+        self.merges = PairMerges(pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 2])
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         by_rank = sorted(self.ranks.items(), key=lambda x: x[1])
         size = np.zeros(by_rank[-1][1] + 1, np.int64)
@@ -147,73 +50,16 @@ class Merger(StretchTable):
         self.names = [str(i) for i in range(len(size))]
         super().__init__()
 
-    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of joined neighbours; a large number where no token is their join."""
-        key = a << 20 | b
-        at = np.searchsorted(self.pair_key, key)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], 1 << 40)
-
-    def merge_one(self, piece: bytes) -> list[int]:
-        """A long slice alone, with a heap of its pairs."""
-        ids, n = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := self.pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := self.pairs.get(ids[left] << 20 | ids[right])) is not None:
-                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
-        return [x for x in ids if x >= 0]
-
-    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Short slices together: in each round every slice merges its leftmost pair of the least rank."""
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        ids, owner = self.byte[raw], np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-        done_ids, done_owner = [], []
-        while len(ids):
-            rank = np.full(len(ids), 1 << 40)
-            inside = np.flatnonzero(owner[1:] == owner[:-1])
-            rank[inside] = self.rank_of(ids[inside], ids[inside + 1])
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            least = np.minimum.reduceat(rank, first)
-            count = np.diff(np.append(first, len(ids)))
-            over = np.repeat(least == 1 << 40, count)
-            if over.any():
-                done_ids.append(ids[over])
-                done_owner.append(owner[over])
-            least = np.repeat(least, count)
-            hit = np.flatnonzero((rank == least) & ~over)
-            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])] if len(hit) else hit
-            ids[hit] = rank[hit]
-            stay = ~over
-            stay[hit + 1] = False
-            ids, owner = ids[stay], owner[stay]
-        if not done_ids:
-            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
-        all_ids, all_owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        order = np.argsort(all_owner, kind="stable")
-        return all_ids[order], np.bincount(all_owner, minlength=len(pieces))
-
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [self.ranks.get(p) for p in pieces]
-        out: list = [None if w is None else [w] for w in whole]
-        short = [i for i, p in enumerate(pieces) if out[i] is None and len(p) <= LONG_SLICE]
-        ids, sizes = self.merge_all([pieces[i] for i in short])
-        ids, at = ids.tolist(), 0
-        for i, n in zip(short, sizes.tolist()):
-            out[i] = ids[at:at + n]
-            at += n
-        for i, p in enumerate(pieces):
-            if out[i] is None:
-                out[i] = self.merge_one(p)
-        return np.fromiter((x for o in out for x in o), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        rest = whole < 0
+        raw = [p for p, r in zip(pieces, rest.tolist()) if r]
+        ids, sizes = self.merges.merge(self.byte[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(p) for p in raw], np.int64))
+        all_sizes = np.ones(len(pieces), np.int64)
+        all_sizes[rest] = sizes
+        out, of = np.zeros(int(all_sizes.sum()), np.int64), np.repeat(rest, all_sizes)
+        out[of], out[~of] = ids, whole[~rest]
+        return out, all_sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them."""

@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, asked once for each different stretch of text.
+"""Token ids as the tokenizers library gives them, made once for each different stretch of text.
 
 Texts are cut where the tokenizer's own pre-tokenisation must cut, whatever stands around: so a text's
 ids are those of its stretches in order. Stretches are told apart by a 64-bit hash of their bytes, and the ids
@@ -7,19 +7,20 @@ of those seen before come from a table of bounded size. The vocabulary file is r
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 
-from .textgrid import kept, slice_hashes, word_bounds
+from .merges import PairMerges
+from .pretokens import slices
+from .stretches import StretchTable
+from .textgrid import kept, word_bounds
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-TABLE_ROWS = 400_000
-GROUP = 1000
-SPACE_BYTES = bytes([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])  # those with which any white space begins
+PLAIN = bytes([*range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+DOTTED = "\u0130".encode()  # its lower case is longer
 
 
 def word_stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,121 +46,70 @@ def led_stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, np.append(starts[1:], len(data))
 
 
-class StretchTable:
-    """Ids of stretches by their hash; a bounded number is kept."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.size, self.hits = (np.zeros(TABLE_ROWS, np.int64) for _ in range(3))
-
-    def prune(self) -> None:
-        """Keep the half of the stretches that were met most often."""
-        n = len(self.rows)
-        stay = np.zeros(n, bool)
-        stay[np.argsort(-self.hits[:n], kind="stable")[:n // 2]] = True
-        keys, size = np.fromiter(self.rows, np.int64, n)[stay], self.size[:n][stay]
-        upto = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[:n][stay] - (upto - size), size) + np.arange(int(size.sum()))]
-        hits = self.hits[:n][stay]
-        self.clear()
-        self.put(keys.tolist(), flat, size)
-        self.hits[:len(hits)] = hits // 2
-
-    def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of these stretches, and how many each has."""
-        raise NotImplementedError
-
-    def put(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.rows), len(sizes)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n + m > len(self.first):
-            self.first, self.size, self.hits = (np.concatenate([x, np.zeros(n + m, np.int64)]) for x in (self.first, self.size, self.hits))
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.first[n:n + m] = self.used + np.cumsum(sizes) - sizes
-        self.size[n:n + m] = sizes
-        self.used += len(flat)
-        self.rows.update(zip(keys, range(n, n + m)))
-
-    def encode_stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n + 1 offsets of the stretches among them."""
-        code, keys = pd.factorize(slice_hashes(data, starts, ends).view(np.int64))
-        if len(self.rows) > TABLE_ROWS:
-            self.prune()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.rows]
-        if new:
-            at = np.zeros(len(keys), np.int64)
-            at[code[::-1]] = np.arange(len(code))[::-1]  # where each stretch occurs first
-            whole = data.tobytes()
-            where = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            self.put([keys[i] for i in new], *self.encode_new([whole[s:e] for s, e in where]))
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        self.hits[row] += np.bincount(code, minlength=len(row))
-        row = row[code]
-        size = self.size[row]
-        upto = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=upto[1:])
-        return self.ids[np.repeat(self.first[row] - upto[:-1], size) + np.arange(upto[-1])], upto
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in vocabulary files: itself where printable, else one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
 class Vocabulary(StretchTable):
-    """Encodes texts with one vocabulary file of the tokenizers library."""
+    """Encodes texts with one vocabulary file.
+
+    New stretches of plain signs (ASCII and Latin letters to U+017F, which no normal form changes) are cut by the
+    automaton of pretokens and merged together; the library encodes all others, one by one.
+    """
 
-    def __init__(self, path: str, stretches: Callable, between: str, bars: bytes) -> None:
+    def __init__(self, path: str, words: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.stretches = Tokenizer.from_file(path), stretches
+        self.library, self.words = Tokenizer.from_file(path), words
         self.library.encode_special_tokens = True
-        # new stretches are encoded as one text with ``between`` between them, a word of one id that no
-        # stretch without the bytes ``bars`` (after its first) can give or touch
-        self.between, self.bars = between, bars
-        (self.mark,) = self.library.encode(between, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, close = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        a, b, into = (np.array([vocabulary[x] for x in col], np.int64) for col in zip(*((a, b, a + b) for a, b in pairs)))
+        self.merges = PairMerges(a, b, np.arange(len(pairs)), into)
+        self.inner, self.last = (np.array([vocabulary[c + end] for c in byte_signs()], np.int64) for end in ("", close))
         super().__init__()
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        join = [len(p) > 1 and len(p.translate(None, self.bars)) == len(p) - (p[0] == 32) for p in pieces]
-        together, alone = [p for p, j in zip(pieces, join) if j], [p for p, j in zip(pieces, join) if not j]
-        between = self.between.encode()
-        groups = [between.join(together[i:i + GROUP]).decode() for i in range(0, len(together), GROUP)]
-        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(groups, add_special_tokens=False)]
-        parts = [x for g in got for x in (g, [self.mark])]
-        ids = np.concatenate([*parts, np.zeros(0)]).astype(np.uint32)
-        marks = np.flatnonzero(ids == self.mark)
-        sizes = np.diff(marks, prepend=-1) - 1
-        if len(sizes) != len(together):
-            raise ValueError("a stretch was not told from its neighbours")
-        ids = np.delete(ids, marks)
-        if not alone:
+        plain = np.array([not p.translate(None, PLAIN) and DOTTED not in p and p.find(b" ", 1) < 0 for p in pieces])
+        own = b"".join(p for p, j in zip(pieces, plain.tolist()) if j)
+        bounds = np.cumsum([0, *(len(p) for p, j in zip(pieces, plain.tolist()) if j)])
+        data = np.frombuffer(own.decode().lower().encode() if self.words else own, np.uint8)
+        starts, ends = slices(data, bounds, self.words)
+        first = self.inner[data]
+        first[ends - 1] = self.last[data[ends - 1]]
+        ids, sizes = self.merges.merge(first, ends - starts)
+        upto = np.append(0, np.cumsum(sizes))
+        sizes = np.diff(upto[np.searchsorted(starts, bounds)])
+        if plain.all():
             return ids, sizes
-        own = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
-        join = np.array(join)
+        other = [e.ids for e in self.library.encode_batch_fast([p.decode() for p, j in zip(pieces, plain.tolist()) if not j], add_special_tokens=False)]
         all_sizes = np.zeros(len(pieces), np.int64)
-        all_sizes[join], all_sizes[~join] = sizes, [len(o) for o in own]
-        out, of = np.zeros(int(all_sizes.sum()), np.uint32), np.repeat(join, all_sizes)
-        out[of], out[~of] = ids, [x for o in own for x in o]
+        all_sizes[plain], all_sizes[~plain] = sizes, [len(o) for o in other]
+        out, of = np.zeros(int(all_sizes.sum()), np.int64), np.repeat(plain, all_sizes)
+        out[of], out[~of] = ids, [x for o in other for x in o]
         return out, all_sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them."""
-        starts, ends = self.stretches(data, offsets)
+        starts, ends = (word_stretches if self.words else led_stretches)(data, offsets)
         ids, upto = self.encode_stretches(data, starts, ends)
         return ids, upto[np.searchsorted(starts, offsets)]
 
 
 def byte_bpe(path: str | None = None) -> Vocabulary:
     path = path or public_tokenizers.path(BYTE_BPE)
-    return kept(f"vocabulary {path}", lambda: Vocabulary(path, led_stretches, "\n", SPACE_BYTES))
+    return kept(f"vocabulary {path}", lambda: Vocabulary(path, words=False))
 
 
 def word_bpe(path: str | None = None) -> Vocabulary:
     path = path or public_tokenizers.path(WORD_BPE)
-    return kept(f"vocabulary {path}", lambda: Vocabulary(path, word_stretches, " \x01 ", b" \x01"))
+    return kept(f"vocabulary {path}", lambda: Vocabulary(path, words=True))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

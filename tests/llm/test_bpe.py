@@ -5,7 +5,9 @@ import random
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from shelfcast.llm.bpe import LONG_SLICE, bpe_digest, encoded, merger, slices
+from shelfcast.llm.bpe import bpe_digest, encoded, merger
+from shelfcast.llm.merges import LONG_SLICE
+from shelfcast.llm.pretokens import slices
 from shelfcast.llm.textgrid import byte_array
 
 from . import hard_cases as H

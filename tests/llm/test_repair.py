@@ -23,7 +23,8 @@ def library(name):
 
 @pytest.mark.parametrize("name, vocabulary", [("byte_bpe_50k.json", byte_bpe), ("word_bpe_49k.json", word_bpe)])
 def test_cached_ids_equal_the_library(name, vocabulary):
-    texts = [*ODD, *H.texts(), *(a + b for a in ODD for b in ODD)]
+    latin = "".join(map(chr, [*range(32, 127), *range(0xA0, 0x180)]))
+    texts = [*ODD, *H.texts(), *(a + b for a in ODD for b in ODD), latin, *(f"a{c}'S {c}{c}1{c}2 x" for c in latin), "x" * 300 + "Y" * 300, "ab" * 200 + " '" + "=" * 400]
     ids, bounds = vocabulary().encode(*byte_array(pa.array(texts)))
     encode = library(name)
     for i, t in enumerate(texts):
