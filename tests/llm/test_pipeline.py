@@ -12,12 +12,12 @@ from .test_repair import library
 def tables(spark, folder):
     clean = [*near_copies(2, 5, 8), *[t for t in H.texts() if t is None or len(t) < 5000], "clean secret = 0123456789abcdef end of it", "word " * 1100]
     clean += [clean[0], clean[1].replace(" ", "  "), clean[0]]
-    toxic = [f"you stupid idiot number {i} " + near_copies(i, 1, 2)[0] for i in range(120)]
+    toxic = [f"you stupid idiot number {i}" for i in range(120)]
     docs = H.docs(spark, clean + toxic)
     docs.write.parquet(f"{folder}/documents.parquet")
     fine = [f"some fine words about {i}" for i in range(120)]
     H.docs(spark, fine, 5000).write.mode("append").parquet(f"{folder}/documents.parquet")
-    marks = [(len(clean) + i, 1, 1) for i in range(100)] + [(5000 + i, 1, 0) for i in range(120)]
+    marks = [(len(clean) + i, 1, 1) for i in range(100)] + [(5000 + i, 1, 0) for i in range(120)] + [(i, 1, 0) for i in range(len(clean))]
     H.labels(spark, marks).write.parquet(f"{folder}/labels.parquet")
     rows = {i: t for i, t in enumerate(clean)} | {5000 + i: t for i, t in enumerate(fine)}
     return rows
