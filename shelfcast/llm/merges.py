@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 
-NONE, LONG_SLICE = 1 << 40, 192
+NONE, LONG_SLICE, SLOTS = 1 << 40, 192, 1 << 21
 
 
 class PairMerges:
@@ -17,13 +17,29 @@ class PairMerges:
         order = np.argsort(key)
         self.key = np.append(key[order], np.iinfo(np.int64).max)
         self.rank, self.into = np.append(rank[order], NONE), np.append(into[order], -1)
+        # a row for most keys by a hash; keys that share a slot with another are searched for
+        slot = self.slot(self.key[:-1])
+        self.at_slot = np.full(SLOTS, len(self.key) - 1)
+        self.at_slot[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=SLOTS) > 1
         self.pairs = dict(zip(key.tolist(), zip(rank.tolist(), into.tolist())))
 
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return (key * 0x2545F4914F6CDD1D >> 40) & SLOTS - 1
+
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Row of each pair; the last row if there is none."""
         key = a << 20 | b
-        at = np.searchsorted(self.key, key)
-        return np.where(self.key[at] == key, at, len(self.key) - 1)
+        slot = self.slot(key)
+        at = self.at_slot[slot]
+        wrong = np.flatnonzero(self.key[at] != key)
+        at[wrong] = len(self.key) - 1
+        again = wrong[self.crowded[slot[wrong]]]
+        if len(again):
+            found = np.searchsorted(self.key, key[again])
+            at[again] = np.where(self.key[found] == key[again], found, len(self.key) - 1)
+        return at
 
     def merge_one(self, ids: list[int]) -> list[int]:
         """A long slice alone, with a heap of its pairs."""

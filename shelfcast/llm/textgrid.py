@@ -15,7 +15,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 5  # odd and 5 modulo 8: its powers differ late
 
 
@@ -94,8 +94,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def both(size: int) -> tuple[np.ndarray, np.ndarray]:
         return build(BASE, size), build(pow(BASE, -1, 1 << 64), size)
 
-    size = 1 << max(21, int(n).bit_length())
-    return kept("powers" if size == 1 << 21 else f"powers{size}", lambda: both(size)) if size <= 1 << 23 else both(size)
+    size = 1 << max(20, int(n - 2).bit_length())
+    return kept(f"powers {size}", lambda: both(size)) if size <= 1 << 21 else both(size)
 
 
 def byte_values() -> np.ndarray:
