@@ -34,36 +34,39 @@ from .vocab import with_end, word_bpe
 END = 2  # fixed by the contract
 MAGIC = b"RePair01"
 SHARD_IDS, ROUNDS, PER_ROUND, MIN_COUNT, STEP = 1 << 20, 8, 2048, 12, 1024
-CELLS = 1 << 20
+CELL_BITS = 20
 
 
 def chosen(rank: np.ndarray) -> np.ndarray:
     """Places whose pair goes before both overlapping ones; in a run of equal ids every other place."""
-    n = len(rank)
-    same = np.zeros(n, bool)
-    same[1:] = rank[1:] == rank[:-1]
-    run = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-    key = np.full(n + 2, np.iinfo(np.int64).max)
-    key[1:-1] = np.where(rank < 0, np.iinfo(np.int64).max, rank * 2 + (run & 1))
-    return (rank >= 0) & (key[1:-1] < key[:-2]) & (key[1:-1] < key[2:])
+    n, none = len(rank), np.iinfo(np.int32).max
+    key = np.full(n + 2, none, np.int32)
+    key[1:-1] = rank * 2
+    key[1:-1][rank < 0] = none
+    same = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] >= 0)) + 1
+    if len(same):
+        start = np.append(True, np.diff(same) > 1)
+        begin = same[start][np.cumsum(start) - 1] - 1  # where each run begins
+        key[same + 1] += ((same - begin) & 1).astype(np.int32)
+    return (key[1:-1] != none) & (key[1:-1] < key[:-2]) & (key[1:-1] < key[2:])
 
 
 def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules: symbol base + r stands for the pair rules[r]."""
-    symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
         # places whose pair can be frequent: as many share its cell of a table, whatever the pair
-        cell = (symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA6B >> 8) & CELLS - 1
-        often = np.flatnonzero((np.bincount(cell, minlength=CELLS)[cell] >= MIN_COUNT) & (symbols[:-1] != end))
-        code, seen = pd.factorize((symbols[often] << 32) | symbols[often + 1])
+        cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
+        often = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= MIN_COUNT)[cell] & (symbols[:-1] != end))
+        code, seen = pd.factorize((symbols[often].astype(np.int64) << 32) | symbols[often + 1])
         counts = np.bincount(code, minlength=1)[:len(seen)]
         top = np.argsort(-counts, kind="stable")[:PER_ROUND]
         top = top[counts[top] >= MIN_COUNT]
-        ranks = np.full(len(seen), -1, np.int64)
+        ranks = np.full(len(seen), -1, np.int32)
         ranks[top] = np.arange(len(top))
-        rank = np.full(len(symbols) - 1, -1, np.int64)
+        rank = np.full(len(symbols) - 1, -1, np.int32)
         rank[often] = ranks[code]
         at = np.flatnonzero(chosen(rank))
         held = np.bincount(rank[at], minlength=len(top)) >= MIN_COUNT
@@ -72,10 +75,12 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
         at = at[held[rank[at]]]
         number = np.cumsum(held) - 1 + base + len(rules)
         symbols[at] = number[rank[at]]
-        symbols = np.delete(symbols, at + 1)
+        stay = np.ones(len(symbols), bool)
+        stay[at + 1] = False
+        symbols = symbols[stay]
         new = seen[top[held]]
         rules = np.concatenate([rules, np.column_stack([new >> 32, new & 0xFFFFFFFF])])
-    return symbols, rules
+    return symbols.astype(np.int64), rules
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:

@@ -7,66 +7,45 @@ import pandas as pd
 
 from .textgrid import slice_hashes
 
-TABLE_ROWS = 400_000
+SLOTS, KEPT_IDS = 1 << 20, 1 << 22
 
 
 class StretchTable:
-    """Ids of stretches by their hash; a bounded number is kept."""
+    """Ids of stretches by their hash. Each hash has one slot; a newcomer takes it over, and what was there is encoded anew when it comes again."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.size, self.hits = (np.zeros(TABLE_ROWS, np.int64) for _ in range(3))
-
-    def prune(self) -> None:
-        """Keep the half of the stretches that were met most often."""
-        n = len(self.rows)
-        stay = np.zeros(n, bool)
-        stay[np.argsort(-self.hits[:n], kind="stable")[:n // 2]] = True
-        keys, size = np.fromiter(self.rows, np.int64, n)[stay], self.size[:n][stay]
-        upto = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[:n][stay] - (upto - size), size) + np.arange(int(size.sum()))]
-        hits = self.hits[:n][stay]
-        self.clear()
-        self.put(keys.tolist(), flat, size)
-        self.hits[:len(hits)] = hits // 2
+        self.keys, self.first, self.size = (np.zeros(SLOTS, np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(KEPT_IDS, np.uint32), 0
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these stretches, and how many each has."""
         raise NotImplementedError
 
-    def put(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.rows), len(sizes)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n + m > len(self.first):
-            self.first, self.size, self.hits = (np.concatenate([x, np.zeros(n + m, np.int64)]) for x in (self.first, self.size, self.hits))
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.first[n:n + m] = self.used + np.cumsum(sizes) - sizes
-        self.size[n:n + m] = sizes
-        self.used += len(flat)
-        self.rows.update(zip(keys, range(n, n + m)))
-
     def encode_stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the stretches among them."""
-        code, keys = pd.factorize(slice_hashes(data, starts, ends).view(np.int64))
-        if len(self.rows) > TABLE_ROWS:
-            self.prune()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.rows]
-        if new:
+        code, keys = pd.factorize(slice_hashes(data, starts, ends).view(np.int64) | 1)
+        slot = keys >> 1 & SLOTS - 1
+        new = np.flatnonzero(self.keys[slot] != keys)
+        first, size, ids = self.first[slot], self.size[slot], self.ids
+        if len(new):
             at = np.zeros(len(keys), np.int64)
             at[code[::-1]] = np.arange(len(code))[::-1]  # where each stretch occurs first
             whole = data.tobytes()
-            where = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            self.put([keys[i] for i in new], *self.encode_new([whole[s:e] for s, e in where]))
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        self.hits[row] += np.bincount(code, minlength=len(row))
-        row = row[code]
-        size = self.size[row]
+            flat, sizes = self.encode_new([whole[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            if self.used + len(flat) <= len(self.ids):
+                begin = self.used
+                self.ids[begin:begin + len(flat)] = flat
+                self.used += len(flat)
+            else:  # a full table starts over; this call still reads the old one
+                begin, ids = len(self.ids), np.concatenate([self.ids, flat.astype(np.uint32)])
+                self.clear()
+            first[new], size[new] = begin + np.cumsum(sizes) - sizes, sizes
+            if begin < KEPT_IDS:
+                self.keys[slot[new]], self.first[slot[new]], self.size[slot[new]] = keys[new], first[new], sizes
+        first, size = first[code], size[code]
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])
-        return self.ids[np.repeat(self.first[row] - upto[:-1], size) + np.arange(upto[-1])], upto
+        return ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])], upto
