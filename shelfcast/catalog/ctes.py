@@ -459,25 +459,29 @@ SELECT *, lag_7 AS pred, avg(lag_7) OVER ({_HW} ROWS 6 PRECEDING) AS rmean_7, av
 FROM (SELECT *, lag(y, 7) OVER ({_HW}) AS lag_7, lag(y, 14) OVER ({_HW}) AS lag_14, lag(empty, 7) OVER ({_HW}) AS oos_lag
       FROM (SELECT *, CASE WHEN day > cutoff THEN observed ELSE rec_profile END AS y FROM grouped))""")
 block("hpred", "hframe", """
-SELECT t.target, t.training_target, h.*, CASE WHEN t.target = 'observed' THEN rmean_7 ELSE dow_mean END AS p,
+SELECT t.target, t.training_target, h.*, greatest(observed, CASE WHEN empty = 0 THEN observed ELSE level END) AS level_truth, CASE WHEN t.target = 'observed' THEN rmean_7 ELSE dow_mean END AS p,
        CASE WHEN t.target = 'observed' THEN observed ELSE rec_profile END AS own_truth
-FROM hframe h CROSS JOIN (VALUES ('observed', 'raw sales (baseline)'), ('rec_profile', 'recovered: profile scaling'))
+FROM hframe h CROSS JOIN (VALUES ('observed', 'sold'), ('rec_profile', 'by_profile'))
      t(target, training_target)
 WHERE day > cutoff AND day <= cutoff + 7""")
-block("hratio", "hpred", """
-SELECT target, sum(own_truth) / greatest(sum(p), 1e-9) AS multiplier FROM hpred GROUP BY target""")
+block("hpred_before", "hframe", """
+SELECT t.target, CASE WHEN t.target = 'observed' THEN rmean_7 ELSE dow_mean END AS p,
+       CASE WHEN t.target = 'observed' THEN observed ELSE rec_profile END AS own_truth
+FROM hframe h CROSS JOIN (VALUES ('observed'), ('rec_profile')) t(target) WHERE day > cutoff - 7 AND day <= cutoff""")
+block("hratio", "hpred_before", """
+SELECT target, sum(own_truth) / greatest(sum(p), 1e-9) AS multiplier FROM hpred_before GROUP BY target""")
 block("hvariants", "hpred hratio", """
 SELECT * FROM (SELECT * REPLACE (p AS p) FROM hpred
-UNION ALL SELECT h.* REPLACE (h.p * r.multiplier AS p, h.training_target || ' + calibration' AS training_target)
+UNION ALL SELECT h.* REPLACE (h.p * r.multiplier AS p, h.training_target || ' x ratio' AS training_target)
 FROM hpred h JOIN hratio r USING (target))""")
 block("hviews", "hvariants", """
 SELECT training_target, v.eval_view, v.truth AS y, p AS f FROM hvariants, LATERAL (VALUES
-  (CASE WHEN empty = 0 THEN 'A. in-stock days only (paper protocol)' END, observed),
-  ('B. all days vs raw sales (censored)', observed),
-  ('C. all days vs recovered demand, model (censoring-aware)', rec_profile),
-  ('C2. all days vs recovered demand, profile (independent check)', rec_profile),
+  (CASE WHEN empty = 0 THEN 'A.in_stock' END, observed),
+  ('B.sold', observed),
+  ('C.recovered', level_truth),
+  ('C2.profile', rec_profile),
   (CASE WHEN empty = 0 THEN 'A, ' || sale_group || ' series' END, observed),
-  ('C, ' || sale_group || ' series', rec_profile)) v(eval_view, truth)
+  ('C, ' || sale_group || ' series', level_truth)) v(eval_view, truth)
 WHERE v.eval_view IS NOT NULL""")
 for _n in ("prof0", "prof1", "prof2"):
     BLOCKS[_n] = (BLOCKS[_n][0], BLOCKS[_n][1].replace("MIN_DAYS", "20"))

@@ -110,9 +110,10 @@ def _(spark, d):
 
 @register("wide_to_long", query("bronze", """
 SELECT store_id, sku_id, make_date(y, 1, 1) AS date, CAST(sum(units_sold) FILTER (year(date) = y) AS DOUBLE) AS units_sold
-FROM bronze, (SELECT CAST(unnest(range(1995, 2002)) AS INTEGER) AS y) GROUP BY store_id, sku_id, y"""))
+FROM bronze, (SELECT CAST(unnest(range((SELECT min(year(date)) FROM bronze), (SELECT max(year(date)) + 1 FROM bronze))) AS INTEGER) AS y) GROUP BY store_id, sku_id, y"""))
 def _(spark, d):
-    years = [f"{y}-01-01" for y in range(1995, 2002)]
+    first, last = X.bounds(spark, d)
+    years = [f"{y}-01-01" for y in range(first.year, last.year + 1)]
     yearly = X.daily_sales(spark, d).withColumn("period", F.date_trunc("year", "date").cast("date").cast("string"))
     wide = yearly.groupBy(*SERIES).pivot("period", years).agg(F.sum("units_sold"))
     return T.melt_weeks(wide, SERIES)
@@ -581,7 +582,7 @@ def _(spark, d):
 SELECT category, CAST(i AS INTEGER) AS prob_id, round(quantile_cont(selling_price, [0.0, 0.1, 0.5, 0.9, 1.0])[i + 1], 6) AS quantile
 FROM panel, (SELECT unnest(range(0, 5)) AS i) GROUP BY category, i"""))
 def _(spark, d):
-    return rounded(exact_quantiles(panel(spark, d), "selling_price", [0.0, 0.1, 0.5, 0.9, 1.0], ["category"]))
+    return rounded(exact_quantiles(panel(spark, d), "selling_price", [0.0, 0.1, 0.5, 0.9, 1.0], ["category"], few_groups=True))
 
 
 def summary(spark, d) -> DataFrame:
@@ -590,26 +591,26 @@ def summary(spark, d) -> DataFrame:
 
 
 SUMMARY_SQL = query("board story recs promo", """
-SELECT 'Forecast error (weekly WAPE)' AS kpi, round(max(wape) FILTER (model = 'naive_dow_avg'), 2) AS before,
-       round(max(wape) FILTER (model = 'seasonal_naive'), 2) AS after, '4-week average to global booster' AS note
+SELECT 'Forecast error (weekly WAPE)' AS kpi, round(max(wape) FILTER (model = 'naive_dow_avg'), 4) AS before,
+       round(max(wape) FILTER (model = 'seasonal_naive'), 4) AS after, 'naive_dow_avg against seasonal_naive' AS note
 FROM board WHERE grain = 'weekly_store_sku'
-UNION ALL SELECT 'Forecast bias (weekly)', round(max(bias) FILTER (model = 'naive_dow_avg'), 2),
-       round(max(bias) FILTER (model = 'seasonal_naive'), 2), '+ = over-forecast' FROM board WHERE grain = 'weekly_store_sku'
-UNION ALL SELECT 'Fill rate', round(before, 2), round(after, 2), '95% service-level policy' FROM story WHERE metric = 'Fill rate'
-UNION ALL SELECT 'Avg inventory value ($)', round(before, 2), round(after, 2), 'working capital released' FROM story
+UNION ALL SELECT 'Forecast bias (weekly)', round(max(bias) FILTER (model = 'naive_dow_avg'), 4),
+       round(max(bias) FILTER (model = 'seasonal_naive'), 4), 'above zero: too much forecast' FROM board WHERE grain = 'weekly_store_sku'
+UNION ALL SELECT 'Fill rate', round(before, 4), round(after, 4), 'at a service level of 95%' FROM story WHERE metric = 'Fill rate'
+UNION ALL SELECT 'Avg inventory value ($)', round(before, 4), round(after, 4), 'stock held less' FROM story
   WHERE metric = 'Avg inventory value ($)'
-UNION ALL SELECT 'Lost margin / yr ($)', round(before, 2), round(after, 2), 'from stock-outs' FROM story
+UNION ALL SELECT 'Lost margin / yr ($)', round(before, 4), round(after, 4), 'lost to empty shelves' FROM story
   WHERE metric = 'Lost margin, annualised ($)'
-UNION ALL SELECT 'Regular-price margin opportunity / yr ($)', 0.0, round(sum(annual_margin_gain), 2),
+UNION ALL SELECT 'Regular-price margin opportunity / yr ($)', 0.0, round(sum(annual_margin_gain), 4),
   '= ' || CAST(CAST(round(sum(annual_margin_gain) / (sum(margin_now) * 365) * 100) AS INTEGER) AS VARCHAR)
-  || '% of current regular-price margin; upper bound, validate by A/B test' FROM recs
+  || '% of the margin at regular prices, at most' FROM recs
 UNION ALL SELECT 'Loss-making promo depth-category combos', NULL, CAST(count(*) FILTER (incremental_margin < 0) AS DOUBLE),
-  'of ' || CAST(count(*) AS VARCHAR) || ' evaluated' FROM promo""")
+  'of ' || CAST(count(*) AS VARCHAR) || ' combinations' FROM promo""")
 
 
 @register("executive_summary", SUMMARY_SQL)
 def _(spark, d):
-    return rounded(R.dashboard_summary(summary(spark, d)), 2)
+    return rounded(R.dashboard_summary(summary(spark, d)), 4)
 
 
 # ------------------------------------------------------------------ dashboards

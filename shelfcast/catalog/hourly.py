@@ -47,24 +47,30 @@ def framed(spark, d) -> DataFrame:
     return HF.build_frame(H.sale_groups(recovered(spark, d), cut), target, LAGS)
 
 
-def simple_predictions(spark, d) -> DataFrame:
-    """Two fixed predictors in the shape the learned forecasters use."""
+def simple_predictions(spark, d, weeks_back: int = 0) -> DataFrame:
+    """Two fixed predictors for the week after the cutoff, or for one before, as the learned forecasters give them."""
     def build():
-        cut = cutoff(spark, d)
+        cut = cutoff(spark, d) - 7 * weeks_back
         rows = framed(spark, d).where((F.col("day") > cut) & (F.col("day") <= cut + 7))
+        # a second recovered truth beside the profile's: the series' level on days with a stock-out
+        by_level = F.greatest("observed", F.when(A.is_clean("hours_stock_status"), F.col("observed")).otherwise(F.col("level")))
         choices = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(TARGETS[t]).alias("training_target"),
                                      F.col(own).alias("own_truth"), F.col(p).alias("pred"))
                             for t, own, p in (("observed", "observed", "rmean_7"), ("rec_profile", "rec_profile", "dow_mean"))])
         return (rows.withColumn("c", F.explode(choices))
                 .select("c.target", "c.training_target", "store_id", "product_id", "day", "observed",
-                        F.col(COL).alias("recovered_truth"), "rec_profile", "hours_stock_status", "sale_group",
+                        by_level.alias("recovered_truth"), "rec_profile", "hours_stock_status", "sale_group",
                         "c.own_truth", "c.pred"))
-    return written_once(spark, d, "simple_predictions", build)
+    return written_once(spark, d, f"simple_predictions_{weeks_back}", build)
+
+
+def learned_ratio(spark, d) -> DataFrame:
+    """Multipliers from the week before the one they are applied to."""
+    return HF.own_target_ratio(simple_predictions(spark, d, weeks_back=1), ["target"])
 
 
 def variants(spark, d) -> DataFrame:
-    p = simple_predictions(spark, d)
-    return HF.with_calibration(p, HF.own_target_ratio(p, ["target"]))
+    return HF.with_calibration(simple_predictions(spark, d), learned_ratio(spark, d))
 
 
 # ------------------------------------------------------------------ panel
@@ -258,7 +264,7 @@ SELECT metric, round(value, 4) AS value FROM (
   SELECT CAST(count(*) FILTER (oos_hours > 0) AS DOUBLE) AS a, sum(observed) FILTER (oos_hours > 0) AS b,
          sum(rec_profile) FILTER (oos_hours > 0) AS c, (sum(rec_profile) - sum(observed)) / sum(rec_profile) * 100 AS d FROM rtable),
   LATERAL (VALUES ('stock-out days', a), ('observed sales on stock-out days', b), ('recovered (profile)', c),
-                  ('recovered (model)', c), ('estimated lost demand, % of total demand', d)) v(metric, value)"""))
+                  ('estimated lost demand, % of total demand', d)) v(metric, value)"""))
 def _(spark, d):
     return rounded(HR.recovery_summary(loss_table(spark, d), COL), 4)
 
@@ -334,7 +340,7 @@ def _(spark, d):
 
 @register("own_target_ratio", query("hratio", "SELECT target, round(multiplier, 6) AS multiplier FROM hratio"))
 def _(spark, d):
-    return rounded(HF.own_target_ratio(simple_predictions(spark, d), ["target"]))
+    return rounded(learned_ratio(spark, d))
 
 
 @register("calibrated_forecasts", query("hvariants", "SELECT training_target, store_id, product_id, day, round(p, 6) AS pred FROM hvariants"))
@@ -371,7 +377,7 @@ def _(spark, d):
 @register("scores_by_days_ahead", query("hvariants", f"""
 SELECT cutoff_day, training_target, horizon_days, n, {cols('', SCORE_COLS)} FROM (
   SELECT CAST(cutoff AS INTEGER) AS cutoff_day, training_target, CAST(day - cutoff AS INTEGER) AS horizon_days, {HOURLY_SQL}
-  FROM (SELECT cutoff, training_target, day, rec_profile AS y, p AS f FROM hvariants) GROUP BY 1, 2, 3)"""))
+  FROM (SELECT cutoff, training_target, day, level_truth AS y, p AS f FROM hvariants) GROUP BY 1, 2, 3)"""))
 def _(spark, d):
     return rounded(HF.horizon_table(variants(spark, d), cutoff(spark, d)))
 
@@ -386,7 +392,7 @@ def _(spark, d):
 @register("bias_by_days_ahead_pivot", query("hvariants", f"""
 SELECT training_target, {", ".join(f"round(max(wpe_bias) FILTER (k = {k}), 6) AS day_{k}" for k in range(1, 8))} FROM (
   SELECT training_target, CAST(day - cutoff AS INTEGER) AS k, {HOURLY_SQL}
-  FROM (SELECT cutoff, training_target, day, rec_profile AS y, p AS f FROM hvariants) GROUP BY 1, 2) GROUP BY training_target"""))
+  FROM (SELECT cutoff, training_target, day, level_truth AS y, p AS f FROM hvariants) GROUP BY 1, 2) GROUP BY training_target"""))
 def _(spark, d):
     table = HF.horizon_table(variants(spark, d), cutoff(spark, d))
     return rounded(HB.by_days_ahead(table, "wpe_bias").toDF("training_target", *[f"day_{k}" for k in range(1, 8)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from shelfcast.functions import metrics as M
 from shelfcast.operators import features as FE
 from shelfcast.operators import pricing as P
 from shelfcast.operators import recovery as R
+from shelfcast.operators.booster import BoosterModel, load_booster
 from shelfcast.operators.ets import ets
 from shelfcast.operators.hourly import recover_by_profile
 from shelfcast.functions import arrays as A
@@ -21,21 +22,27 @@ from shelfcast.plans import daily as DP
 from shelfcast.plans import hourly_backtest as HB
 from shelfcast.plans import reports
 from shelfcast.schemas import PANEL_KEY
-from shelfcast.session import written_once
+from shelfcast.session import shared_folder, written_once
 from shelfcast.sources import fixtures as X
 
-# Few rounds keep the repeated test runs short; the defaults are for real use.
-DAILY = replace(DP.PARAMS, rounds=8, max_depth=4)
-HOURLY = HB.HourlySettings(lags=(7, 14), min_days=hourly.MIN_DAYS, recovery=replace(R.PARAMS, rounds=6, max_depth=4),
-                           forecaster=replace(HB.HF.PARAMS, rounds=6, max_depth=4))
+HOURLY = HB.HourlySettings(lags=(7, 14), min_days=hourly.MIN_DAYS)
 
 
-def boosted_fold(spark, d) -> DataFrame:
-    """The last fold of the boosted backtest with ETS, Croston, the weekday rules and the mix."""
+def boosted_backtest(spark, d) -> DataFrame:
+    """All folds of the boosted backtest with ETS, Croston, the weekday rules and the mix."""
     def build():
-        fc, _ = DP.run_backtest(X.gold(spark, d), X.cutoffs(spark, d)[-1:], params=DAILY)
+        fc, _ = DP.run_backtest(X.gold(spark, d), X.cutoffs(spark, d))
         return fc
-    return written_once(spark, d, "boosted_fold", build)
+    return written_once(spark, d, "boosted_backtest", build)
+
+
+def champion(spark, d) -> BoosterModel:
+    """The model of all history, saved and loaded again as a scoring job would."""
+    gold = X.gold(spark, d)
+    path = f"{shared_folder(spark)}/champion-{uuid.uuid4().hex}"
+    model = DP.fit_global(gold)
+    model.save(path)
+    return load_booster(spark, path, model.features, list(model.encodings))
 
 
 @register("ets_forecasts")
@@ -45,22 +52,25 @@ def _(spark, d):
 
 @register("boosted_backtest_accuracy")
 def _(spark, d):
-    return rounded(M.evaluate(BT.scored(boosted_fold(spark, d)), ["model"]))
+    return rounded(M.evaluate(BT.scored(boosted_backtest(spark, d)), ["model"]))
 
 
 @register("boosted_feature_importance")
 def _(spark, d):
-    model = DP.fit_global(X.gold(spark, d), X.cutoffs(spark, d)[-1], DAILY)
+    model = DP.fit_global(X.gold(spark, d), X.cutoffs(spark, d)[-1])
     return rounded(model.importance())
 
 
 @register("next_28_days")
 def _(spark, d):
-    gold = X.gold(spark, d)
-    model = DP.fit_global(gold, None, DAILY)
     frame = FE.make_future_frame(X.silver(spark, d), products=X.products(spark, d))
     future = FE.build_features(frame, X.products(spark, d), X.stores(spark, d), X.segments(spark, d), X.HOLIDAYS)
-    return rounded(DP.score_future(model, future, X.bounds(spark, d)[1], boosted_fold(spark, d)))
+    return rounded(DP.score_future(champion(spark, d), future, X.bounds(spark, d)[1], boosted_backtest(spark, d)))
+
+
+@register("boosted_leaderboard")
+def _(spark, d):
+    return rounded(BT.leaderboard(BT.scored(boosted_backtest(spark, d))))
 
 
 def response(spark, d) -> DataFrame:
@@ -125,8 +135,5 @@ def _(spark, d):
 
 @register("hourly_walk_forward")
 def _(spark, d):
-    last = hourly.cutoff(spark, d)
-    fold = HB.run_fold(hourly.prepared(spark, d), last, HOURLY)
-    return rounded(fold.scores)
-
-
+    scores, _, _, _ = HB.run_backtest(hourly.prepared(spark, d), hourly.cutoff(spark, d), HOURLY)
+    return rounded(scores)

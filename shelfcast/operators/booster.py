@@ -30,7 +30,6 @@ class BoosterParams:
     max_depth: int = 5
     max_bins: int = 64
     min_rows: int = 20
-    max_levels: int = 60
     smoothing: float = 20.0
     checkpoint_every: int = 10
     seed: int = 42
@@ -63,12 +62,13 @@ class BoosterModel:
         return out.select(*[originals.get(c, F.col(c)) for c in keep], F.greatest(F.col("prediction__"), F.lit(0.0)).alias(prediction))
 
     def importance(self) -> DataFrame:
-        """Share of the trees' gain per input, in percent."""
+        """Share of the trees' gain per input, in percent; a tree counts by the gain of all its splits."""
         spark = SparkSession.getActiveSession()
         total = [0.0] * len(self.features)
         for tree in self.trees:
+            gain = _split_gain(tree._call_java("rootNode"))
             for i, v in zip(tree.featureImportances.indices, tree.featureImportances.values):
-                total[int(i)] += float(v)
+                total[int(i)] += gain * float(v)
         norm = sum(total) or 1.0
         rows = [(f, g / norm * 100.0) for f, g in zip(self.features, total)]
         return spark.createDataFrame(rows, "feature string, gain_pct double").orderBy(F.desc("gain_pct"), "feature")
@@ -85,6 +85,13 @@ def load_booster(spark: SparkSession, path: str, features: list[str], encoded: l
                         {c: spark.read.parquet(f"{path}/encodings/{c}") for c in encoded or []})
 
 
+def _split_gain(node) -> float:
+    """Gain times rows, over all splits from this node of the JVM's tree down."""
+    if node.subtreeDepth() == 0:
+        return 0.0
+    return node.gain() * node.impurityStats().count() + _split_gain(node.leftChild()) + _split_gain(node.rightChild())
+
+
 def tweedie_step(y: Column, score: Column, power: float) -> tuple[Column, Column]:
     """(Newton label, weight) of the Tweedie deviance at a log-scale score."""
     a, b = F.exp((1 - power) * score), F.exp((2 - power) * score)
@@ -115,7 +122,7 @@ def _numeric_inputs(df: DataFrame, features: list[str], encoded: list[str]) -> D
 
 
 def _encode_levels(df: DataFrame, column: str, label: str, p: BoosterParams) -> tuple[DataFrame, DataFrame]:
-    """Smoothed target means for a column with too many levels to index.
+    """Smoothed target means of a column's levels.
 
     Training rows see only the other hash folds' targets; scoring uses all of them.
     """
@@ -133,8 +140,13 @@ def _encode_levels(df: DataFrame, column: str, label: str, p: BoosterParams) ->
 
 
 def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list[str],
-                categorical: list[str] | None = None, params: BoosterParams = BoosterParams()) -> BoosterModel:
-    """Fit on every row of ``train``. Listed and string columns are categories, the rest numbers."""
+                categorical: list[str] | None = None, params: BoosterParams = BoosterParams(),
+                encoded: list[str] | None = None) -> BoosterModel:
+    """Fit on every row of ``train``. Listed and string columns are categories, the rest numbers.
+
+    Categories named in ``encoded`` (identifiers, say) become smoothed target means; all others are
+    indexed, however many levels either kind has.
+    """
     p = params
     types = dict(train.dtypes)
     categories = [f for f in features if f in (categorical or []) or types[f] == "string"]
@@ -144,10 +156,8 @@ def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list
           .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categories})
           .persist())  # the facts, the indexers and the first tree all read it
     source = df
-    facts = df.agg(F.avg("y__").alias("mean"),
-                   *[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    start = math.log(max(facts["mean"] or 0.0, 1e-6))
-    indexed = [c for c in categories if facts[c] <= p.max_levels]
+    start = math.log(max(df.agg(F.avg("y__")).first()[0] or 0.0, 1e-6))
+    indexed = [c for c in categories if c not in (encoded or [])]
 
     encodings = {}
     for c in categories:
@@ -164,27 +174,27 @@ def fit_booster(train: DataFrame, features: list[str], label: str, row_key: list
                                   handleInvalid="keep"))
     prepared = PipelineModel(stages).transform(df).select("features__", "y__")
     state = prepared.withColumn("score__", F.lit(start)).persist()
-    most_levels = max([int(facts[c]) for c in indexed], default=0)
-
-    trees = []
-    for r in range(p.rounds):
-        step, weight = tweedie_step(F.col("y__"), F.col("score__"), p.variance_power)
-        tree = DecisionTreeRegressor(
-            featuresCol="features__", labelCol="step__", weightCol="weight__", predictionCol=f"tree_{r}__",
-            maxDepth=p.max_depth, maxBins=max(p.max_bins, int(most_levels * 1.2) + 4),
-            minInstancesPerNode=p.min_rows, seed=p.seed,
-        ).fit(state.withColumns({"step__": step, "weight__": weight}))
-        trees.append(tree)
-        if r + 1 < p.rounds:
-            scored = (tree.transform(state)
-                      .select("features__", "y__",
-                              (F.col("score__") + p.learning_rate * F.col(f"tree_{r}__")).alias("score__")))
-            before = state
+    most_levels = max((len(labels) for s in stages[:-1] for labels in s.labelsArray), default=0)
+
+    trees, before = [], None
+    try:
+        for r in range(p.rounds):
+            step, weight = tweedie_step(F.col("y__"), F.col("score__"), p.variance_power)
+            tree = DecisionTreeRegressor(
+                featuresCol="features__", labelCol="step__", weightCol="weight__", predictionCol=f"tree_{r}__",
+                maxDepth=p.max_depth, maxBins=max(p.max_bins, most_levels + 2),
+                minInstancesPerNode=p.min_rows, seed=p.seed,
+            ).fit(state.withColumns({"step__": step, "weight__": weight}))
+            trees.append(tree)
+            if before is not None:
+                before.unpersist()  # the fit has filled the new state's cache from it
+            before, scored = state, tree.transform(state).select(
+                "features__", "y__", (F.col("score__") + p.learning_rate * F.col(f"tree_{r}__")).alias("score__"))
             state = cut_lineage(scored) if (r + 1) % p.checkpoint_every == 0 else scored.persist()
-            if r + 1 >= 2:
-                before.unpersist()
-    state.unpersist()
-    source.unpersist()
+    finally:
+        for cached in (before, state, source):
+            if cached is not None:
+                cached.unpersist()
     total = " + ".join(f"tree_{r}__" for r in range(len(trees))) or "0.0"
     link = SQLTransformer(
         statement=f"SELECT *, exp({start!r} + {p.learning_rate!r} * ({total})) AS prediction__ FROM __THIS__")

@@ -48,7 +48,7 @@ def fit_predict(frame: DataFrame, cutoff: int, lags: list[int] = HOURLY_LAGS, ho
     train = frame.where((F.col("day") <= cutoff) & F.col(f"lag_{max(lags)}").isNotNull())
     test = frame.where((F.col("day") > cutoff) & (F.col("day") <= cutoff + horizon))
     model = fit_booster(train, forecast_features(lags), "y", [*PANEL_KEY, "day"],
-                        [*HOURLY_CATEGORIES, "product_id"], params)
+                        [*HOURLY_CATEGORIES, "product_id"], params, encoded=["store_id", "product_id"])
     return model.transform(test, "pred"), model
 
 
@@ -93,7 +93,7 @@ def with_calibration(predictions: DataFrame, scales: DataFrame) -> DataFrame:
     """
     scaled = (predictions.join(F.broadcast(scales.select("target", "multiplier")), "target")
               .withColumn("pred", F.col("pred") * F.col("multiplier"))
-              .withColumn("training_target", F.concat("training_target", F.lit(" + calibration")))
+              .withColumn("training_target", F.concat("training_target", F.lit(" x ratio")))
               .drop("multiplier"))
     return predictions.unionByName(scaled)
 

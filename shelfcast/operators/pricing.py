@@ -16,7 +16,6 @@ from shelfcast.session import cut_lineage
 SHARED = ([f"dow_{d}" for d in range(1, 7)] + [f"month_{m}" for m in range(2, 13)]
           + ["log_price_dm", "on_promo", "n_sibling_promo", "holiday"])
 Z95 = 1.959963984540054
-MAX_BROADCAST_ROWS = 100_000
 _P = len(SHARED)
 
 
@@ -36,16 +35,24 @@ def design_rows(gold: DataFrame) -> DataFrame:
                     (F.datediff("date", "first_day") / F.lit(365.0)).alias("t")))
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    dow, month = pdf["dow"].to_numpy(), pdf["month"].to_numpy()
-    return np.column_stack([dow[:, None] == np.arange(1, 7), month[:, None] == np.arange(2, 13),
-                            pdf[["log_price_dm", "on_promo", "n_sibling_promo", "holiday", "t"]]]).astype(float)
+DAYS = ["y", "dow", "month", "log_price_dm", "on_promo", "n_sibling_promo", "holiday", "t"]
 
 
-def _centred(pdf: pd.DataFrame, beta: np.ndarray):
+def series_rows(gold: DataFrame) -> DataFrame:
+    """One row per series with its days as arrays, laid out by series; a series has a row per day at most."""
+    days = F.collect_list(F.struct(*DAYS))
+    series = design_rows(gold).groupBy("category", *SERIES).agg(days.alias("days"))
+    parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (series.select("category", *SERIES, *[F.col(f"days.{c}").alias(c) for c in DAYS])
+            .repartition(parts, "category", *SERIES))
+
+
+def _centred(row, beta: np.ndarray, slope: float):
     """Fitted means of one series with its own level solved for, and regressors around their mean."""
-    y, z = pdf["y"].to_numpy(float), _matrix(pdf)
-    eta = z[:, :_P] @ beta + z[:, _P] * float(pdf["slope"].iloc[0])
+    y, dow, month = (np.asarray(getattr(row, c), float) for c in ("y", "dow", "month"))
+    z = np.column_stack([dow[:, None] == np.arange(1, 7), month[:, None] == np.arange(2, 13),
+                         *[np.asarray(getattr(row, c), float) for c in DAYS[3:]]]).astype(float)
+    eta = z[:, :_P] @ beta + z[:, _P] * slope
     weight = np.exp(eta - eta.max())
     mu = y.sum() * weight / weight.sum()
     return y, mu, z - (mu @ z) / mu.sum()
@@ -70,17 +77,24 @@ def _gathered(sums: DataFrame, by: list[str]) -> DataFrame:
             .select(*by, F.transform("m", lambda s: s["part"]).alias("m")))
 
 
-def _series_moments(rows: DataFrame, betas: dict[str, np.ndarray]) -> DataFrame:
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        category = pdf["category"].iloc[0]
-        if not pdf["y"].sum() > 0:
-            return pd.DataFrame({"category": [], "sku_id": [], "moments": []})
-        y, mu, zc = _centred(pdf, betas[category])
-        hess = (zc * mu[:, None]).T @ zc
-        return pd.DataFrame({"category": [category], "sku_id": [pdf["sku_id"].iloc[0]],
-                             "moments": [np.concatenate([zc.T @ (y - mu), hess[_UPPER]])]})
+def _moments_of(series: DataFrame, moments) -> DataFrame:
+    """(category, sku_id, moments(row)) of every series that sold anything, many series per hand-over."""
+    def work(batches):
+        for pdf in batches:
+            sold = [row for row in pdf.itertuples(index=False) if np.sum(row.y) > 0]
+            yield pd.DataFrame({"category": [r.category for r in sold], "sku_id": [r.sku_id for r in sold],
+                                "moments": [moments(r) for r in sold]})
+
+    return series.mapInPandas(work, _MOMENTS)
 
-    return rows.groupBy("category", *SERIES).applyInPandas(moments, _MOMENTS)
+
+def _with_sku(series: DataFrame, keys: DataFrame, per_sku: DataFrame) -> DataFrame:
+    """The columns of ``per_sku`` beside the days of each series.
+
+    They first join the series' keys, which are few bytes; then both sides have the layout of
+    ``series``, whose days are not moved.
+    """
+    return series.join(keys.join(per_sku, ["category", "sku_id"]), ["category", *SERIES])
 
 
 def _unpack(flat: np.ndarray, size: int, upper) -> np.ndarray:
@@ -132,23 +146,26 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
     SKU trend, but neither is ever a column: a series' level is solved inside its own group, and a
     SKU's slope is eliminated from the SKU's summed moments, because two SKUs share no rows. Only
     the shared block (one small matrix per category) reaches the driver, however many series there
-    are. The confidence limits are heteroskedasticity-robust (HC1).
+    are. The confidence limits are heteroskedasticity-robust (HC1). ``converged`` is false for a
+    category whose last step was still ``tol`` or more after ``max_iter`` steps.
     """
-    rows = design_rows(gold).persist()
+    series = series_rows(gold).persist()
     spark = gold.sparkSession
-    sizes = (rows.groupBy("category", *SERIES).agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_series"),
-                                      F.countDistinct("sku_id").alias("n_skus")).collect())
+    keys = series.select("category", *SERIES)
+    sizes = (series.select("category", "sku_id", F.size("y").alias("n_days"))
+             .groupBy("category").agg(F.sum("n_days").alias("n"), F.count(F.lit(1)).alias("n_series"),
+                                      F.countDistinct("sku_id").alias("n_skus")).collect())  # a row per category
     betas = {s["category"]: np.zeros(_P) for s in sizes}
-    # the slopes go to every task while they are few; beyond that they are joined on the SKU
-    n_slopes = sum(s["n_skus"] for s in sizes)
-    shared_out = F.broadcast if n_slopes <= MAX_BROADCAST_ROWS else (lambda df: df)
-    slopes = rows.select("category", "sku_id").distinct().withColumn("slope", F.lit(0.0))
-    bread = {}
-    for _ in range(max_iter):
-        with_slopes = rows.join(shared_out(slopes), ["category", "sku_id"])
-        per_sku = cut_lineage(_gathered(_sum_moments(_series_moments(with_slopes, betas), ["category", "sku_id"]),
-                                        ["category", "sku_id"]))
+    slopes = keys.select("category", "sku_id").distinct().withColumn("slope", F.lit(0.0))
+    bread, settled = {}, {}
+
+    def newton(row) -> np.ndarray:
+        y, mu, zc = _centred(row, betas[row.category], row.slope)
+        return np.concatenate([zc.T @ (y - mu), ((zc * mu[:, None]).T @ zc)[_UPPER]])
+
+    for at in range(1, max_iter + 1):
+        found = _moments_of(_with_sku(series, keys, slopes), newton)
+        per_sku = cut_lineage(_gathered(_sum_moments(found, ["category", "sku_id"]), ["category", "sku_id"]))
         shared = per_sku.select("category", (_without_slopes(F.col("m")) if control_trend
                                              else _shared_only(F.col("m"))).alias("moments"))
         moved = {}
@@ -157,6 +174,8 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
             bread[r["category"]] = _unpack(m[_P:], _P, _SHARED_UPPER)
             moved[r["category"]] = np.linalg.pinv(bread[r["category"]]) @ m[:_P]
             betas[r["category"]] = betas[r["category"]] + moved[r["category"]]
+            if np.abs(moved[r["category"]]).max() < tol:
+                settled.setdefault(r["category"], at)
         if control_trend:
             step = spark.createDataFrame([(c, [float(v) for v in d]) for c, d in moved.items()],
                                          "category string, step array<double>")
@@ -166,7 +185,7 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
                                              ["category", "sku_id"], "left")
                                  .select("category", "sku_id",
                                          (F.col("slope") + F.coalesce(change, F.lit(0.0))).alias("slope")))
-        if max((np.abs(d).max() for d in moved.values()), default=0.0) < tol:
+        if len(settled) == len(moved):
             break
 
     # robust part: squared residuals times what a regressor adds beyond series level and SKU trend
@@ -176,22 +195,16 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
     else:
         ratio = F.array_repeat(F.lit(0.0), _P)
     extras = slopes.join(per_sku.select("category", "sku_id", ratio.alias("ratio")), ["category", "sku_id"])
-    with_ratio = rows.join(shared_out(extras), ["category", "sku_id"])
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        category = pdf["category"].iloc[0]
-        if not pdf["y"].sum() > 0:
-            return pd.DataFrame({"category": [], "sku_id": [], "moments": []})
-        y, mu, zc = _centred(pdf, betas[category])
-        x = zc[:, :_P] - np.outer(zc[:, _P], np.asarray(pdf["ratio"].iloc[0], float))
-        meat = (x * ((y - mu) ** 2)[:, None]).T @ x
-        return pd.DataFrame({"category": [category], "sku_id": [pdf["sku_id"].iloc[0]],
-                             "moments": [meat[_SHARED_UPPER]]})
+
+    def spread(row) -> np.ndarray:
+        y, mu, zc = _centred(row, betas[row.category], row.slope)
+        x = zc[:, :_P] - np.outer(zc[:, _P], np.asarray(row.ratio, float))
+        return ((x * ((y - mu) ** 2)[:, None]).T @ x)[_SHARED_UPPER]
 
     meats = {r["category"]: _unpack(np.array(r["m"]), _P, _SHARED_UPPER) for r in _gathered(
-        _sum_moments(with_ratio.groupBy("category", *SERIES).applyInPandas(spread, _MOMENTS), ["category"]),
+        _sum_moments(_moments_of(_with_sku(series, keys, extras), spread), ["category"]),
         ["category"]).collect()}
-    rows.unpersist()
+    series.unpersist()
     out = []
     for s in sizes:
         c = s["category"]
@@ -204,11 +217,11 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
         e, g, d = (SHARED.index(v) for v in ("log_price_dm", "on_promo", "n_sibling_promo"))
         out.append((c, control_trend, float(b[e]), float(b[e] - Z95 * se[e]), float(b[e] + Z95 * se[e]),
                     float(np.exp(b[g])), float(np.exp(b[g] - Z95 * se[g])), float(np.exp(b[g] + Z95 * se[g])),
-                    float(1 - np.exp(b[d])), int(s["n"])))
+                    float(1 - np.exp(b[d])), int(s["n"]), c in settled, int(settled.get(c, max_iter))))
     return spark.createDataFrame(
         out, "category string, control_trend boolean, elasticity double, elasticity_lo double, elasticity_hi double,"
              " promo_uplift double, promo_uplift_lo double, promo_uplift_hi double,"
-             " cannibalisation_per_sibling double, n_obs long")
+             " cannibalisation_per_sibling double, n_obs long, converged boolean, n_iter int")
 
 
 def compare_with_truth(response: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import arrays as A
 from shelfcast.functions.metrics import hourly_metrics
+from shelfcast.functions.quantiles import running_total_by_hash
 from shelfcast.operators.booster import BoosterModel, BoosterParams, fit_booster
 from shelfcast.operators.hourly import (MIN_DAYS, profile_recover, recover_by_profile, recovery_features,
                                         with_profile)
@@ -28,41 +28,23 @@ INPUT_GROUPS = {
     "third_category_id": "category",
 }
 PARAMS = BoosterParams(variance_power=1.3, rounds=30, min_rows=20)
-DONORS_PER_BUCKET = 10_000
-MAX_BUCKETS = 50_000
 
 
 def transplant_masks(targets: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
     """Give every target row the stock-out hours (``mask``) of one pseudo-random donor row.
 
-    Donors are numbered inside hash buckets of about ten thousand, so no task orders them all, and
-    a target's bucket and number come from hashes of its key: one equi-join, the same result
-    however the data is partitioned.
+    Donors are numbered from 0 in the order of a seeded hash, range by range, so no task orders them
+    all; a target's number is a hash of its key modulo the number of donors. One equi-join, every
+    donor equally likely, and the same result however the data is partitioned.
     """
     n_donors = donors.count()
     if n_donors == 0:
         return targets.limit(0).withColumn("mask", F.col("hours_stock_status"))
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(n_donors / DONORS_PER_BUCKET)))
-    donor_id = F.xxhash64(*PANEL_KEY, "dt", F.lit(seed))
-    numbered = (donors.select(donor_id.alias("donor_id"), *PANEL_KEY, "dt", F.col("hours_stock_status").alias("mask"))
-                .withColumn("bucket", F.pmod("donor_id", F.lit(buckets)))
-                .withColumn("slot", F.row_number().over(
-                    Window.partitionBy("bucket").orderBy("donor_id", *PANEL_KEY, "dt")) - 1)
-                .select("bucket", "slot", "mask"))
-    sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size"))
-    # one row per bucket, at most MAX_BUCKETS of them; with more donors the buckets get larger instead
-    ranks = sizes.withColumn("bucket_rank", F.row_number().over(Window.orderBy("bucket")) - 1)
-    filled = ranks.agg(F.count(F.lit(1)).alias("n_buckets"))
-
-    def pick(salt: int) -> Column:
-        return F.xxhash64(*PANEL_KEY, "dt", F.lit(seed + salt))
-
-    return (targets.crossJoin(F.broadcast(filled))
-            .withColumn("bucket_rank", F.pmod(pick(1), F.col("n_buckets")).cast("int"))
-            .join(F.broadcast(ranks), "bucket_rank")
-            .withColumn("slot", F.pmod(pick(2), F.col("bucket_size")).cast("int"))
-            .join(numbered, ["bucket", "slot"])
-            .drop("bucket_rank", "n_buckets", "bucket_size", "bucket", "slot"))
+    donor = F.to_json(F.struct(*PANEL_KEY, "dt"))
+    named = donors.select(donor.alias("donor"), F.col("hours_stock_status").alias("mask"), F.lit(1).alias("one"))
+    numbered = running_total_by_hash(named, "donor", "one", seed).select(F.col("total_before").alias("slot"), "mask")
+    pick = F.pmod(F.xxhash64(*PANEL_KEY, "dt", F.lit(seed + 1)), F.lit(n_donors))
+    return targets.withColumn("slot", pick).join(numbered, "slot").drop("slot")
 
 
 def masked_days(rows: DataFrame, donors: DataFrame, seed: int) -> DataFrame:

@@ -22,7 +22,7 @@ PARAMS = BoosterParams(variance_power=1.2, rounds=40, max_depth=6, min_rows=50)
 
 def fit_global(gold: DataFrame, cutoff: dt.date | None = None, params: BoosterParams = PARAMS) -> BoosterModel:
     """One model over all series, trained on uncensored days whose 28-day lag is known."""
-    return fit_booster(training_rows(gold, cutoff), feature_columns(gold), "demand_target", KEYS, CATEGORICALS, params)
+    return fit_booster(training_rows(gold, cutoff), feature_columns(gold), "demand_target", KEYS, CATEGORICALS, params, encoded=SERIES)
 
 
 def statistical_forecasts(gold: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON) -> DataFrame:

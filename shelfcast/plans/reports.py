@@ -47,12 +47,12 @@ def executive_summary(board: DataFrame, story: DataFrame, recommendations: DataF
         for c in ("wape", "bias") for side, m in (("before", rule), ("after", model))])
     accuracy = weekly.select(F.explode(F.array(
         F.struct(F.lit("Forecast error (weekly WAPE)").alias("kpi"), F.col("wape_before").alias("before"),
-                 F.col("wape_after").alias("after"), F.lit("4-week average to global booster").alias("note")),
+                 F.col("wape_after").alias("after"), F.lit(f"{rule} against {model}").alias("note")),
         F.struct(F.lit("Forecast bias (weekly)").alias("kpi"), F.col("bias_before").alias("before"),
-                 F.col("bias_after").alias("after"), F.lit("+ = over-forecast").alias("note")))).alias("r")).select("r.*")
-    wanted = {"Fill rate": ("Fill rate", "95% service-level policy"),
-              "Avg inventory value ($)": ("Avg inventory value ($)", "working capital released"),
-              "Lost margin, annualised ($)": ("Lost margin / yr ($)", "from stock-outs")}
+                 F.col("bias_after").alias("after"), F.lit("above zero: too much forecast").alias("note")))).alias("r")).select("r.*")
+    wanted = {"Fill rate": ("Fill rate", "at a service level of 95%"),
+              "Avg inventory value ($)": ("Avg inventory value ($)", "stock held less"),
+              "Lost margin, annualised ($)": ("Lost margin / yr ($)", "lost to empty shelves")}
     names = F.create_map(*[F.lit(v) for k, (n, _) in wanted.items() for v in (k, n)])
     notes = F.create_map(*[F.lit(v) for k, (_, n) in wanted.items() for v in (k, n)])
     stock = (story.where(F.col("metric").isin(list(wanted)))
@@ -62,12 +62,11 @@ def executive_summary(board: DataFrame, story: DataFrame, recommendations: DataF
     prices = recommendations.agg(
         F.lit("Regular-price margin opportunity / yr ($)").alias("kpi"), F.lit(0.0).alias("before"),
         F.sum("annual_margin_gain").alias("after"),
-        F.concat(F.lit("= "), share.cast("string"), F.lit("% of current regular-price margin; upper bound, "
-                                                          "validate by A/B test")).alias("note"))
+        F.concat(F.lit("= "), share.cast("string"), F.lit("% of the margin at regular prices, at most")).alias("note"))
     losing = promo.agg(
         F.lit("Loss-making promo depth-category combos").alias("kpi"), F.lit(None).cast("double").alias("before"),
         F.count(F.when(F.col("incremental_margin") < 0, 1)).cast("double").alias("after"),
-        F.concat(F.lit("of "), F.count(F.lit(1)).cast("string"), F.lit(" evaluated")).alias("note"))
+        F.concat(F.lit("of "), F.count(F.lit(1)).cast("string"), F.lit(" combinations")).alias("note"))
     return accuracy.unionByName(stock).unionByName(prices).unionByName(losing)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,21 +11,48 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder_for(master: str, named: str | None, warehouse: str | None) -> str:
+    """The checkpoint folder the session names, else one below a warehouse that nodes share.
+
+    A temporary folder will do only where driver and tasks are one process (tests).
+    """
+    if named:
+        return named
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="shelfcast-")
+    if warehouse and "://" in warehouse and not warehouse.startswith("file:"):
+        return f"{warehouse.rstrip('/')}/shelfcast-intermediate"
+    raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfcast-"))
+        sc.setCheckpointDir(folder_for(sc.master, spark.conf.get("spark.checkpoint.dir", None),
+                                       spark.conf.get("spark.sql.warehouse.dir", None)))
     return sc.getCheckpointDir()
 
 
+def state_of(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the tables in a folder and their files: it changes when they are rewritten."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ""
+    found = []
+    for top in fs.listStatus(path):
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            found.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iterative job's state to reliable storage, so lost executors do not replay the loop."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
 
 
 def written_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame],
@@ -32,9 +60,9 @@ def written_once(spark: SparkSession, source: str, name: str, build: Callable[[]
     """An intermediate table, written as parquet to the shared folder on first use and read from then on.
 
     Bronze, silver, gold and forecasts are tables that many reports read; recomputing them per
-    report would repeat the expensive shuffles. Parquet keeps column pruning and filter pushdown.
+    report would repeat the expensive shuffles. Rewritten sources are noticed, and built from anew. Parquet keeps column pruning and filter pushdown.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, state_of(spark, source))
     try:
         if key in _WRITTEN:
             return spark.read.parquet(_WRITTEN[key])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from shelfcast.operators.features import add_sibling_promo, build_features
 from shelfcast.operators.quality import clean_sales
 from shelfcast.operators.segments import classify_demand
-from shelfcast.schemas import KEYS, default_cutoffs
-from shelfcast.session import written_once
+from shelfcast.schemas import KEYS, fold_origins
+from shelfcast.session import state_of, written_once
 
 # The order in which lines of one key arrive; together these columns order them totally.
 ARRIVAL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
@@ -83,8 +83,19 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.coalesce("n", F.lit(0)) / F.lit(10.0)).alias("store_size")))
 
 
+FOLDS = 4
+_BOUNDS: dict[tuple[str, str, str], tuple[dt.date, dt.date]] = {}
+
+
 def bounds(spark: SparkSession, sf_dir: str) -> tuple[dt.date, dt.date]:
-    """First and last ship date: two values, read from one column."""
+    """First and last ship date: two values, read from one column once per session and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir))
+    if key not in _BOUNDS:
+        _BOUNDS[key] = read_bounds(spark, sf_dir)
+    return _BOUNDS[key]
+
+
+def read_bounds(spark: SparkSession, sf_dir: str) -> tuple[dt.date, dt.date]:
     row = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")).first()
     return row[0], row[1]
 
@@ -94,7 +105,7 @@ def bounds_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cutoffs(spark: SparkSession, sf_dir: str) -> list[dt.date]:
-    return default_cutoffs(bounds(spark, sf_dir)[1])
+    return fold_origins(bounds(spark, sf_dir)[1], FOLDS)
 
 
 def build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
 def write_table(df: DataFrame, target: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None, sort_by: list[str] | None = None,
                 bucket_by: list[str] | None = None, buckets: int = 0) -> None:
-    """Write a table, replacing its schema. ``sort_by`` orders rows inside each file only.
+    """Write a table. ``sort_by`` orders rows inside each file only.
 
     A catalog table bucketed by the series key serves every later series window, series aggregate
     and series join without another shuffle.
@@ -33,7 +33,7 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite",
         raise ValueError("bucketed tables live in the catalog, not at a path")
     if sort_by and not bucket_by:
         df = df.sortWithinPartitions(*sort_by)
-    writer = df.write.mode(mode).option("overwriteSchema", "true")
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
