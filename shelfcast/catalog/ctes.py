@@ -108,7 +108,7 @@ SELECT *, coalesce(demand_target, median(demand_target) OVER (
           AS demand_filled
 FROM (SELECT *, CASE WHEN stockout_flag = 0 THEN CAST(units_sold AS DOUBLE) END AS demand_target FROM carried)""")
 block("silver", "marked products", """
-SELECT m.*, CAST(sum(on_promo) OVER (PARTITION BY store_id, category, date) - on_promo AS INTEGER) AS n_sibling_promo
+SELECT m.*, CASE WHEN is_filled THEN 0 ELSE CAST(sum(on_promo) OVER (PARTITION BY store_id, category, date) - on_promo AS INTEGER) END AS n_sibling_promo
 FROM marked m JOIN products USING (sku_id)""")
 block("cutoffs", "days", """
 SELECT CAST(5 - k AS INTEGER) AS fold, CAST(last_day - CAST(28 * k AS INTEGER) AS DATE) AS cutoff
@@ -303,10 +303,16 @@ FROM (SELECT c.fill_rate AS b1, f.fill_rate AS a1, c.avg_inventory_value AS b2,
       FROM costs c, costs f WHERE c.policy = 'current_state' AND f.target_service = 0.95),
      LATERAL (VALUES ('Fill rate', b1, a1), ('Avg inventory value ($)', b2, a2), ('Lost margin, annualised ($)', b3, a3),
                      ('Holding cost, annualised ($)', b4, a4), ('Stock-out store-SKU-days (%)', b5, a5)) v(metric, before, after)""")
-block("intervals", "fc sigma_all", """
+block("next28", "marked days", """
+SELECT store_id, sku_id, CAST(cutoff + CAST(k AS INTEGER) AS DATE) AS date, p50 FROM (
+  SELECT store_id, sku_id, cutoff, (6 - CAST(cutoff - date AS INTEGER) % 7) AS slot,
+         CASE WHEN count(demand_filled) = 4 THEN avg(demand_filled) END AS p50
+  FROM marked, (SELECT max(date) AS cutoff FROM days) WHERE date > cutoff - 28 GROUP BY ALL),
+  (SELECT unnest(range(1, 29)) AS k)
+WHERE (k - 1) % 7 = slot""")
+block("intervals", "next28 sigma_all", """
 SELECT store_id, sku_id, date, p50, sigma, greatest(p50 - 1.2816 * sigma, 0) AS p10, p50 + 1.2816 * sigma AS p90
-FROM (SELECT store_id, sku_id, date, forecast AS p50 FROM fc WHERE model = 'naive_dow_avg' AND fold = 4)
-     LEFT JOIN sigma_all USING (store_id, sku_id)""")
+FROM next28 LEFT JOIN sigma_all USING (store_id, sku_id)""")
 block("replenish", "intervals", f"""
 SELECT *, ceil(demand_l_plus_r + safety_stock) AS order_up_to
 FROM (SELECT store_id, sku_id, sum(p50) AS demand_l_plus_r, min(sigma) AS sigma,

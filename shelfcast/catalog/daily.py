@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from shelfcast.operators import segments as S
 from shelfcast.plans import backtest as BT
 from shelfcast.plans import reports as R
 from shelfcast.schemas import KEYS, SERIES
-from shelfcast.session import written_once
+from shelfcast.session import shared_folder, written_once
 from shelfcast.sources import fixtures as X
 from shelfcast.sources import tables as T
 
@@ -73,11 +74,10 @@ def first_replay_day(spark, d):
 
 
 def intervals(spark, d) -> DataFrame:
-    """The last fold's rule forecast with its error band."""
-    fc = forecasts(spark, d)
-    points = (fc.where((F.col("model") == RULE) & (F.col("fold") == 4))
-              .select(*KEYS, F.col("forecast").alias("p50")))
-    return I.forecast_intervals(points, I.error_spread(fc, RULE))
+    """The rule's forecast of the 28 days after the history, with the error band of all folds."""
+    ahead = B.weekday_repeats(X.silver(spark, d), [X.bounds(spark, d)[1]])
+    points = ahead.where(F.col("model") == RULE).select(*KEYS, F.col("forecast").alias("p50"))
+    return I.forecast_intervals(points, I.error_spread(forecasts(spark, d), RULE))
 
 
 def skus(spark, d) -> DataFrame:
@@ -112,11 +112,39 @@ def _(spark, d):
 SELECT store_id, sku_id, make_date(y, 1, 1) AS date, CAST(sum(units_sold) FILTER (year(date) = y) AS DOUBLE) AS units_sold
 FROM bronze, (SELECT CAST(unnest(range((SELECT min(year(date)) FROM bronze), (SELECT max(year(date)) + 1 FROM bronze))) AS INTEGER) AS y) GROUP BY store_id, sku_id, y"""))
 def _(spark, d):
+    return T.melt_weeks(wide_sales(spark, d), SERIES)
+
+
+def wide_sales(spark, d) -> DataFrame:
+    """A column per year of the data."""
     first, last = X.bounds(spark, d)
     years = [f"{y}-01-01" for y in range(first.year, last.year + 1)]
     yearly = X.daily_sales(spark, d).withColumn("period", F.date_trunc("year", "date").cast("date").cast("string"))
-    wide = yearly.groupBy(*SERIES).pivot("period", years).agg(F.sum("units_sold"))
-    return T.melt_weeks(wide, SERIES)
+    return yearly.groupBy(*SERIES).pivot("period", years).agg(F.sum("units_sold"))
+
+
+@register("csv_to_long", query("bronze", """
+SELECT CAST(store_id AS VARCHAR) AS store_id, sku_id, make_date(y, 1, 1) AS date, CAST(sum(units_sold) FILTER (year(date) = y) AS DOUBLE) AS units_sold
+FROM bronze, (SELECT CAST(unnest(range((SELECT min(year(date)) FROM bronze), (SELECT max(year(date)) + 1 FROM bronze))) AS INTEGER) AS y)
+GROUP BY store_id, sku_id, y"""))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    wide_sales(spark, d).write.option("header", True).csv(path)
+    return T.melt_weeks(T.read_wide_csv(spark, path), SERIES)
+
+
+@register("sorted_table_read_back", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    T.write_table(T.read_table(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"), path, sort_by=["o_custkey"])
+    return T.read_table(spark, path)
+
+
+@register("exported_profile", query("bronze", "SELECT count(*) AS row_count, count(DISTINCT store_id) AS stores, count(DISTINCT sku_id) AS skus FROM bronze"))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    T.export_json(R.bronze_profile(X.daily_sales(spark, d)).select("row_count", "stores", "skus"), path)
+    return spark.read.schema("row_count long, stores long, skus long").json(path)
 
 
 @register("promo_calendar", query("bronze", "SELECT DISTINCT date, store_id, sku_id, discount_pct FROM bronze WHERE on_promo = 1"))

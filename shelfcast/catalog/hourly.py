@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from shelfcast.operators import hourly_forecast as HF
 from shelfcast.plans import hourly_backtest as HB
 from shelfcast.plans import hourly_reports as HR
 from shelfcast.schemas import PANEL_KEY, TARGETS, VIEWS
-from shelfcast.session import written_once
+from shelfcast.session import shared_folder, written_once
 from shelfcast.sources import fixtures as X
 from shelfcast.sources import tables as T
 
@@ -99,6 +101,16 @@ def _(spark, d):
     return rounded(kept.select(*PANEL_KEY, "dt", A.total("hours_sale").alias("observed")))
 
 
+@register("panel_read_for_keys", query("hpanel", f"""
+SELECT {KEY}, round(observed, 6) AS observed FROM hpanel WHERE store_id % 5 = 2"""))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    panel = X.hourly_panel(spark, d)
+    T.write_table(panel, path, sort_by=PANEL_KEY)
+    loaded = T.load_panel(spark, path, T.panel_keys(panel.where("store_id % 5 = 2")))
+    return rounded(loaded.select(*PANEL_KEY, "dt", A.total("hours_sale").alias("observed")))
+
+
 @register("fixed_width_lists", query("hours", """
 SELECT store_id, dt, CAST(24 AS INTEGER) AS width, round(sum(v), 6) AS total, round(coalesce(max(v) FILTER (n = 1), 0), 6) AS first_item
 FROM (SELECT store_id, dt, coalesce(sold, 0) AS v, row_number() OVER (PARTITION BY store_id, dt ORDER BY h) AS n FROM hours)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators.features import add_sibling_promo, build_features
-from shelfcast.operators.quality import clean_sales
+from shelfcast.operators.quality import apply_rules
 from shelfcast.operators.segments import classify_demand
 from shelfcast.schemas import KEYS, fold_origins
 from shelfcast.session import state_of, written_once
@@ -109,8 +109,10 @@ def cutoffs(spark: SparkSession, sf_dir: str) -> list[dt.date]:
 
 
 def build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = clean_sales(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir))
-    return add_sibling_promo(cleaned, products(spark, sf_dir))
+    cleaned = apply_rules(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir)).drop("is_negative", "is_price_outlier")
+    # promotions of siblings are known for days with records only
+    siblings = F.when(F.col("is_filled"), 0).otherwise(F.col("n_sibling_promo"))
+    return add_sibling_promo(cleaned, products(spark, sf_dir)).withColumn("n_sibling_promo", siblings).drop("is_filled")
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
