@@ -19,10 +19,16 @@ from .stretches import StretchTable
 from .textgrid import kept, word_bounds
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-PLAIN = bytes([*range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
 DOTTED = "\u0130".encode()  # its lower case is longer
 
 
+def plain_table() -> np.ndarray:
+    """Bytes of printable ASCII but the space, and of U+00C0-U+017F."""
+    table = np.zeros(256, bool)
+    table[[*range(33, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = True
+    return table
+
+
 def word_stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For tokenizers that drop white space: runs without ASCII white space."""
     return word_bounds(data, offsets)[:2]
@@ -76,10 +82,15 @@ class Vocabulary(StretchTable):
         super().__init__()
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.array([not p.translate(None, PLAIN) and DOTTED not in p and p.find(b" ", 1) < 0 for p in pieces])
-        own = b"".join(p for p, j in zip(pieces, plain.tolist()) if j)
-        bounds = np.cumsum([0, *(len(p) for p, j in zip(pieces, plain.tolist()) if j)])
-        data = np.frombuffer(own.decode().lower().encode() if self.words else own, np.uint8)
+        raw, lengths = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(lengths) - lengths
+        odd = ~kept("plain bytes", plain_table)[raw]
+        odd[begin[raw[begin] == 32]] = False  # a leading space
+        odd[:-1] |= (raw[:-1] == DOTTED[0]) & (raw[1:] == DOTTED[1])
+        plain = np.add.reduceat(odd.astype(np.int32), begin) == 0
+        data, bounds = raw[np.repeat(plain, lengths)], np.append(0, np.cumsum(lengths[plain]))
+        if self.words:
+            data = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)
         starts, ends = slices(data, bounds, self.words)
         first = self.inner[data]
         first[ends - 1] = self.last[data[ends - 1]]
