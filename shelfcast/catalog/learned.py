@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,18 @@ from shelfcast.schemas import PANEL_KEY
 from shelfcast.session import shared_folder, written_once
 from shelfcast.sources import fixtures as X
 
-HOURLY = HB.HourlySettings(lags=(7, 14), min_days=hourly.MIN_DAYS)
+# All folds and all models, but fewer rounds than the library's defaults: a round costs one to four seconds here
+# whatever the size of the test tables, and the two backtests fit sixteen models.
+ROUNDS = 10
+DAILY = replace(DP.PARAMS, rounds=ROUNDS)
+HOURLY = HB.HourlySettings(lags=(7, 14), min_days=hourly.MIN_DAYS, recovery=replace(R.PARAMS, rounds=ROUNDS),
+                           forecaster=replace(HB.HF.PARAMS, rounds=ROUNDS))
 
 
 def boosted_backtest(spark, d) -> DataFrame:
     """All folds of the boosted backtest with ETS, Croston, the weekday rules and the mix."""
     def build():
-        fc, _ = DP.run_backtest(X.gold(spark, d), X.cutoffs(spark, d))
+        fc, _ = DP.run_backtest(X.gold(spark, d), X.cutoffs(spark, d), params=DAILY)
         return fc
     return written_once(spark, d, "boosted_backtest", build)
 
@@ -40,7 +46,7 @@ def champion(spark, d) -> BoosterModel:
     """The model of all history, saved and loaded again as a scoring job would."""
     gold = X.gold(spark, d)
     path = f"{shared_folder(spark)}/champion-{uuid.uuid4().hex}"
-    model = DP.fit_global(gold)
+    model = DP.fit_global(gold, params=DAILY)
     model.save(path)
     return load_booster(spark, path, model.features, list(model.encodings))
 
@@ -57,7 +63,7 @@ def _(spark, d):
 
 @register("boosted_feature_importance")
 def _(spark, d):
-    model = DP.fit_global(X.gold(spark, d), X.cutoffs(spark, d)[-1])
+    model = DP.fit_global(X.gold(spark, d), X.cutoffs(spark, d)[-1], DAILY)
     return rounded(model.importance())
 
 
