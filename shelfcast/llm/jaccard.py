@@ -207,7 +207,7 @@ def least_reached(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
 
 
 def candidates(found: DataFrame, reps: DataFrame, with_: Join) -> DataFrame:
-    """(a, b): sets whose signatures are alike, joined to the least one they reach within a cell."""
+    """(a, b): sets whose signatures are alike, joined to the least one they reach within a cell. A row per set and leaf, and few more."""
     slack = 5 * math.sqrt(with_.least * (1 - with_.least) / MINIMA)
     need = (with_.least - slack) * MINIMA
     brief = reps.select("rep", "sig")
@@ -224,8 +224,12 @@ def candidates(found: DataFrame, reps: DataFrame, with_: Join) -> DataFrame:
             alike = np.zeros((len(rep), len(rep)), np.uint8)
             for c in range(MINIMA):
                 alike += sig[:, c, None] == sig[None, :, c]
-            low = least_reached(rep, (alike >= need) & allowed(side))
+            near, same = np.triu(alike >= need, 1), side[:, None] == side[None, :]
+            low = least_reached(rep, near)
             use = low != rep
+            if side[0] != 2:
+                # the cells of either block alone join its members; here one member speaks for what they join
+                use &= least_reached(rep, near & same) == rep
             a.append(rep[use])
             b.append(low[use])
             n += int(use.sum())
