@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from shelfcast.llm.packing import pack, packing_digest
+from shelfcast.llm.packing import pack, packing_digest, settle, sweep, to_open
 
 from . import hard_cases as H
 from .test_repair import ODD, library
@@ -36,11 +36,32 @@ def best_fit_decreasing(lengths, capacity):
     return len(rooms)
 
 
-@pytest.mark.parametrize("kind", ["mixed", "equal", "tiny", "large"])
-def test_about_as_few_as_one_by_one(spark, kind):
+def lengths_of(kind, n=700):
     rng = random.Random(kind)
-    draw = {"mixed": lambda: min(64, int(rng.paretovariate(0.6) * 3)), "equal": lambda: rng.choice([7, 7, 7, 30]), "tiny": lambda: rng.randrange(1, 4), "large": lambda: rng.randrange(30, 65)}[kind]
-    lengths = [draw() for _ in range(700)]
+    draw = {"mixed": lambda: min(64, int(rng.paretovariate(0.6) * 3)), "equal": lambda: rng.choice([7, 7, 7, 30]),
+            "tiny": lambda: rng.randrange(1, 4), "large": lambda: rng.randrange(30, 65)}[kind]
+    return [draw() for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "tiny", "large"])
+def test_rounds_open_about_as_few_as_one_by_one(kind):
+    lengths, capacity = lengths_of(kind), 64
+    left, gaps, opened = np.bincount([n for n in lengths if n < capacity], minlength=capacity), np.zeros(capacity + 1, np.int64), 0
+    while left.any():
+        longest = int(np.flatnonzero(left)[-1])
+        least = longest // 2 + 1 if longest > 8 else 1
+        matches = sweep(left, gaps, least)
+        settle(left, gaps, matches)
+        if not matches:
+            n = to_open(left, least, capacity)
+            gaps[capacity] += n
+            opened += n
+        assert (gaps >= 0).all() and (left >= 0).all()
+    assert opened + lengths.count(capacity) <= 1.02 * best_fit_decreasing(lengths, capacity) + 1
+
+
+def test_documents_meet_their_gaps(spark):
+    lengths = lengths_of("mixed")
     frame = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long").repartition(5)
     rows = pack(frame, 64).collect()
     assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
