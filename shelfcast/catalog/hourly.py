@@ -133,7 +133,12 @@ def _(spark, d):
     return rounded(both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("sale_amount").alias("observed")), 4)
 
 
-@register("sampled_stores")
+@register("sampled_stores", query("hpanel", """
+SELECT k.store_id, k.product_id FROM (SELECT DISTINCT store_id, product_id FROM hpanel) k JOIN (
+  SELECT store_id, coalesce(sum(n) OVER (ORDER BY h, store_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT store_id, count(*) AS n, CAST('0x' || substr(md5(store_id || ':42'), 1, 15) AS BIGINT) AS h
+        FROM (SELECT DISTINCT store_id, product_id FROM hpanel) GROUP BY store_id)) s ON s.store_id = k.store_id
+WHERE before < 40"""))
 def _(spark, d):
     keys = T.panel_keys(X.hourly_panel(spark, d))
     return T.sample_stores(keys, 40)

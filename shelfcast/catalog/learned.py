@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import hourly
+from shelfcast.catalog.ctes import query
 from shelfcast.catalog.registry import register, rounded
 from shelfcast.functions import metrics as M
 from shelfcast.operators import features as FE
@@ -104,7 +105,12 @@ def _(spark, d):
     return rounded(reports.dashboard_price_response(response(spark, d)))
 
 
-@register("transplanted_masks")
+@register("transplanted_masks", query("hpanel", """
+SELECT t.store_id, t.product_id, t.dt, d.empty AS hidden_hours
+FROM (SELECT *, CAST('0x' || substr(md5(store_id || ':' || product_id || ':' || dt || ':43'), 1, 15) AS BIGINT)
+             % (SELECT count(*) FROM hpanel WHERE empty > 0) AS slot FROM hpanel WHERE empty = 0) t
+JOIN (SELECT empty, row_number() OVER (ORDER BY CAST('0x' || substr(md5(store_id || ':' || product_id || ':' || dt || ':42'), 1, 15) AS BIGINT)) - 1 AS slot
+      FROM hpanel WHERE empty > 0) d USING (slot)"""))
 def _(spark, d):
     panel = hourly.prepared(spark, d)
     clean = A.is_clean("hours_stock_status")

@@ -77,14 +77,17 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: s
     return exact_quantiles(df, value, [0.5], by, accuracy).select(*by, F.col("quantile").alias(name))
 
 
+def seeded_hash(key: Column, seed: int) -> Column:
+    """60 bits of the MD5 of "key:seed", which any SQL engine can compute as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def running_total_by_hash(df: DataFrame, key: str, amount: str, seed: int) -> DataFrame:
     """``total_before``: the amount of all rows ordered before this one by a seeded hash of ``key``.
 
     Rows are cut into equal ranges of the hash; only the range totals meet in one task.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    # the arithmetic shift keeps the order of the signed hash: 1024 equally likely ranges
-    data = df.withColumn("h", h).withColumn("range_id", F.shiftright("h", 54))
+    data = df.withColumn("h", seeded_hash(F.col(key), seed)).withColumn("range_id", F.shiftright("h", 50))  # 1024 equal ranges
     totals = data.groupBy("range_id").agg(F.sum(amount).alias("range_total"))
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("range_id", F.coalesce(F.sum("range_total").over(before), F.lit(0)).alias("range_start"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import arrays as A
 from shelfcast.functions.metrics import hourly_metrics
-from shelfcast.functions.quantiles import running_total_by_hash
+from shelfcast.functions.quantiles import running_total_by_hash, seeded_hash
 from shelfcast.operators.booster import BoosterModel, BoosterParams, fit_booster
 from shelfcast.operators.hourly import (MIN_DAYS, profile_recover, recover_by_profile, recovery_features,
                                         with_profile)
@@ -40,10 +40,10 @@ def transplant_masks(targets: DataFrame, donors: DataFrame, seed: int) -> DataFr
     n_donors = donors.count()
     if n_donors == 0:
         return targets.limit(0).withColumn("mask", F.col("hours_stock_status"))
-    donor = F.to_json(F.struct(*PANEL_KEY, "dt"))
+    donor = F.concat_ws(":", *PANEL_KEY, "dt")
     named = donors.select(donor.alias("donor"), F.col("hours_stock_status").alias("mask"), F.lit(1).alias("one"))
     numbered = running_total_by_hash(named, "donor", "one", seed).select(F.col("total_before").alias("slot"), "mask")
-    pick = F.pmod(F.xxhash64(*PANEL_KEY, "dt", F.lit(seed + 1)), F.lit(n_donors))
+    pick = F.pmod(seeded_hash(donor, seed + 1), F.lit(n_donors))
     return targets.withColumn("slot", pick).join(numbered, "slot").drop("slot")
 
 
