@@ -213,7 +213,8 @@ SELECT rule, count, round(count / rows_in, 6) AS pct_of_input FROM (
   LATERAL (VALUES ('rows_in', rows_in), ('r1_duplicates_removed', rows_in - kept), ('r2_negative_units', r2),
     ('r3_price_outliers', r3), ('r4_missing_days_filled', r4), ('r5_censored_stockout_days', r5), ('rows_out', rows_out)) v(rule, count)"""))
 def _(spark, d):
-    return rounded(Q.quality_scorecard(X.daily_sales(spark, d), X.ARRIVAL, X.bounds_frame(spark, d)))
+    size = X.daily_sales(spark, d).agg(F.count(F.lit(1)).alias("rows_in"))
+    return rounded(Q.scorecard_of(X.marked(spark, d), size))
 
 
 # ------------------------------------------------------------------ segments and exploration
@@ -355,16 +356,7 @@ SELECT fold, cutoff, count(*) FILTER (date <= cutoff AND demand_target IS NOT NU
        count(*) FILTER (date > cutoff AND date <= cutoff + 28) AS test_rows
 FROM gold0, cutoffs GROUP BY ALL"""))
 def _(spark, d):
-    gold = X.gold(spark, d)
-    cuts = X.cutoffs(spark, d)
-    parts = [BT.training_rows(gold, c).agg(F.count(F.lit(1)).alias("train_rows"))
-             .crossJoin(BT.test_window(gold, c).agg(F.count(F.lit(1)).alias("test_rows")))
-             .select(F.lit(k).alias("fold"), F.lit(c).alias("cutoff"), "train_rows", "test_rows")
-             for k, c in enumerate(cuts, 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return BT.fold_sizes(X.gold(spark, d), X.cutoffs(spark, d))
 
 
 @register("fold_cutoffs", query("cutoffs", "SELECT fold, cutoff FROM cutoffs"))

@@ -127,8 +127,11 @@ def clean_sales(sales: DataFrame, arrival: list[str], bounds: DataFrame | None =
 
 def quality_scorecard(sales: DataFrame, arrival: list[str], bounds: DataFrame | None = None) -> DataFrame:
     """(rule, count, pct_of_input), one row per rule plus rows in and out."""
-    marked = apply_rules(sales, arrival, bounds)
+    return scorecard_of(apply_rules(sales, arrival, bounds), sales.agg(F.count(F.lit(1)).alias("rows_in")))
 
+
+def scorecard_of(marked: DataFrame, size: DataFrame) -> DataFrame:
+    """The scorecard from a panel that ``apply_rules`` has marked and the one-row ``rows_in``."""
     def n(c: Column) -> Column:
         return F.count(F.when(c, 1))
 
@@ -140,7 +143,7 @@ def quality_scorecard(sales: DataFrame, arrival: list[str], bounds: DataFrame |
         n(F.col("stockout_flag") == 1).alias("r5_censored_stockout_days"),
         F.count(F.lit(1)).alias("rows_out"),
     )
-    one = (after.crossJoin(F.broadcast(sales.agg(F.count(F.lit(1)).alias("rows_in"))))
+    one = (after.crossJoin(F.broadcast(size))
            .withColumn("r1_duplicates_removed", F.col("rows_in") - F.col("kept")))
     rules = ["rows_in", "r1_duplicates_removed", "r2_negative_units", "r3_price_outliers",
              "r4_missing_days_filled", "r5_censored_stockout_days", "rows_out"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.metrics import evaluate, evaluate_at_level
@@ -16,7 +16,19 @@ ENSEMBLE = "ensemble_70_30"
 
 def test_window(df: DataFrame, cutoff: dt.date, horizon: int = HORIZON) -> DataFrame:
     """Rows of the days the fold is scored on."""
-    return df.where((F.col("date") > F.lit(cutoff)) & (F.col("date") <= F.date_add(F.lit(cutoff), horizon)))
+    return df.where(in_test_window(cutoff, horizon))
+
+
+def in_test_window(cutoff: dt.date, horizon: int = HORIZON) -> Column:
+    return (F.col("date") > F.lit(cutoff)) & (F.col("date") <= F.date_add(F.lit(cutoff), horizon))
+
+
+def fold_sizes(df: DataFrame, cutoffs: list[dt.date], target: str = "demand_target", lag: str = f"lag_{HORIZON}") -> DataFrame:
+    """Training and test rows of every fold, from one pass."""
+    known = F.col(target).isNotNull() & F.col(lag).isNotNull()
+    rows = [F.struct(F.lit(k).alias("fold"), F.lit(c).alias("cutoff"), F.count(F.when(known & (F.col("date") <= F.lit(c)), 1)).alias("train_rows"),
+                     F.count(F.when(in_test_window(c), 1)).alias("test_rows")) for k, c in enumerate(cutoffs, 1)]
+    return df.agg(F.array(*rows).alias("folds")).select(F.inline("folds"))
 
 
 def training_rows(df: DataFrame, cutoff: dt.date | None = None, target: str = "demand_target",

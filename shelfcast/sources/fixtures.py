@@ -108,8 +108,13 @@ def cutoffs(spark: SparkSession, sf_dir: str) -> list[dt.date]:
     return fold_origins(bounds(spark, sf_dir)[1], FOLDS)
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with all rules applied and their marks: silver and the scorecard both read it."""
+    return written_once(spark, sf_dir, "marked", lambda: apply_rules(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir)))
+
+
 def build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = apply_rules(daily_sales(spark, sf_dir), ARRIVAL, bounds_frame(spark, sf_dir)).drop("is_negative", "is_price_outlier")
+    cleaned = marked(spark, sf_dir).drop("is_negative", "is_price_outlier")
     # promotions of siblings are known for days with records only
     siblings = F.when(F.col("is_filled"), 0).otherwise(F.col("n_sibling_promo"))
     return add_sibling_promo(cleaned, products(spark, sf_dir)).withColumn("n_sibling_promo", siblings).drop("is_filled")
