@@ -29,10 +29,10 @@ from shelfcast.sources import fixtures as X
 
 # All folds and all models, but fewer rounds than the library's defaults: a round costs one to four seconds here
 # whatever the size of the test tables, and the two backtests fit sixteen models.
-ROUNDS = 10
-DAILY = replace(DP.PARAMS, rounds=ROUNDS)
-HOURLY = HB.HourlySettings(lags=(7, 14), min_days=hourly.MIN_DAYS, recovery=replace(R.PARAMS, rounds=ROUNDS),
-                           forecaster=replace(HB.HF.PARAMS, rounds=ROUNDS))
+DAILY = replace(DP.PARAMS, rounds=8)
+# events span 30 days: before the warm-up week only the first lag is known
+HOURLY = HB.HourlySettings(lags=(7,), min_days=hourly.MIN_DAYS, recovery=replace(R.PARAMS, rounds=4),
+                           forecaster=replace(HB.HF.PARAMS, rounds=4))
 
 
 def boosted_backtest(spark, d) -> DataFrame:
