@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +26,10 @@ from shelfcast.schemas import PANEL_KEY
 from shelfcast.session import shared_folder, written_once
 from shelfcast.sources import fixtures as X
 
-# All folds and all models, but fewer rounds than the library's defaults: a round costs one to four seconds here
-# whatever the size of the test tables, and the two backtests fit sixteen models.
-DAILY = replace(DP.PARAMS, rounds=8)
+# All folds, all models and the library's own parameters.
+DAILY = DP.PARAMS
 # events span 30 days: before the warm-up week only the first lag is known
-HOURLY = HB.HourlySettings(lags=(7,), min_days=hourly.MIN_DAYS, recovery=replace(R.PARAMS, rounds=4),
-                           forecaster=replace(HB.HF.PARAMS, rounds=4))
+HOURLY = HB.HourlySettings(lags=(7,), min_days=hourly.MIN_DAYS)
 
 
 def boosted_backtest(spark, d) -> DataFrame:

@@ -26,3 +26,14 @@ def test_entry_has_rows(spark):
 def test_names_are_plain():
     assert not [n for n in E.queries() if not re.fullmatch(r"[a-z0-9_]+", n)]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_learned_queries_use_the_library_parameters():
+    from shelfcast.catalog import learned
+    from shelfcast.operators import hourly_forecast as HF
+    from shelfcast.operators import recovery as R
+    from shelfcast.plans import daily as DP
+
+    assert learned.DAILY == DP.PARAMS and DP.PARAMS.rounds == 40
+    assert learned.HOURLY.recovery == R.PARAMS and learned.HOURLY.forecaster == HF.PARAMS
+    assert R.PARAMS.rounds == HF.PARAMS.rounds == 30
