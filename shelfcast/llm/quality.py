@@ -1,8 +1,9 @@
-"""Quality rules and an isolation forest over their statistics.
+"""Quality rules and isolation forests over their statistics.
 
-Every text's rule statistics are counted whole. The forest's random splits, drawn from at most
+Every text's rule statistics are counted whole. A forest's random splits, drawn from at most
 ``pool_rows`` documents (least hash of doc_id), give each document a mean path length; short paths mean
-odd documents. All labelled rows calibrate the threshold: it rejects as many rows of quality 0 as it
+odd documents. One forest sees all ratios, one only those of signs and letters, which lengths of texts
+don't move; a document is as odd as the higher of its two scores. All labelled rows calibrate the threshold: it rejects as many rows of quality 0 as it
 can while at most ``spare`` of the rows of quality 1 go.
 
 Null and empty texts have no words and fail the base rules. Without labels of either class, nothing is
@@ -25,7 +26,8 @@ from .textgrid import byte_array, kept, mixed, slice_hashes, sliced, space_table
 
 SYMBOLS = b"#*$%&|<>"  # fixed by the contract
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATIOS = ["symbol_share", "upper_share", "mark_share", "same_next_share"]
+RATIOS = ["symbol_share", "upper_share", "mark_share", "same_next_share", "dup_line_share", "repeat_share", "again_share", "mean_length"]
+SIGNS = 4  # the second forest sees the first four alone
 STEPS = 2000  # grid of the calibrated threshold
 
 
@@ -54,7 +56,7 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of the base rules and the ratios the forest sees, per text."""
+    """The counts of the base rules and the ratios the forests see, per text."""
     n = len(offsets) - 1
     solid = ~kept("spaces", space_table)[data]
     starts, ends, bounds = word_bounds(data, offsets)
@@ -87,12 +89,15 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 5, -1)
     out["n_repeat_words"] = np.bincount(word_text[np.cumsum(cover)[:-1] > 0], minlength=n)
+    again = repeated(mixed(words ^ (word_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))[1]
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (word_text[1:] == word_text[:-1])
     per = lambda x, y: x / np.maximum(y, 1)
     out |= {"symbol_share": per(out["n_symbols"], out["word_chars"]), "upper_share": per(per_text(upper, offsets), per_text(letter, offsets)),
             "mark_share": per(per_text(marks[data], offsets), out["word_chars"]),
-            "same_next_share": per(np.bincount(word_text[same], minlength=n), n_words)}
+            "same_next_share": per(np.bincount(word_text[same], minlength=n), n_words),
+            "dup_line_share": per(out["n_dup_lines"], np.bincount(line_text, minlength=n)), "repeat_share": per(out["n_repeat_words"], n_words),
+            "again_share": per(np.bincount(word_text[again], minlength=n), n_words), "mean_length": per(out["word_chars"], n_words)}
     return out
 
 
@@ -156,14 +161,16 @@ def judged(docs: DataFrame, labels: DataFrame, with_: Forest = Forest()) -> Data
     if len(pool) < 2:
         scores = stats.select(*names, F.lit(None).cast("double").alias("anomaly"))
     else:
-        sent = docs.sparkSession.sparkContext.broadcast((grow(pool, with_), min(with_.rows, len(pool))))
+        forests = [(width, grow(pool[:, :width], with_)) for width in (len(RATIOS), SIGNS)]
+        sent = docs.sparkSession.sparkContext.broadcast((forests, min(with_.rows, len(pool))))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo in range(0, b.num_rows, 2048):
                     part = b.slice(lo, 2048)
                     rows = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in RATIOS])
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(anomaly(rows, *sent.value))], [*names, "anomaly"])
+                    odd = np.max([anomaly(rows[:, :width], forest, sent.value[1]) for width, forest in sent.value[0]], 0)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(odd)], [*names, "anomaly"])
 
         kinds = ", ".join(f"{c} {stats.schema[c].dataType.simpleString()}" for c in names)
         scores = written(stats.mapInArrow(work, f"{kinds}, anomaly double"), "rule-scores")

@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from shelfcast.llm.quality import COUNTS, quality_digest
 
 from . import hard_cases as H
@@ -53,3 +55,22 @@ def test_forest_rejects_bad_and_spares_good(spark):
     rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
     assert rows[rows.quality == 1].kept.mean() >= 0.99
     assert rows[rows.quality == 0].kept.mean() <= 0.2
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables")
+def test_forest_rejects_texts_odd_by_one_statistic(spark):
+    """Repeated lines, repeated windows under the base rule's fifth, and glued words, each without any other oddness."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rng = random.Random(3)
+    vocabulary = sorted({w for r in docs.where("text is not null").orderBy("doc_id").limit(300).collect() for w in words(r["text"]) if w.isalpha() and w.islower()})
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    lines = ["\n".join(" ".join(some(40)) + "\nRead more" for _ in range(12)) for _ in range(8)]
+    windows = [" ".join(w + w[:41]) for w in (some(400) for _ in range(8))]
+    glued = [" ".join("".join(some(6)) for _ in range(300)) for _ in range(8)]
+    planted = H.docs(spark, lines + windows + glued, 10**9).select("doc_id", "text")
+    all_labels = labels.select("doc_id", "quality").unionByName(planted.select("doc_id", F.lit(0).alias("quality")))
+    got = quality_digest(docs.select("doc_id", "text").unionByName(planted), all_labels).join(all_labels, "doc_id").where("not base_failed").toPandas()
+    own = got[got.doc_id >= 10**9].set_index("doc_id").sort_index()
+    assert len(own) == 24
+    assert [own.kept.loc[10**9 + i:10**9 + i + 7].mean() for i in (0, 8, 16)] == [0, 0, 0]
+    assert got[got.quality == 1].kept.mean() >= 0.99
