@@ -28,8 +28,8 @@ from shelfcast.sources import fixtures as X
 
 # All folds, all models and the library's own parameters.
 DAILY = DP.PARAMS
-# events span 30 days: before the warm-up week only the first lag is known
-HOURLY = HB.HourlySettings(lags=(7,), min_days=hourly.MIN_DAYS)
+# events span 30 days: before the warm-up week only the first lag is known, and longer ones are missing inputs
+HOURLY = HB.HourlySettings(known_lag=7, min_days=hourly.MIN_DAYS)
 
 
 def boosted_backtest(spark, d) -> DataFrame:
@@ -142,7 +142,30 @@ def _(spark, d):
                                        params=HOURLY.recovery))
 
 
+def walk_forward(spark, d, part: str) -> DataFrame:
+    """The scores, horizon or scales of one walk-forward run; each is written on first use of any."""
+    made = {}
+
+    def build(name: str) -> DataFrame:
+        if not made:
+            scores, horizon, scales, _ = HB.run_backtest(hourly.prepared(spark, d), hourly.cutoff(spark, d), HOURLY)
+            made.update(scores=scores, horizon=horizon, scales=scales)
+        return made[name]
+
+    tables = {n: written_once(spark, d, f"walk_forward_{n}", lambda n=n: build(n)) for n in ("scores", "horizon", "scales")}
+    return tables[part]
+
+
 @register("hourly_walk_forward")
 def _(spark, d):
-    scores, _, _, _ = HB.run_backtest(hourly.prepared(spark, d), hourly.cutoff(spark, d), HOURLY)
-    return rounded(scores)
+    return rounded(walk_forward(spark, d, "scores"))
+
+
+@register("walk_forward_horizon")
+def _(spark, d):
+    return rounded(walk_forward(spark, d, "horizon"))
+
+
+@register("walk_forward_scales")
+def _(spark, d):
+    return rounded(walk_forward(spark, d, "scales"))

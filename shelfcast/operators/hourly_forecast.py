@@ -43,9 +43,13 @@ def build_frame(panel: DataFrame, target: Column, lags: list[int] = HOURLY_LAGS,
 
 
 def fit_predict(frame: DataFrame, cutoff: int, lags: list[int] = HOURLY_LAGS, horizon: int = HOURLY_HORIZON,
-                params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterModel]:
-    """Train up to the cutoff on rows whose longest lag is known; predict the next days."""
-    train = frame.where((F.col("day") <= cutoff) & F.col(f"lag_{max(lags)}").isNotNull())
+                params: BoosterParams = PARAMS, known_lag: int | None = None) -> tuple[DataFrame, BoosterModel]:
+    """Train up to the cutoff on rows whose longest lag is known; predict the next days.
+
+    Histories shorter than the longest lag name a lag that must be known (``known_lag``); longer ones may be missing.
+    """
+    must = max(lags) if known_lag is None else known_lag
+    train = frame.where((F.col("day") <= cutoff) & F.col(f"lag_{must}").isNotNull())
     test = frame.where((F.col("day") > cutoff) & (F.col("day") <= cutoff + horizon))
     model = fit_booster(train, forecast_features(lags), "y", [*PANEL_KEY, "day"],
                         [*HOURLY_CATEGORIES, "product_id"], params, encoded=["store_id", "product_id"])

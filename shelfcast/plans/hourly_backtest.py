@@ -19,6 +19,7 @@ from shelfcast.session import cut_lineage
 class HourlySettings:
     lags: tuple[int, ...] = tuple(HOURLY_LAGS)
     horizon: int = HOURLY_HORIZON
+    known_lag: int | None = None
     min_days: int = MIN_DAYS
     with_model: bool = True
     recovery: BoosterParams = R.PARAMS
@@ -51,7 +52,7 @@ def run_fold(panel: DataFrame, cutoff: int, settings: HourlySettings = HourlySet
         # labels after the cutoff are never trained on
         goal = F.when(F.col("day") > cutoff, F.col("observed")).otherwise(F.col(target))
         frame = HF.build_frame(base, goal, list(s.lags), s.horizon)
-        pred, _ = HF.fit_predict(frame, cutoff, list(s.lags), s.horizon, s.forecaster)
+        pred, _ = HF.fit_predict(frame, cutoff, list(s.lags), s.horizon, s.forecaster, s.known_lag)
         parts.append(pred.select(
             F.lit(target).alias("target"), F.lit(label).alias("training_target"), "store_id", "product_id", "day",
             "observed", "recovered_truth", "rec_profile", "hours_stock_status", "sale_group",
