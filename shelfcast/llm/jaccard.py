@@ -8,9 +8,9 @@ coordinate and the set's value there. A node with at most ``small`` sets is comp
 splits on, unless it holds most of its parent's sets already (near copies, which no split parts) or is
 ``depth`` deep. Large leaves are compared in pairs of blocks. Two sets of similarity 0.8 share a
 child of a node with probability 0.96, and a leaf below a root with more than 0.94; roots are added until the
-expected recall reaches ``recall``.
+recall expected over the minima in which such a pair agrees reaches ``recall``.
 
-Compared are signatures, with a slack of five deviations; sets that pass form candidate groups, in which
+Compared are signatures, with a slack of five deviations at least; sets that pass form candidate groups, in which
 every pair is checked exactly on full sets, in blocks. Links of similarity ``least`` or more form classes.
 No pair is ever written: tasks return numbers of links and the least member reached.
 
@@ -49,12 +49,32 @@ class Join:
     block: int = 256
     exact_block: int = 128
 
-    def roots(self) -> int:
-        """With two children a node, a pair that shares a child with probability s survives p = 1 - (1 - s p)**2 per level."""
-        p = 1.0
+    def agreeing(self) -> np.ndarray:
+        """Chance that a pair of similarity ``least`` agrees in 0, 1, ... MINIMA minima."""
+        return np.array([math.comb(MINIMA, k) * self.least**k * (1 - self.least) ** (MINIMA - k) for k in range(MINIMA + 1)])
+
+    def need(self) -> float:
+        """Minima in which compared signatures must agree: five deviations of slack, more where these lose half of what ``recall`` allows."""
+        slack = 5 * math.sqrt(self.least * (1 - self.least) / MINIMA)
+        lost = np.cumsum(self.agreeing())  # at k: chance of k minima or fewer
+        return min((self.least - slack) * MINIMA, int((lost <= (1 - self.recall) / 2).sum()))
+
+    def expected(self, roots: int) -> float:
+        """Recall of a lone pair of similarity ``least``, over the minima it agrees in: all roots sample the same ones.
+
+        With two children a node, a pair that shares a child with probability s survives p = 1 - (1 - s p)**2 per level.
+        """
+        share, p = np.arange(MINIMA + 1) / MINIMA, np.ones(MINIMA + 1)
         for _ in range(self.depth):
-            p = 1 - (1 - self.least * p) ** 2
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - p))
+            p = 1 - (1 - share * p) ** 2
+        found = np.where(np.arange(MINIMA + 1) >= self.need(), 1 - (1 - p) ** roots, 0.0)
+        return float((self.agreeing() * found).sum())
+
+    def roots(self) -> int:
+        n = 1
+        while self.expected(n) < self.recall:
+            n += 1
+        return n
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +228,7 @@ def least_reached(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
 
 def candidates(found: DataFrame, reps: DataFrame, with_: Join) -> DataFrame:
     """(a, b): sets whose signatures are alike, joined to the least one they reach within a cell. A row per set and leaf, and few more."""
-    slack = 5 * math.sqrt(with_.least * (1 - with_.least) / MINIMA)
-    need = (with_.least - slack) * MINIMA
+    need = with_.need()
     brief = reps.select("rep", "sig")
     rows = found.withColumn("blocks", F.ceil(F.col("size") / with_.block)).join(brief, "rep")
     cells = in_cells(rows, "node", "blocks").select("cell", "side", "rep", "sig")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from shelfcast.llm.components import components
-from shelfcast.llm.jaccard import Join, distinct_by_similarity, join_digest
+from shelfcast.llm.jaccard import Join, children, distinct_by_similarity, join_digest, signatures
 
 from . import hard_cases as H
 from .test_quality import words
@@ -78,3 +78,35 @@ def test_components(spark):
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[i] for i in range(41)} == {0}
     assert {found[int(x)] for _, x in edges[40:120]} == {100} and found[301] == 300 and 200 not in found
+
+
+def test_recall_of_pairs_just_above_the_limit():
+    """20,000 lone pairs of similarity 0.80 to 0.82, each to share a leaf of the roots and pass the signatures' filter."""
+    rng, n, with_ = np.random.default_rng(4), 20_000, Join()
+    assert with_.expected(with_.roots()) >= with_.recall and with_.roots() == 7
+    both, only = 820, 94  # 820 of 1008 shingles: 0.813
+    found = np.zeros(n, bool)
+    for lo in range(0, n, 1000):
+        h = rng.integers(0, 1 << 63, (1000, both + 2 * only), np.uint64)
+        bounds = np.arange(1001) * (both + only)
+        a, b = signatures(h[:, :both + only].ravel(), bounds), signatures(np.hstack([h[:, :both], h[:, both + only:]]).ravel(), bounds)
+        nodes = np.zeros((1000, 0), bool)
+        for root in range(with_.roots()):
+            nodes = np.hstack([nodes, alike(a, b, root, with_.depth)[:, None]])
+        found[lo:lo + 1000] = nodes.any(1) & ((a == b).sum(1) >= with_.need())
+    assert (~found).sum() <= 2
+    # a lone pair at 0.8, the expectation by the drawn number of agreeing minima
+    assert Join().expected(5) < 0.99998
+
+
+def alike(a, b, root, depth):
+    """Pairs that share a path of ``depth`` nodes below a root."""
+    at = np.full(len(a), root + 1, np.uint64)
+    live, pair = np.ones(len(a), bool), np.arange(len(a))
+    for _ in range(depth):
+        x, y = children(at, a[pair]), children(at, b[pair])
+        same = x == y
+        pair, at = np.concatenate([pair[same[:, 0]], pair[same[:, 1]]]), np.concatenate([x[same[:, 0], 0], x[same[:, 1], 1]])
+    live[:] = False
+    live[pair] = True
+    return live
