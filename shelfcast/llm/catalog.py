@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .exact_dedup import dedup_digest
+from .hosts import url_digest
 from .jaccard import join_digest
 from .katz import katz_digest
 from .packing import packing_digest
@@ -61,8 +62,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(read(spark, sf_dir, "documents"))
 
 
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op4_katz_backoff, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan)}
+    op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op4_katz_backoff, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan,
+    op13_host_reputation)}
 SQL: dict[str, str] = {
     "op1_warc_dictionary": """
         with p as (select page_id, coalesce(html, '') as html from pages),
@@ -82,4 +88,44 @@ SQL: dict[str, str] = {
                                                  rows between unbounded preceding and unbounded following) as kept,
                sha256(norm) as text_sha256
         from t""",
+    "op13_host_reputation": r"""
+        with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+             h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from u),
+             p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+             d as (select *, try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(\.[a-z]+)?/?\z', 1), '') as bigint) as document,
+                          regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*)?\z', ''), '\.\z', '') as name from p),
+             l as (select doc_id as document, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels where doc_id is not null group by 1),
+             c as (select host, any_value(name) as name, count(bad) as n, coalesce(sum(bad), 0) as x from d left join l using (document) group by host),
+             s as (select *, string_split(name, '.') as parts, regexp_matches(name, '^[0-9]+(\.[0-9]+){3}\z') as ip from c),
+             two as (select *, array_to_string(parts[-2:], '.') as last_two from s),
+             hosts as (select host, n::double as n, x::double as x, last_two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') as long,
+                              case when ip then name when long then array_to_string(parts[-3:], '.') else last_two end as domain,
+                              case when ip then '' when long then last_two else parts[-1] end as suffix from two),
+             domains as (select suffix, domain, sum(n) as n, sum(x) as x from hosts group by all),
+             suffixes as (select suffix, sum(n) as n, sum(x) as x from domains group by all),
+             corpus as (select (coalesce(sum(x), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as m from suffixes),
+             members as (select 0 as level, '' as g, n, x from suffixes union all select 1, suffix, n, x from domains union all select 2, domain || ' ' || suffix, n, x from hosts),
+             sums as (select level, sum(n) as al, sum(x) / sum(n) as r, sum(x) as ax, count(*) as k, sum(x * x / n) as sq, sum(n * n) as n2 from members where n > 0 group by level, g),
+             rho as (select level, sum(sq - ax * r - r * (1 - r) * (k - 1)) as above, sum(r * (1 - r) * (al - n2 / al - k + 1)) as per from sums group by level),
+             w as (select lv as level, case when per is null or per <= 0 then 20.0 when above <= 0 then 10000.0
+                                            else least(greatest(per / above - 1, 1.0), 10000.0) end as w
+                   from (select unnest([0, 1, 2]) as lv) left join rho on lv = level),
+             bs as (select suffix, (x + w * m) / (n + w) as ms from suffixes, corpus, w where level = 0),
+             bd as (select suffix, domain, (x + w * ms) / (n + w) as md from domains join bs using (suffix), w where level = 1),
+             ab as (select host, x + w * md as a, n - x + w * (1 - md) as b from hosts join bd using (suffix, domain), w where level = 2),
+             y as (select *, a + 6 as ya, b + 6 as yb from ab),
+             logit as (select host,
+                 (ln(ya) - 1 / (2 * ya) - 1 / (12 * ya ^ 2) + 1 / (120 * ya ^ 4) - list_sum([1 / (a + i) for i in range(0, 6)]))
+                 - (ln(yb) - 1 / (2 * yb) - 1 / (12 * yb ^ 2) + 1 / (120 * yb ^ 4) - list_sum([1 / (b + i) for i in range(0, 6)])) as mean,
+                 (1 / ya + 1 / (2 * ya ^ 2) + 1 / (6 * ya ^ 3) - 1 / (30 * ya ^ 5) + list_sum([1 / (a + i) ^ 2 for i in range(0, 6)]))
+                 + (1 / yb + 1 / (2 * yb ^ 2) + 1 / (6 * yb ^ 3) - 1 / (30 * yb ^ 5) + list_sum([1 / (b + i) ^ 2 for i in range(0, 6)])) as var from y),
+             blocked as (select host, 1 / (1 + exp(-(mean - 1.645 * sqrt(var)))) > 0.5 as blocked from logit),
+             rules as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                             ('block', 'net', '/es/'), ('block', 'net', '/fr/')) as t(act, rh, rp)),
+             hp as (select distinct host, path from p),
+             fit as (select host, path, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(act, length(rh || rp)) as act
+                     from hp join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
+        select page_id, p.host, p.path, rule, coalesce(act, case when blocked then 'block' else 'allow' end) as verdict
+        from p left join fit on p.host = fit.host and p.path = fit.path join blocked on blocked.host = p.host""",
 }
