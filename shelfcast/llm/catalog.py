@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import filter_audit
 from .bpe import bpe_digest
 from .exact_dedup import dedup_digest
 from .hosts import url_digest
@@ -62,13 +63,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op4_katz_backoff, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan,
-    op13_host_reputation)}
+    op11_filter_audit, op13_host_reputation)}
 SQL: dict[str, str] = {
     "op1_warc_dictionary": """
         with p as (select page_id, coalesce(html, '') as html from pages),
@@ -88,6 +93,31 @@ SQL: dict[str, str] = {
                                                  rows between unbounded preceding and unbounded following) as kept,
                sha256(norm) as text_sha256
         from t""",
+    "op11_filter_audit": r"""
+        with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+             w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first_id from t),
+             f as (select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+                          100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+                          first_id is not null and (doc_id is null or first_id < doc_id) as e from w),
+             l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+             r as (select part, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end)
+                          || (case when d then 'D' else '' end) || (case when e then 'E' else '' end) as fails, count(*) as n,
+                          coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f left join l using (doc_id) group by 1, 2),
+             x as (select unnest(['A', 'B', 'C', 'D', 'E']) as v),
+             o as (select p1.v || p2.v || p3.v || p4.v || p5.v as filter_order from x p1, x p2, x p3, x p4, x p5
+                   where len(list_distinct([p1.v, p2.v, p3.v, p4.v, p5.v])) = 5),
+             g as (select part, n, good, toxic, fails, filter_order, step, substr(filter_order, step, 1) as letter,
+                          least(case when contains(fails, 'A') then instr(filter_order, 'A') else 6 end, case when contains(fails, 'B') then instr(filter_order, 'B') else 6 end,
+                                case when contains(fails, 'C') then instr(filter_order, 'C') else 6 end, case when contains(fails, 'D') then instr(filter_order, 'D') else 6 end,
+                                case when contains(fails, 'E') then instr(filter_order, 'E') else 6 end) as gone
+                   from r, o, (select unnest([1, 2, 3, 4, 5])::int as step)),
+             z as (select part, filter_order, step, letter, coalesce(sum(n) filter (gone > step), 0) as kept, coalesce(sum(n) filter (gone = step), 0) as removed,
+                          coalesce(sum(n) filter (contains(fails, letter) and gone < step), 0) as redundant, coalesce(sum(n) filter (fails = letter), 0) as unique_fails,
+                          coalesce(sum(good) filter (gone = step), 0) as good_lost, coalesce(sum(toxic) filter (gone = step), 0) as toxic_lost
+                   from g group by 1, 2, 3, 4)
+        select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+               good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley
+        from z""",
     "op13_host_reputation": r"""
         with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
              h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from u),
