@@ -104,10 +104,10 @@ def test_matrix_holds_every_word_under_one_number(spark, monkeypatch):
     word_of = {r["id"]: r["word"] for r in numbers.collect()}
     texts = [r["text"] or "" for r in frame.collect()]
     words = {w for t in texts for w in WORD.findall(t)}
-    assert sorted(word_of) == list(range(len(words))) and set(word_of.values()) == words
+    assert len(word_of) == len(words) and sorted(word_of.values()) == sorted(words)
     rows = []
     for r in matrix.collect():
-        starts, column, counts = M.get(folder, f"{r['shard']}.csr")
+        starts, column, counts = M.csr_of(folder, r['shard'])
         assert r["n_rows"] == len(starts) - 1 and r["nnz"] == len(column)
         for a, z in zip(starts.tolist(), starts[1:].tolist()):
             assert (column[a + 1:z] > column[a:z - 1]).all() if z - a > 1 else True
