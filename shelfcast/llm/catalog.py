@@ -18,6 +18,7 @@ from .repair import shard_round_trip
 from .secrets import secrets_digest
 from .tables import read
 from .toxicity import toxicity_digest
+from .variants import spelling_groups
 from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,13 +68,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read(spark, sf_dir, "documents"))
+
+
 def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_dictionary, op2_byte_bpe, op3_best_fit_packing, op4_katz_backoff, op5_quality_forest, op6_content_sort_dedup, op7_chosen_path_join, op8_repair_shards, op9_toxicity_ftrl, op10_secret_scan,
-    op11_filter_audit, op13_host_reputation)}
+    op11_filter_audit, op12_spelling_variants, op13_host_reputation)}
 SQL: dict[str, str] = {
     "op1_warc_dictionary": """
         with p as (select page_id, coalesce(html, '') as html from pages),
