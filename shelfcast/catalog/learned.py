@@ -16,7 +16,6 @@ from shelfcast.operators import pricing as P
 from shelfcast.operators import recovery as R
 from shelfcast.operators.booster import BoosterModel, load_booster
 from shelfcast.operators.ets import ets
-from shelfcast.operators.hourly import recover_by_profile
 from shelfcast.functions import arrays as A
 from shelfcast.plans import backtest as BT
 from shelfcast.plans import daily as DP
@@ -115,25 +114,28 @@ def _(spark, d):
     return masked.select(*PANEL_KEY, "dt", A.empty_hours("mask").alias("hidden_hours"))
 
 
-def model_recovery(spark, d) -> DataFrame:
-    def build():
-        out, _ = R.recover(hourly.prepared(spark, d), hourly.cutoff(spark, d), min_days=hourly.MIN_DAYS,
-                           params=HOURLY.recovery)
-        return out
-    return written_once(spark, d, "model_recovery", build)
+def recovery_run(spark, d, part: str) -> DataFrame:
+    """The recovered rows of all folds, or the last fold's importance, of one fit; each is written on first use of any."""
+    made = {}
+
+    def build(name: str) -> DataFrame:
+        if not made:
+            out, models = R.recover_folds(hourly.prepared(spark, d), HB.fold_days(hourly.cutoff(spark, d)), min_days=hourly.MIN_DAYS, params=HOURLY.recovery)
+            made.update(rows=out, importance=R.recovery_importance(models[len(models.forests) - 1]))
+        return made[name]
+
+    tables = {n: written_once(spark, d, f"model_recovery_{n}", lambda n=n: build(n)) for n in ("rows", "importance")}
+    return tables[part]
 
 
 @register("model_recovered_demand")
 def _(spark, d):
-    return rounded(model_recovery(spark, d).select(*PANEL_KEY, "dt", "observed", "rec_profile", "rec_model"))
+    return rounded(recovery_run(spark, d, "rows").where(F.col("cutoff_day") == hourly.cutoff(spark, d)).select(*PANEL_KEY, "dt", "observed", "rec_profile", "rec_model"))
 
 
 @register("recovery_input_importance")
 def _(spark, d):
-    cut = hourly.cutoff(spark, d)
-    rows = recover_by_profile(hourly.prepared(spark, d), cut, hourly.MIN_DAYS)
-    model = R.fit_recovery(rows, F.col("day") <= cut, params=HOURLY.recovery)
-    return rounded(R.importance_by_group(R.recovery_importance(model)))
+    return rounded(R.importance_by_group(recovery_run(spark, d, "importance")))
 
 
 @register("recovery_validation")
@@ -148,7 +150,7 @@ def walk_forward(spark, d, part: str) -> DataFrame:
 
     def build(name: str) -> DataFrame:
         if not made:
-            scores, horizon, scales, _ = HB.run_backtest(hourly.prepared(spark, d), hourly.cutoff(spark, d), HOURLY)
+            scores, horizon, scales, _ = HB.run_backtest(hourly.prepared(spark, d), hourly.cutoff(spark, d), HOURLY, recovery_run(spark, d, "rows"))
             made.update(scores=scores, horizon=horizon, scales=scales)
         return made[name]
 

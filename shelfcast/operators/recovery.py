@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions import arrays as A
 from shelfcast.functions.metrics import hourly_metrics
 from shelfcast.functions.quantiles import running_total_by_hash, seeded_hash
-from shelfcast.operators.booster import BoosterModel, BoosterParams, fit_booster
+from shelfcast.operators.booster import MODEL, BoosterModel, BoosterParams, BoosterSet, fit_booster, fit_boosters
 from shelfcast.operators.hourly import (MIN_DAYS, profile_recover, recover_by_profile, recovery_features,
                                         with_profile)
 from shelfcast.schemas import PANEL_KEY
@@ -61,24 +61,43 @@ def fit_recovery(profiled: DataFrame, fit: Column, seed: int = 42, params: Boost
                        replace(params, seed=seed))
 
 
-def apply_recovery(model: BoosterModel, profiled: DataFrame) -> DataFrame:
-    """``rec_model``: the model's estimate on stock-out days, never below what was sold."""
-    keep = profiled.columns
-    scored = model.transform(recovery_features(profiled), "estimate")
+def apply_recovery(models: BoosterSet, profiled: DataFrame, by: str | None = None) -> DataFrame:
+    """``rec_model``: the estimate of the row's model (numbered in ``by``) on stock-out days, never below what was sold."""
+    keep = [c for c in profiled.columns if c != by]
+    scored = models.transform(recovery_features(profiled), by, "estimate")
     observed = F.col("observed")
     value = F.when(A.is_clean("hours_stock_status"), observed).otherwise(F.col("estimate"))
     return scored.select(*keep, F.greatest(observed, value).alias("rec_model"))
 
 
-def recover(panel: DataFrame, cutoff: int, seed: int = 42, with_model: bool = True, min_days: int = MIN_DAYS,
-            params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterModel | None]:
-    """Panel rows with ``observed``, ``rec_profile`` and, with a model, ``rec_model``."""
-    out = recover_by_profile(panel, cutoff, min_days)
+def recover_folds(panel: DataFrame, cutoffs: list[int], seed: int = 42, with_model: bool = True, min_days: int = MIN_DAYS,
+                  params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterSet | None]:
+    """Every fold's panel rows (``cutoff_day`` says which) with ``observed``, ``rec_profile`` and, with a model, ``rec_model``.
+
+    The models of all folds are fitted together.
+    """
+    parts = [recover_by_profile(panel, c, min_days).withColumns({"cutoff_day": F.lit(c), MODEL: F.lit(k)}) for k, c in enumerate(cutoffs)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     if not with_model:
-        return out, None
+        return out.drop(MODEL), None
     out = cut_lineage(out)  # read for clean days, donors and scoring
-    model = fit_recovery(out, F.col("day") <= cutoff, seed, params)
-    return apply_recovery(model, out), model
+    clean, known = A.is_clean("hours_stock_status"), F.col("day") <= F.col("cutoff_day")
+    samples = None
+    for k in range(len(cutoffs)):
+        fold = out.where((F.col(MODEL) == k) & known)
+        own = masked_days(fold.where(clean), fold.where(~clean), seed)
+        samples = own if samples is None else samples.unionByName(own)
+    models = fit_boosters(samples, MODEL, len(cutoffs), FEATURES, "truth", [*PANEL_KEY, "dt"], ["x_third_category_id"], replace(params, seed=seed))
+    return apply_recovery(models, out, MODEL), models
+
+
+def recover(panel: DataFrame, cutoff: int, seed: int = 42, with_model: bool = True, min_days: int = MIN_DAYS,
+            params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterModel | None]:
+    """One fold of ``recover_folds``."""
+    out, models = recover_folds(panel, [cutoff], seed, with_model, min_days, params)
+    return out.drop("cutoff_day"), None if models is None else models[0]
 
 
 def recovery_importance(model: BoosterModel) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.baselines import croston_sba, weekday_repeats
-from shelfcast.operators.booster import BoosterModel, BoosterParams, fit_booster
+from shelfcast.operators.booster import MODEL as MODEL_NO
+from shelfcast.operators.booster import BoosterModel, BoosterParams, BoosterSet, fit_booster, fit_boosters
 from shelfcast.operators.ets import ets
 from shelfcast.operators.features import feature_columns
 from shelfcast.operators.inventory import error_spread, forecast_intervals
-from shelfcast.plans.backtest import attach_actuals, ensemble, test_window, training_rows
+from shelfcast.plans.backtest import attach_actuals, ensemble, in_test_window, training_rows
 from shelfcast.schemas import CATEGORICALS, HORIZON, KEYS, SERIES
 from shelfcast.session import cut_lineage
 
@@ -33,23 +34,29 @@ def statistical_forecasts(gold: DataFrame, cutoffs: list[dt.date], horizon: int
             .unionByName(ets(gold, segments, cutoffs, horizon)))
 
 
+def _for_folds(rows: DataFrame, conditions: list) -> DataFrame:
+    """Each row once for every fold whose condition holds; MODEL_NO counts folds from 0."""
+    folds = F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(conditions)])
+    return rows.withColumn(MODEL_NO, F.explode(F.filter(folds, lambda k: k.isNotNull())))
+
+
+def fit_folds(gold: DataFrame, cutoffs: list[dt.date], params: BoosterParams = PARAMS) -> BoosterSet:
+    """The boosted models of all folds, grown together: one pass of the rows serves every fold."""
+    rows = _for_folds(training_rows(gold), [F.col("date") <= F.lit(c) for c in cutoffs])
+    return fit_boosters(rows, MODEL_NO, len(cutoffs), feature_columns(gold), "demand_target", KEYS, CATEGORICALS, params, encoded=SERIES)
+
+
 def global_forecasts(gold: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON,
-                     params: BoosterParams = PARAMS) -> tuple[DataFrame, list[BoosterModel]]:
+                     params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterSet]:
     """The boosted model per fold: fitted up to the cutoff, predicting the days after it."""
-    models, parts = [], []
-    for k, cut in enumerate(cutoffs, 1):
-        model = fit_global(gold, cut, params)
-        models.append(model)
-        parts.append(model.transform(test_window(gold, cut, horizon), "forecast")
-                     .select(*KEYS, F.lit(k).alias("fold"), F.lit(MODEL).alias("model"), "forecast"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, models
+    models = fit_folds(gold, cutoffs, params)
+    tests = _for_folds(gold, [in_test_window(c, horizon) for c in cutoffs])
+    out = models.transform(tests, MODEL_NO, "forecast")
+    return out.select(*KEYS, (F.col(MODEL_NO) + 1).alias("fold"), F.lit(MODEL).alias("model"), "forecast"), models
 
 
 def run_backtest(gold: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON, with_statistical: bool = True,
-                 params: BoosterParams = PARAMS) -> tuple[DataFrame, list[BoosterModel]]:
+                 params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterSet]:
     """All models over all folds with actuals; the ensemble mixes the booster and ETS 70:30."""
     fc, models = global_forecasts(gold, cutoffs, horizon, params)
     if with_statistical:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.functions import arrays as A
 from shelfcast.operators import hourly_forecast as HF
 from shelfcast.operators import recovery as R
-from shelfcast.operators.booster import BoosterParams
+from shelfcast.operators.booster import MODEL, BoosterParams
 from shelfcast.operators.hourly import MIN_DAYS, sale_groups
-from shelfcast.schemas import HOURLY_HORIZON, HOURLY_LAGS, TARGETS
+from shelfcast.schemas import HOURLY_HORIZON, HOURLY_LAGS, PANEL_KEY, TARGETS
 from shelfcast.session import cut_lineage
 
 
@@ -26,63 +27,49 @@ class HourlySettings:
     forecaster: BoosterParams = HF.PARAMS
 
 
-@dataclass
-class FoldResult:
-    scores: DataFrame
-    horizon: DataFrame
-    recovered: DataFrame
-    scales: DataFrame
-
-
-def run_fold(panel: DataFrame, cutoff: int, settings: HourlySettings = HourlySettings(),
-             scales: DataFrame | None = None) -> FoldResult:
-    """Recover demand, train one forecaster per target up to the cutoff, score the next week.
-
-    ``scales`` were learned on the week before; the result carries those learned on this one.
-    """
-    s = settings
-    recovered, _ = R.recover(panel, cutoff, with_model=s.with_model, min_days=s.min_days, params=s.recovery)
-    recovered = cut_lineage(sale_groups(recovered, cutoff))
-    truth = "rec_model" if s.with_model else "rec_profile"
-    base = recovered.withColumn("recovered_truth", F.col(truth))
-    parts = []
-    for target, label in TARGETS.items():
-        if target not in recovered.columns:
-            continue
-        # labels after the cutoff are never trained on
-        goal = F.when(F.col("day") > cutoff, F.col("observed")).otherwise(F.col(target))
-        frame = HF.build_frame(base, goal, list(s.lags), s.horizon)
-        pred, _ = HF.fit_predict(frame, cutoff, list(s.lags), s.horizon, s.forecaster, s.known_lag)
-        parts.append(pred.select(
-            F.lit(target).alias("target"), F.lit(label).alias("training_target"), "store_id", "product_id", "day",
-            "observed", "recovered_truth", "rec_profile", "hours_stock_status", "sale_group",
-            F.col(target).alias("own_truth"), "pred"))
-    predictions = parts[0]
-    for p in parts[1:]:
-        predictions = predictions.unionByName(p)
-    predictions = cut_lineage(predictions)
-    learned = HF.own_target_ratio(predictions, ["target"])
-    variants = predictions if scales is None else HF.with_calibration(predictions, scales)
-    scores = HF.score_views(variants, ["training_target"]).withColumn("cutoff_day", F.lit(cutoff))
-    return FoldResult(scores, HF.horizon_table(variants, cutoff), recovered, learned)
-
-
-def run_backtest(panel: DataFrame, last_day: int, settings: HourlySettings = HourlySettings()):
+def run_backtest(panel: DataFrame, last_day: int, settings: HourlySettings = HourlySettings(), recovered: DataFrame | None = None):
     """A warm-up week that only teaches the multipliers, then two scored folds.
 
-    Returns (scores, horizon, scales, recovered of the last fold).
+    All folds and targets are one table with one model each, fitted together; only multipliers go from one fold to the
+    next, and they are a table of one row per fold and target. ``recovered``: the rows of ``recover_folds`` for these folds,
+    if they are there already. Returns (scores, horizon, scales, recovered of the last fold).
     """
-    week = settings.horizon
-    scales = run_fold(panel, last_day - 2 * week, settings).scales
-    scores, horizons, used, last = [], [], [], None
-    for cutoff in (last_day - week, last_day):
-        fold = run_fold(panel, cutoff, settings, scales)
-        scores.append(fold.scores)
-        horizons.append(fold.horizon)
-        used.append(scales.withColumn("cutoff_day", F.lit(cutoff)))
-        scales, last = fold.scales, fold.recovered
-    return (scores[0].unionByName(scores[1]), horizons[0].unionByName(horizons[1]),
-            used[0].unionByName(used[1]), last)
+    s, week = settings, settings.horizon
+    cutoffs = fold_days(last_day, week)
+    if recovered is None:
+        recovered, _ = R.recover_folds(panel, cutoffs, with_model=s.with_model, min_days=s.min_days, params=s.recovery)
+    grouped = None
+    for c in cutoffs:
+        fold = sale_groups(recovered.where(F.col("cutoff_day") == c), c)
+        grouped = fold if grouped is None else grouped.unionByName(fold)
+    grouped = cut_lineage(grouped.withColumn("recovered_truth", F.col("rec_model" if s.with_model else "rec_profile")))
+    targets = [t for t in TARGETS if t in grouped.columns]
+    cutoff = F.col("cutoff_day")
+    # labels after the cutoff are never trained on
+    goals = {t: F.when(F.col("day") > cutoff, F.col("observed")).otherwise(F.col(t)) for t in targets}
+    frame = HF.build_frames(grouped, goals, list(s.lags), s.horizon, by=["cutoff_day"])
+
+    def of(values: dict) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+    number = of({c: k for k, c in enumerate(cutoffs)})[cutoff] * len(targets) + of({t: k for k, t in enumerate(targets)})[F.col("target")]
+    own = F.coalesce(*[F.when(F.col("target") == t, F.col(t)) for t in targets])
+    frame = cut_lineage(frame.withColumns({MODEL: number, "own_truth": own, "in_stock": A.is_clean("hours_stock_status")})
+                        .drop("hours_sale", "hours_stock_status"))
+    pred, _ = HF.fit_predict_many(frame, MODEL, len(cutoffs) * len(targets), cutoff, list(s.lags), s.horizon, s.forecaster, s.known_lag)
+    predictions = cut_lineage(pred.select(
+        "cutoff_day", "target", of(TARGETS)[F.col("target")].alias("training_target"), *PANEL_KEY, "day", "observed", "recovered_truth",
+        "rec_profile", "in_stock", "sale_group", "own_truth", "pred"))
+    learned = HF.own_target_ratio(predictions, ["cutoff_day", "target"])
+    scales = cut_lineage(learned.withColumn("cutoff_day", cutoff + week).where(cutoff <= cutoffs[-1]))
+    variants = HF.with_calibration(predictions.where(cutoff > cutoffs[0]), scales)
+    scores = HF.score_views(variants, ["training_target", "cutoff_day"], clean=F.col("in_stock"))
+    return (scores, HF.horizon_table(variants, cutoff), scales.select("target", "multiplier", "cutoff_day"), recovered.where(cutoff == cutoffs[-1]))
+
+
+def fold_days(last_day: int, week: int = HOURLY_HORIZON) -> list[int]:
+    """The cutoffs of the warm-up fold and the two scored ones."""
+    return [last_day - 2 * week, last_day - week, last_day]
 
 
 def headline(scores: DataFrame) -> DataFrame:
