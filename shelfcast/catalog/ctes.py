@@ -450,11 +450,20 @@ block("rtable", "recovered", """
 SELECT store_id, product_id, dt, day, first_category_id, third_category_id, empty AS oos_hours, first_oos_hour, observed,
        rec_profile
 FROM recovered WHERE day <= cutoff""")
-block("grouped", "recovered", """
-SELECT *, CASE WHEN series_mean >= (SELECT median(series_mean) FROM (
-              SELECT avg(observed) FILTER (day <= cutoff) OVER (PARTITION BY store_id, product_id) AS series_mean FROM recovered))
-          THEN 'high-sale' ELSE 'low-sale' END AS sale_group
-FROM (SELECT *, avg(observed) FILTER (day <= cutoff) OVER (PARTITION BY store_id, product_id) AS series_mean FROM recovered)""")
+block("series_means", "recovered", """
+SELECT store_id, product_id, CAST(sum(CAST(observed AS DECIMAL(28, 9))) FILTER (day <= cutoff) AS DOUBLE)
+       / nullif(count(*) FILTER (day <= cutoff), 0) AS series_mean
+FROM recovered GROUP BY ALL""")
+block("grouped", "recovered series_means", """
+SELECT r.*, series_mean, CASE WHEN series_mean >= middle THEN 'high-sale' ELSE 'low-sale' END AS sale_group
+FROM recovered r JOIN series_means USING (store_id, product_id)
+     CROSS JOIN (SELECT median(series_mean) AS middle FROM recovered JOIN series_means USING (store_id, product_id))""")
+block("store_sample", "hpanel", """
+SELECT k.store_id, k.product_id FROM (SELECT DISTINCT store_id, product_id FROM hpanel) k JOIN (
+  SELECT store_id, coalesce(sum(n) OVER (ORDER BY h, store_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT store_id, count(*) AS n, CAST('0x' || substr(md5(store_id || ':42'), 1, 15) AS BIGINT) AS h
+        FROM (SELECT DISTINCT store_id, product_id FROM hpanel) GROUP BY store_id)) s ON s.store_id = k.store_id
+WHERE before < 40""")
 _HW = "PARTITION BY store_id, product_id ORDER BY day"
 block("hframe", "grouped", f"""
 SELECT *, lag_7 AS pred, avg(lag_7) OVER ({_HW} ROWS 6 PRECEDING) AS rmean_7, avg(lag_7) OVER ({_HW} ROWS 13 PRECEDING) AS rmean_14,

@@ -101,13 +101,13 @@ def _(spark, d):
     return rounded(kept.select(*PANEL_KEY, "dt", A.total("hours_sale").alias("observed")))
 
 
-@register("panel_read_for_keys", query("hpanel", f"""
-SELECT {KEY}, round(observed, 6) AS observed FROM hpanel WHERE store_id % 5 = 2"""))
+@register("panel_read_for_keys", query("hpanel store_sample", f"""
+SELECT {KEY}, round(observed, 6) AS observed FROM hpanel JOIN store_sample USING (store_id, product_id)"""))
 def _(spark, d):
     path = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
     panel = X.hourly_panel(spark, d)
-    T.write_table(panel, path, sort_by=PANEL_KEY)
-    loaded = T.load_panel(spark, path, T.panel_keys(panel.where("store_id % 5 = 2")))
+    T.write_table(panel, path, range_by=["store_id"], sort_by=PANEL_KEY)
+    loaded = T.load_panel(spark, path, T.sample_stores(T.panel_keys(panel), 40))
     return rounded(loaded.select(*PANEL_KEY, "dt", A.total("hours_sale").alias("observed")))
 
 
@@ -133,12 +133,7 @@ def _(spark, d):
     return rounded(both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("sale_amount").alias("observed")), 4)
 
 
-@register("sampled_stores", query("hpanel", """
-SELECT k.store_id, k.product_id FROM (SELECT DISTINCT store_id, product_id FROM hpanel) k JOIN (
-  SELECT store_id, coalesce(sum(n) OVER (ORDER BY h, store_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT store_id, count(*) AS n, CAST('0x' || substr(md5(store_id || ':42'), 1, 15) AS BIGINT) AS h
-        FROM (SELECT DISTINCT store_id, product_id FROM hpanel) GROUP BY store_id)) s ON s.store_id = k.store_id
-WHERE before < 40"""))
+@register("sampled_stores", query("store_sample", "SELECT store_id, product_id FROM store_sample"))
 def _(spark, d):
     keys = T.panel_keys(X.hourly_panel(spark, d))
     return T.sample_stores(keys, 40)

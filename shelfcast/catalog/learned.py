@@ -31,21 +31,34 @@ DAILY = DP.PARAMS
 HOURLY = HB.HourlySettings(known_lag=7, min_days=hourly.MIN_DAYS)
 
 
+def daily_run(spark, d, part: str) -> DataFrame:
+    """Forecasts of all folds with ETS, Croston, the weekday rules and the mix, the last fold's importance, and the place of
+    the saved model of all history: one fit, its tables written on first use of any."""
+    made = {}
+
+    def build(name: str) -> DataFrame:
+        if not made:
+            gold, cuts = X.gold(spark, d), X.cutoffs(spark, d)
+            models = DP.fit_folds(gold, [*cuts, X.bounds(spark, d)[1]], DAILY)
+            champion = models[len(cuts)]
+            path = f"{shared_folder(spark)}/champion-{uuid.uuid4().hex}"
+            champion.save(path)
+            made.update(forecasts=DP.run_backtest(gold, cuts, params=DAILY, models=models)[0], importance=models[len(cuts) - 1].importance(),
+                        champion=spark.createDataFrame([(path, champion.features, list(champion.encodings))], "path string, features array<string>, encoded array<string>"))
+        return made[name]
+
+    tables = {n: written_once(spark, d, f"daily_{n}", lambda n=n: build(n)) for n in ("forecasts", "importance", "champion")}
+    return tables[part]
+
+
 def boosted_backtest(spark, d) -> DataFrame:
-    """All folds of the boosted backtest with ETS, Croston, the weekday rules and the mix."""
-    def build():
-        fc, _ = DP.run_backtest(X.gold(spark, d), X.cutoffs(spark, d), params=DAILY)
-        return fc
-    return written_once(spark, d, "boosted_backtest", build)
+    return daily_run(spark, d, "forecasts")
 
 
 def champion(spark, d) -> BoosterModel:
     """The model of all history, saved and loaded again as a scoring job would."""
-    gold = X.gold(spark, d)
-    path = f"{shared_folder(spark)}/champion-{uuid.uuid4().hex}"
-    model = DP.fit_global(gold, params=DAILY)
-    model.save(path)
-    return load_booster(spark, path, model.features, list(model.encodings))
+    at = daily_run(spark, d, "champion").first()
+    return load_booster(spark, at["path"], at["features"], at["encoded"])
 
 
 @register("ets_forecasts")
@@ -60,8 +73,7 @@ def _(spark, d):
 
 @register("boosted_feature_importance")
 def _(spark, d):
-    model = DP.fit_global(X.gold(spark, d), X.cutoffs(spark, d)[-1], DAILY)
-    return rounded(model.importance())
+    return rounded(daily_run(spark, d, "importance"))
 
 
 @register("next_28_days")

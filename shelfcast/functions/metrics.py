@@ -40,6 +40,15 @@ def point_metrics(actual: str = "actual", forecast: str = "forecast") -> list[Co
     ]
 
 
+def stable_mean(value: Column, digits: int = 9) -> Column:
+    """A mean that has the same bits in any order of rows: values are added as decimals of ``digits`` places.
+
+    For means that are compared with each other; values up to 1e19.
+    """
+    exact = F.sum(value.cast(f"decimal({19 + digits},{digits})")).cast("double")
+    return F.try_divide(exact, F.count(value).cast("double"))
+
+
 def hourly_metrics(actual: str, forecast: str) -> list[Column]:
     """The hourly half's set: WAPE, signed bias, their VN1 sum and the count."""
     wape, bias, n = volume_metrics(actual, forecast, 1e-12)

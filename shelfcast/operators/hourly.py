@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import arrays as A
+from shelfcast.functions.metrics import stable_mean
 from shelfcast.functions.quantiles import exact_median
 from shelfcast.schemas import OPEN_HOURS, PANEL_KEY, PROFILE_LEVELS
 from shelfcast.session import cut_lineage
@@ -172,8 +173,8 @@ def sale_groups(panel: DataFrame, cutoff: int) -> DataFrame:
     A series without history counts as low-sale.
     """
     past = F.when(F.col("day") <= cutoff, A.total("hours_sale"))
-    # written once: the median and the comparison must see the very same means
-    means = cut_lineage(panel.groupBy(*PANEL_KEY).agg(F.avg(past).alias("series_mean")))
+    # a mean may itself be the median, so it must have the same bits wherever it is computed
+    means = panel.groupBy(*PANEL_KEY).agg(stable_mean(past).alias("series_mean"))
     rows = panel.join(means, PANEL_KEY)
     middle = exact_median(rows.select("series_mean"), "series_mean", name="middle")
     return (rows.crossJoin(F.broadcast(middle))

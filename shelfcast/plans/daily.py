@@ -41,24 +41,27 @@ def _for_folds(rows: DataFrame, conditions: list) -> DataFrame:
 
 
 def fit_folds(gold: DataFrame, cutoffs: list[dt.date], params: BoosterParams = PARAMS) -> BoosterSet:
-    """The boosted models of all folds, grown together: one pass of the rows serves every fold."""
+    """The boosted models of all folds, grown together: one pass of the rows serves every fold.
+
+    A last cutoff at the end of history makes the model that scores the days ahead.
+    """
     rows = _for_folds(training_rows(gold), [F.col("date") <= F.lit(c) for c in cutoffs])
     return fit_boosters(rows, MODEL_NO, len(cutoffs), feature_columns(gold), "demand_target", KEYS, CATEGORICALS, params, encoded=SERIES)
 
 
 def global_forecasts(gold: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON,
-                     params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterSet]:
-    """The boosted model per fold: fitted up to the cutoff, predicting the days after it."""
-    models = fit_folds(gold, cutoffs, params)
+                     params: BoosterParams = PARAMS, models: BoosterSet | None = None) -> tuple[DataFrame, BoosterSet]:
+    """The boosted model per fold: fitted up to the cutoff (or given), predicting the days after it."""
+    models = models or fit_folds(gold, cutoffs, params)
     tests = _for_folds(gold, [in_test_window(c, horizon) for c in cutoffs])
     out = models.transform(tests, MODEL_NO, "forecast")
     return out.select(*KEYS, (F.col(MODEL_NO) + 1).alias("fold"), F.lit(MODEL).alias("model"), "forecast"), models
 
 
 def run_backtest(gold: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON, with_statistical: bool = True,
-                 params: BoosterParams = PARAMS) -> tuple[DataFrame, BoosterSet]:
+                 params: BoosterParams = PARAMS, models: BoosterSet | None = None) -> tuple[DataFrame, BoosterSet]:
     """All models over all folds with actuals; the ensemble mixes the booster and ETS 70:30."""
-    fc, models = global_forecasts(gold, cutoffs, horizon, params)
+    fc, models = global_forecasts(gold, cutoffs, horizon, params, models)
     if with_statistical:
         # the ensemble reads the forecasts a second time, and every branch is expensive to repeat
         fc = cut_lineage(fc.unionByName(statistical_forecasts(gold, cutoffs, horizon)))

@@ -23,14 +23,16 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
 
 def write_table(df: DataFrame, target: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None, sort_by: list[str] | None = None,
-                bucket_by: list[str] | None = None, buckets: int = 0) -> None:
-    """Write a table. ``sort_by`` orders rows inside each file only.
+                bucket_by: list[str] | None = None, buckets: int = 0, range_by: list[str] | None = None) -> None:
+    """Write a table. ``sort_by`` orders rows inside each file only; ``range_by`` gives each file its own range of keys.
 
     A catalog table bucketed by the series key serves every later series window, series aggregate
     and series join without another shuffle.
     """
     if bucket_by and _is_path(target):
         raise ValueError("bucketed tables live in the catalog, not at a path")
+    if range_by:
+        df = df.repartitionByRange(*range_by)
     if sort_by and not bucket_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode(mode)
@@ -103,8 +105,34 @@ def keep_keys(panel: DataFrame, keys: DataFrame | None) -> DataFrame:
     return panel if keys is None else panel.join(keys.select(*PANEL_KEY), PANEL_KEY, "left_semi")
 
 
+def key_ranges(keys: DataFrame, column: str = "store_id", most: int = 32) -> list[tuple]:
+    """At most ``most`` (lowest, highest) ranges that hold all keys of a numeric column, without the wide gaps between them."""
+    ends = keys.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+    if ends["a"] is None:
+        return []
+    width = (ends["b"] - ends["a"]) / most + 1e-9
+    part = F.least(F.floor((F.col(column) - F.lit(ends["a"])) / F.lit(width)), F.lit(most - 1))
+    found = keys.groupBy(part.alias("part")).agg(F.min(column).alias("a"), F.max(column).alias("b")).orderBy("a").collect()
+    return [(r["a"], r["b"]) for r in found]
+
+
+def in_ranges(column: str, ranges: list[tuple]) -> Column:
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | F.col(column).between(F.lit(a), F.lit(b))
+    return out
+
+
 def load_panel(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    return normalise_panel(keep_keys(spark.read.parquet(path), keys))
+    """The panel, or the rows of the wanted (store, product) pairs.
+
+    Ranges of the wanted stores reach the scan as a filter, so that files and row groups of a panel written in ranges of
+    stores (``write_table(range_by=["store_id"])``) are skipped; the exact pairs are joined afterwards.
+    """
+    panel = spark.read.parquet(path)
+    if keys is None:
+        return normalise_panel(panel)
+    return normalise_panel(keep_keys(panel.where(in_ranges("store_id", key_ranges(keys))), keys))
 
 
 def concat_splits(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -125,10 +153,10 @@ def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file of a small metric table."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV, one file per partition; a table of a few rows has one."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One JSON file of a small summary table."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines, one file per partition."""
+    df.write.mode("overwrite").json(path)
