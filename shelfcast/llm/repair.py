@@ -2,8 +2,8 @@
 
 Documents are put in doc_id order (range partitions, sorted), encoded, closed by the end id and cut into shards.
 Per shard, frequent pairs of neighbouring ids are replaced by nonterminals, again and again: each round
-counts all pairs, takes the most frequent ones in order of their counts where they don't overlap, and
-drops those that fewer than ``MIN_COUNT`` places are left for. No pair starts with the end id, so
+counts all pairs, takes the ``PER_ROUND`` most frequent ones in order of their counts (ties in order of a hash) where they
+don't overlap, and leaves those that fewer than ``MIN_COUNT`` places are left for to later rounds; it ends when no pair has as many. No pair starts with the end id, so
 documents begin at symbols. A file holds the rules, each one's expansion length, the symbols and a marker of the
 expanded position every ``STEP`` symbols; any stretch of ids is decoded from the nearest marker on.
 
@@ -33,7 +33,7 @@ from .vocab import with_end, word_bpe
 
 END = 2  # fixed by the contract
 MAGIC = b"RePair01"
-SHARD_IDS, ROUNDS, PER_ROUND, MIN_COUNT, STEP = 1 << 20, 8, 2048, 12, 1024
+SHARD_IDS, PER_ROUND, MIN_COUNT, STEP = 1 << 20, 2048, 12, 1024
 CELL_BITS = 20
 
 
@@ -51,25 +51,35 @@ def chosen(rank: np.ndarray) -> np.ndarray:
     return (key[1:-1] != none) & (key[1:-1] < key[:-2]) & (key[1:-1] < key[2:])
 
 
+def scattered(pair: np.ndarray) -> np.ndarray:
+    """A hash that puts pairs of one count in an order that has nothing to do with their places."""
+    h = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+
+
 def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules: symbol base + r stands for the pair rules[r]."""
+    """Symbols and rules: symbol base + r stands for the pair rules[r]. Ends when no pair has ``MIN_COUNT`` places apart."""
     symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) >= 2:
         # places whose pair can be frequent: as many share its cell of a table, whatever the pair
         cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
         often = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= MIN_COUNT)[cell] & (symbols[:-1] != end))
         code, seen = pd.factorize((symbols[often].astype(np.int64) << 32) | symbols[often + 1])
         counts = np.bincount(code, minlength=1)[:len(seen)]
-        top = np.argsort(-counts, kind="stable")[:PER_ROUND]
-        top = top[counts[top] >= MIN_COUNT]
+        top = np.flatnonzero(counts >= MIN_COUNT)
+        top = top[np.lexsort((scattered(seen[top]), -counts[top]))][:PER_ROUND]
         ranks = np.full(len(seen), -1, np.int32)
         ranks[top] = np.arange(len(top))
         rank = np.full(len(symbols) - 1, -1, np.int32)
         rank[often] = ranks[code]
         at = np.flatnonzero(chosen(rank))
         held = np.bincount(rank[at], minlength=len(top)) >= MIN_COUNT
+        for r in range(len(top)):
+            if held.any():
+                break
+            # pairs stood in each other's way: the first that has its places alone
+            at = np.flatnonzero(chosen(np.where(rank == r, rank, np.int32(-1))))
+            held[r] = len(at) >= MIN_COUNT
         if not held.any():
             break
         at = at[held[rank[at]]]

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from shelfcast.llm.repair import Shard, compress, expand, shard_file, shard_round_trip
+from shelfcast.llm.repair import MIN_COUNT, Shard, compress, expand, shard_file, shard_round_trip
 from shelfcast.llm.textgrid import byte_array
 from shelfcast.llm.vocab import byte_bpe, word_bpe
 from tokenizers import Tokenizer
@@ -45,6 +45,25 @@ def test_grammar_round_trip_and_random_access(seed):
         assert (shard.stretch(lo, hi) == ids[lo:hi]).all()
 
 
+def test_ends_when_no_pair_is_left():
+    rng = np.random.default_rng(5)
+    copies = np.tile(np.r_[rng.integers(3, 40_000, 2000), 2], 500).astype(np.uint32)
+    symbols, rules = compress(copies, 50_000)
+    assert len(symbols) + len(rules) < 3000 and (expand(symbols, rules, 50_000) == copies).all()
+    run = np.full(1 << 20, 7, np.uint32)
+    symbols, rules = compress(run, 50)
+    assert len(symbols) + len(rules) < 50 and (expand(symbols, rules, 50) == run).all()
+    for seed in range(6):
+        ids = np.random.default_rng(seed).integers(3, 6, 4000).astype(np.uint32)
+        symbols, rules = compress(ids, 50)
+        places = {}
+        for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            at = places.setdefault(pair, [])
+            if not at or at[-1] < i - 1:
+                at.append(i)
+        assert max(map(len, places.values())) < MIN_COUNT and (expand(symbols, rules, 50) == ids).all()
+
+
 def test_few_ids():
     for ids in ([], [2], [5, 5, 5]):
         assert expand(*compress(np.array(ids, np.uint32), 50), 50).tolist() == ids
