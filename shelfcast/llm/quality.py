@@ -1,7 +1,7 @@
 """Quality rules and isolation forests over their statistics.
 
 Every text's rule statistics are counted whole. A forest's random splits, drawn from at most
-``pool_rows`` documents (least hash of doc_id), give each document a mean path length; short paths mean
+``pool_rows`` documents (least hash of doc_id; equal rows count once), give each document a mean path length; short paths mean
 odd documents. One forest sees all ratios, one only those of signs and letters, which lengths of texts
 don't move; a document is as odd as the higher of its two scores. All labelled rows calibrate the threshold: it rejects as many rows of quality 0 as it
 can while at most ``spare`` of the rows of quality 1 go.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import least_placed, written
 from .textgrid import byte_array, kept, mixed, slice_hashes, sliced, space_table, window_hashes, within, word_bounds
 
 SYMBOLS = b"#*$%&|<>"  # fixed by the contract
@@ -155,8 +155,8 @@ def anomaly(rows: np.ndarray, forest: tuple[np.ndarray, np.ndarray, np.ndarray],
 def judged(docs: DataFrame, labels: DataFrame, with_: Forest = Forest()) -> DataFrame:
     """doc_id, the counts, ``base_failed``, ``anomaly`` (null if there is no row to learn from), ``kept``."""
     stats = written(document_statistics(docs), "rule-statistics")
-    pool = np.array([[*r] for r in stats.where("n_words > 0").withColumn("place", F.xxhash64("doc_id", F.lit(with_.seed)))
-                     .orderBy("place", "doc_id", *RATIOS).select(*RATIOS).limit(with_.pool_rows).collect()])
+    placed = stats.where("n_words > 0").select("doc_id", *RATIOS).distinct().withColumn("place", F.xxhash64("doc_id", F.lit(with_.seed)))
+    pool = np.array([[*r] for r in least_placed(placed, "place", with_.pool_rows, ["doc_id", *RATIOS]).select(*RATIOS).collect()])
     names = ["doc_id", *COUNTS]
     if len(pool) < 2:
         scores = stats.select(*names, F.lit(None).cast("double").alias("anomaly"))

@@ -4,8 +4,9 @@ A document's features are its distinct words, pairs of neighbours and pairs with
 lower-case (A-Z), hashed to 2**20 coordinates; punctuation and white space separate words. Per-coordinate
 rates and L1 sparsity leave a few thousand weights, which every task gets.
 
-The model learns from at most ``max_rows`` labelled documents (those with the least hash of doc_id), in
-hash order; a document labelled more than once is toxic if any label says so. Null labels are left out;
+The model learns from at most ``max_rows`` different (doc_id, text) pairs with a label, those of least hash, and of at most
+``max_bytes`` of text, in hash order (texts of over an eighth of that are passed over). Repeated rows count once, however many there are. A document labelled more than once
+is toxic if any label says so. Null labels are left out;
 with no labelled row every score is 0. Null and empty texts get the score of the bias alone.
 """
 
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import mapped, text_crc, unpacked
+from .tables import least_placed, mapped, text_crc, unpacked, written
 from .textgrid import byte_array, kept, letter_table, lower_ascii, mixed, slice_hashes, sliced, word_bounds
 
 BITS = 20
@@ -36,6 +37,7 @@ class Ftrl:
     l2: float = 0.0
     epochs: int = 4
     max_rows: int = 24_000
+    max_bytes: int = 192 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +81,16 @@ def train(docs: DataFrame, labels: DataFrame, with_: Ftrl = Ftrl(), label: str =
     """The weights, from documents with a label (of those rows of ``labels`` where ``keep`` holds)."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     marked = (marked if keep is None else marked.where(keep)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    marked = (marked.withColumn("place", F.xxhash64("doc_id", F.lit(9))).orderBy("place", "doc_id").limit(with_.max_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("place", "y", "text")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    pairs = docs.select("doc_id", text_hash.alias("text_hash"), size.alias("size")).where(F.col("size") <= with_.max_bytes // 8).distinct()
+    pairs = written(pairs.join(marked, "doc_id").withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(9))), "labelled-texts")
+    # at most max_rows rows, so one task may order them and all tasks get them
+    upto = F.sum("size").over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = least_placed(pairs, "place", with_.max_rows, ["doc_id"]).withColumn("upto", upto).where(F.col("upto") <= with_.max_bytes)
+    chosen = written(chosen.select("doc_id", "text_hash", "place", "y"), "toxicity-sample")
+    texts = docs.select("doc_id", "text", text_hash.alias("text_hash"))
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "text_hash"]).select("place", "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -95,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, with_: Ftrl = Ftrl(), label: str =
         left, w, bias = fit_sparse(rows, table["y"].to_numpy(), with_)
         return pa.table({"left": [left.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]})
 
-    rows = sample.mapInArrow(extract, "place long, y int, at binary").withColumn("one", F.lit(1))
+    # repeated rows give equal ones, of which a task sends one
+    rows = sample.mapInArrow(extract, "place long, y int, at binary").groupBy("place", "y").agg(F.min("at").alias("at")).withColumn("one", F.lit(1))
     model = rows.groupBy("one").applyInArrow(fit, "left binary, w binary, bias double").first()
     return model and (np.frombuffer(model["left"], np.int32), np.frombuffer(model["w"], np.float64), model["bias"])
 

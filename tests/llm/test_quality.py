@@ -1,9 +1,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from shelfcast.llm.quality import COUNTS, quality_digest
+from shelfcast.llm.quality import COUNTS, Forest, anomaly, grow, path_mean, quality_digest
+from shelfcast.llm.tables import least_placed
 
 from . import hard_cases as H
 
@@ -74,3 +76,39 @@ def test_forest_rejects_texts_odd_by_one_statistic(spark):
     assert len(own) == 24
     assert [own.kept.loc[10**9 + i:10**9 + i + 7].mean() for i in (0, 8, 16)] == [0, 0, 0]
     assert got[got.quality == 1].kept.mean() >= 0.99
+
+
+def test_anomaly_equals_a_plain_isolation_forest():
+    """The same trees walked row by row, and scores from path lengths as defined."""
+    rng = np.random.default_rng(7)
+    pool = rng.normal(size=(500, 3))
+    with_ = Forest(trees=16, rows=64)
+    column, value, length = forest = grow(pool, with_)
+    rows = np.concatenate([rng.normal(size=(60, 3)), [[9.0, 9.0, 9.0]]])
+
+    def harmonic(n):
+        return sum(1 / k for k in range(1, n))
+
+    def plain(row):
+        total = 0.0
+        for t in range(with_.trees):
+            node, depth = 0, 0
+            while column[t, node] >= 0:
+                node, depth = 2 * node + 1 + (row[column[t, node]] > value[t, node]), depth + 1
+            assert length[t, node] >= depth
+            total += length[t, node]
+        return 2 ** -(total / with_.trees / (2 * harmonic(64) - 2 * 63 / 64))
+
+    got = anomaly(rows, forest, 64)
+    assert np.allclose(got, [plain(r) for r in rows], atol=0.01) and got.argmax() == len(rows) - 1
+    # each split lies within the rows that reach it, and leaves carry the expected rest of the path
+    leaves = length[column < 0]
+    assert (leaves[leaves > 0] <= np.ceil(np.log2(64)) + path_mean(64)).all()
+
+
+def test_pool_is_the_least_hashes_without_repeats(spark):
+    frame = spark.createDataFrame([(i % 900, float(i % 900)) for i in range(4000)], "doc_id long, x double")
+    placed = frame.distinct().withColumn("place", F.xxhash64("doc_id"))
+    want = [r["doc_id"] for r in placed.orderBy("place", "doc_id").limit(20).collect()]
+    assert [r["doc_id"] for r in least_placed(placed, "place", 20, ["doc_id"]).collect()] == want
+    assert least_placed(placed, "place", 5000, ["doc_id"]).count() == 900

@@ -3,13 +3,13 @@ import zlib
 
 import numpy as np
 import pytest
-from shelfcast.llm.toxicity import Ftrl, drop_toxic, features, fit_sparse, toxicity_digest
+from shelfcast.llm.toxicity import Ftrl, drop_toxic, features, fit_sparse, toxicity_digest, train
 from shelfcast.llm.textgrid import byte_array
 
 from . import hard_cases as H
 import pyarrow as pa
 
-SF = "/root/testdata/check_s"
+TABLES = "/root/testdata"
 
 
 def test_features_stay_inside_a_text():
@@ -73,10 +73,32 @@ def test_stage_drops_toxic_rows_only(spark):
     assert {r["doc_id"] for r in out.collect()} == {i for i in range(300) if i % 3}
 
 
-@pytest.mark.skipif(not os.path.exists(SF), reason="test tables")
-def test_held_out_accuracy(spark):
-    got = toxicity_digest(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    rows = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
+def test_a_labelled_id_that_repeats_without_end(spark):
+    docs, labels = toxic_table(spark)
+    many = docs.where("doc_id = 3").crossJoin(spark.range(10_000).select()).select(docs.columns)
+    model = train(docs, labels)
+    again = train(docs.unionByName(many), labels)
+    assert (model[0] == again[0]).all() and (model[1] == again[1]).all() and model[2] == again[2]
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs, labels = toxic_table(spark)
+    seen = []
+    for with_ in (Ftrl(max_rows=40), Ftrl(max_bytes=1000)):
+        model = train(docs, labels, with_)
+        seen.append(model)
+    assert all(m is not None for m in seen)
+    assert train(docs, labels, Ftrl(max_bytes=8)) is None  # every text is over an eighth of it
+
+
+@pytest.mark.parametrize("size, recall", [("sf0.1", 0.7), ("check_s", 0.95)])  # 3,200 and 16,500 labels to learn from
+def test_held_out_accuracy(spark, size, recall):
+    folder = f"{TABLES}/{size}"
+    if not os.path.exists(folder):
+        pytest.skip("test tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity_digest(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    rows = got.where("held_out").join(labels, "doc_id").toPandas()
     hit = (rows.predicted == 1) & (rows.toxic == 1)
-    assert hit.sum() >= 0.95 * (rows.toxic == 1).sum()
+    assert hit.sum() >= recall * (rows.toxic == 1).sum() > 0
     assert hit.sum() >= 0.99 * (rows.predicted == 1).sum()
