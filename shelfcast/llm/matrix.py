@@ -27,8 +27,8 @@ from .files import opened
 from .tables import new_folder, written
 from .textgrid import byte_array, slice_hashes
 
-SHARD_BYTES, SHARD_ROWS = 16 << 20, 1 << 16
-BUCKET_WORDS, LEAST_BUCKETS = 1 << 20, 16
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 1 << 16
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 19, 16
 
 
 def squeezed(x: np.ndarray) -> bytes:
