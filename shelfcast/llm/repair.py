@@ -37,18 +37,20 @@ SHARD_IDS, PER_ROUND, MIN_COUNT, STEP = 1 << 20, 2048, 12, 1024
 CELL_BITS = 20
 
 
-def chosen(rank: np.ndarray) -> np.ndarray:
-    """Places whose pair goes before both overlapping ones; in a run of equal ids every other place."""
-    n, none = len(rank), np.iinfo(np.int32).max
-    key = np.full(n + 2, none, np.int32)
-    key[1:-1] = rank * 2
-    key[1:-1][rank < 0] = none
-    same = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] >= 0)) + 1
-    if len(same):
-        start = np.append(True, np.diff(same) > 1)
-        begin = same[start][np.cumsum(start) - 1] - 1  # where each run begins
-        key[same + 1] += ((same - begin) & 1).astype(np.int32)
-    return (key[1:-1] != none) & (key[1:-1] < key[:-2]) & (key[1:-1] < key[2:])
+def every_other(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a place is the second, fourth, ... in a run of neighbouring places of one kind, which overlap."""
+    index = np.arange(len(at))
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1])
+    return ((index - np.maximum.accumulate(np.where(first, index, 0))) & 1).astype(bool)
+
+
+def chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places (ascending) whose pair goes before both overlapping ones; in a run of equal ids every other place."""
+    key = rank * 2 + every_other(at, rank)
+    before = np.append(True, (at[1:] != at[:-1] + 1) | (key[1:] < key[:-1]))
+    after = np.append((at[1:] != at[:-1] + 1) | (key[:-1] < key[1:]), True)
+    return (before & after)[:len(at)]
 
 
 def scattered(pair: np.ndarray) -> np.ndarray:
@@ -57,40 +59,52 @@ def scattered(pair: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
 
 
+def often(symbols: np.ndarray) -> np.ndarray:
+    """Places whose pair can be frequent: as many share its cell of a table, whatever the pair."""
+    if len(symbols) < 2:
+        return np.zeros(0, np.int64)
+    cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
+    return np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= MIN_COUNT)[cell])
+
+
 def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules: symbol base + r stands for the pair rules[r]. Ends when no pair has ``MIN_COUNT`` places apart."""
+    """Symbols and rules: symbol base + r stands for the pair rules[r]. Ends when no pair has ``MIN_COUNT`` places apart.
+
+    After a round with few places only those beside a new symbol and those of pairs that were frequent before can matter.
+    """
     symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    while len(symbols) >= 2:
-        # places whose pair can be frequent: as many share its cell of a table, whatever the pair
-        cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
-        often = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= MIN_COUNT)[cell] & (symbols[:-1] != end))
-        code, seen = pd.factorize((symbols[often].astype(np.int64) << 32) | symbols[often + 1])
-        counts = np.bincount(code, minlength=1)[:len(seen)]
+    at = often(symbols)
+    while True:
+        at = at[symbols[at] != end]
+        code, seen = pd.factorize((symbols[at].astype(np.int64) << 32) | symbols[at + 1])
+        counts = np.bincount(code[~every_other(at, code)], minlength=len(seen))
         top = np.flatnonzero(counts >= MIN_COUNT)
+        if not len(top):
+            return symbols.astype(np.int64), rules
+        frequent = counts[code] >= MIN_COUNT
+        at, code = at[frequent], code[frequent]
         top = top[np.lexsort((scattered(seen[top]), -counts[top]))][:PER_ROUND]
-        ranks = np.full(len(seen), -1, np.int32)
+        ranks = np.full(len(seen), -1, np.int64)
         ranks[top] = np.arange(len(top))
-        rank = np.full(len(symbols) - 1, -1, np.int32)
-        rank[often] = ranks[code]
-        at = np.flatnonzero(chosen(rank))
-        held = np.bincount(rank[at], minlength=len(top)) >= MIN_COUNT
-        for r in range(len(top)):
-            if held.any():
-                break
-            # pairs stood in each other's way: the first that has its places alone
-            at = np.flatnonzero(chosen(np.where(rank == r, rank, np.int32(-1))))
-            held[r] = len(at) >= MIN_COUNT
-        if not held.any():
-            break
-        at = at[held[rank[at]]]
-        number = np.cumsum(held) - 1 + base + len(rules)
-        symbols[at] = number[rank[at]]
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols = symbols[stay]
+        rank = ranks[code]
+        go, rank = at[rank >= 0], rank[rank >= 0]
+        free = chosen(go, rank)
+        go, rank = go[free], rank[free]
+        held = np.bincount(rank, minlength=len(top)) >= MIN_COUNT  # the first pair always is
+        go, rank = go[held[rank]], rank[held[rank]]
+        symbols[go] = (np.cumsum(held) - 1 + base + len(rules))[rank]
+        gone = go + 1
+        symbols = np.delete(symbols, gone)
         new = seen[top[held]]
         rules = np.concatenate([rules, np.column_stack([new >> 32, new & 0xFFFFFFFF])])
-    return symbols.astype(np.int64), rules
+        if 32 * len(go) > len(symbols):  # both ways find every place of a pair that is frequent now
+            at = often(symbols)
+            continue
+        left = np.searchsorted(gone, at, "right")
+        still = at - left
+        here = go - np.arange(len(go))
+        at = np.unique(np.concatenate([still[(left == 0) | (gone[left - 1] != at)], here, here - 1]))
+        at = at[(at >= 0) & (at < len(symbols) - 1)]
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
