@@ -39,10 +39,12 @@ CELL_BITS = 20
 
 def every_other(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Whether a place is the second, fourth, ... in a run of neighbouring places of one kind, which overlap."""
-    index = np.arange(len(at))
-    first = np.ones(len(at), bool)
-    first[1:] = (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1])
-    return ((index - np.maximum.accumulate(np.where(first, index, 0))) & 1).astype(bool)
+    out = np.zeros(len(at), bool)
+    same = np.flatnonzero((kind[1:] == kind[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+    if len(same):
+        first = np.append(True, np.diff(same) > 1)
+        out[same] = (same - same[first][np.cumsum(first) - 1]) & 1 == 0
+    return out
 
 
 def chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -116,17 +118,22 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for: level by level, all at once."""
-    while len(symbols) and symbols.max() >= base:
-        size = 1 + (symbols >= base)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = symbols
-        big = symbols >= base
-        pair = rules[symbols[big] - base]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols.astype(np.uint32)
+    """The ids that symbols stand for: the rules used are spelled out level by level, then every symbol copies its stretch."""
+    used = np.unique(symbols)
+    table = used
+    owner = np.arange(len(used))
+    while len(table) and table.max() >= base:
+        big = table >= base
+        at = np.cumsum(1 + big) - 1 - big
+        pair = rules[table[big] - base]
+        spelled = np.repeat(table, 1 + big)
+        spelled[at[big]], spelled[at[big] + 1] = pair[:, 0], pair[:, 1]
+        table, owner = spelled, np.repeat(owner, 1 + big)
+    size = np.bincount(owner, minlength=len(used))
+    place = np.searchsorted(used, symbols)
+    n = size[place]
+    start = (np.cumsum(size) - size)[place] - (np.cumsum(n) - n)
+    return table.astype(np.uint32)[np.repeat(start, n) + np.arange(int(n.sum()))]
 
 
 def shard_file(ids: np.ndarray, bounds: np.ndarray, doc_ids: pa.Array, base: int) -> list[bytes]:
