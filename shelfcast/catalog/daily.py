@@ -63,7 +63,7 @@ def promo_plan(spark, d) -> DataFrame:
 
 def policy_costs(spark, d) -> DataFrame:
     def build():
-        replayed = I.replay_policies(levels(spark, d))
+        replayed = I.replay_plans(plans(spark, d))
         return I.policy_costs(replayed, I.median_cost_price(I.replay_inputs(forecasts(spark, d), RULE)))
     return written_once(spark, d, "policy_costs", build)
 
@@ -483,6 +483,12 @@ def _(spark, d):
     return rounded(daily.select(*KEYS, I.forward_sum("forecast", 10).alias("ahead")))
 
 
+def plans(spark, d) -> DataFrame:
+    fc = forecasts(spark, d)
+    return I.policy_plans(I.replay_inputs(fc, RULE), I.recent_average(X.silver(spark, d), first_replay_day(spark, d)),
+                          I.error_spread(BT.scored(fc), RULE, 1))
+
+
 def levels(spark, d) -> DataFrame:
     fc = forecasts(spark, d)
     return I.policy_levels(I.replay_inputs(fc, RULE), I.recent_average(X.silver(spark, d), first_replay_day(spark, d)),
@@ -498,7 +504,7 @@ def _(spark, d):
 @register("policy_replay", query("replay", f"""
 SELECT {cols('store_id, sku_id, policy, date', 'target_service, demand, on_hand, sold')}, round(demand - sold, 6) + 0.0 AS lost FROM replay"""))
 def _(spark, d):
-    return rounded(I.replay_policies(levels(spark, d)))
+    return rounded(I.replay_plans(plans(spark, d)))
 
 
 COST_COLS = "fill_rate, avg_inventory_units, stockout_days_pct"

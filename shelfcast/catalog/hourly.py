@@ -231,8 +231,8 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT CAST(count(*) AS DOUBLE) AS a, avg(CAST(empty > 0 AS DOUBLE)) AS b, 1 - avg(empty) / 16 AS c,
          avg(empty) FILTER (empty > 0) AS d, avg(observed) FILTER (empty > 0) AS e, avg(observed) FILTER (empty = 0) AS f
   FROM hpanel, cut WHERE day <= cutoff), LATERAL (VALUES ('store-product-days (train)', a),
-  ('days with any stock-out in 06:00-21:59', b), ('availability (in-stock share of operating hours)', c),
-  ('avg stock-out hours on stock-out days', d), ('avg daily sales, stock-out days', e), ('avg daily sales, in-stock days', f)) v(metric, value)"""))
+  ('days_with_gap_share', b), ('open_hours_in_stock', c),
+  ('gap_hours_per_gap_day', d), ('sold_per_gap_day', e), ('sold_per_full_day', f)) v(metric, value)"""))
 def _(spark, d):
     return rounded(HR.stockout_summary(prepared(spark, d), cutoff(spark, d)))
 
@@ -275,8 +275,8 @@ def _(spark, d):
 SELECT metric, round(value, 4) AS value FROM (
   SELECT CAST(count(*) FILTER (oos_hours > 0) AS DOUBLE) AS a, sum(observed) FILTER (oos_hours > 0) AS b,
          sum(rec_profile) FILTER (oos_hours > 0) AS c, (sum(rec_profile) - sum(observed)) / sum(rec_profile) * 100 AS d FROM rtable),
-  LATERAL (VALUES ('stock-out days', a), ('observed sales on stock-out days', b), ('recovered (profile)', c),
-                  ('estimated lost demand, % of total demand', d)) v(metric, value)"""))
+  LATERAL (VALUES ('gap_days', a), ('sold_on_gap_days', b), ('demand_by_profile', c),
+                  ('lost_pct_of_demand', d)) v(metric, value)"""))
 def _(spark, d):
     return rounded(HR.recovery_summary(loss_table(spark, d), COL), 4)
 
@@ -320,11 +320,11 @@ SELECT kpi, round(value, 4) AS value FROM (
   (SELECT sum(l) FILTER (rn <= greatest(1, n // 5)) / sum(l) AS top FROM (
      SELECT l, row_number() OVER (ORDER BY l DESC) AS rn, count(*) OVER () AS n
      FROM (SELECT sum(rec_profile - observed) AS l FROM rtable GROUP BY store_id))),
-  LATERAL (VALUES ('Estimated demand lost to stock-outs (% of total)', lost / demand * 100),
-    ('Store-product-days with a stock-out (%)', short * 100), ('Availability in operating hours 06:00-21:59 (%)', (1 - hours / 16) * 100),
-    ('Lost demand concentrated in top 20% of stores (%)', top * 100), ('Lost demand as % of current recorded sales', lost / sold * 100),
-    ('Sales uplift if 25% of lost demand is captured (%) [scenario]', 0.25 * lost / sold * 100),
-    ('Lost demand from shelves empty before 16:00 (%)', early / lost * 100)) v(kpi, value)"""))
+  LATERAL (VALUES ('lost_pct_of_demand', lost / demand * 100),
+    ('gap_days_pct', short * 100), ('open_hours_in_stock_pct', (1 - hours / 16) * 100),
+    ('lost_pct_in_top_fifth_of_stores', top * 100), ('lost_pct_of_sales', lost / sold * 100),
+    ('uplift_pct_at_quarter_capture', 0.25 * lost / sold * 100),
+    ('lost_pct_from_gaps_before_16', early / lost * 100)) v(kpi, value)"""))
 def _(spark, d):
     return rounded(HR.business_kpis(loss_table(spark, d), COL), 4)
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.functions.series import by_series, padded, whole_series
 from shelfcast.schemas import SERIES, SERVICE_LEVELS, PolicyParams
 
 POLICY = ["policy", "target_service"]
@@ -50,64 +55,108 @@ def median_cost_price(rows: DataFrame) -> DataFrame:
         F.percentile("selling_price", F.lit(0.5)).alias("price"))
 
 
-def policy_levels(daily: DataFrame, averages: DataFrame, spread: DataFrame, params: PolicyParams = PolicyParams(),
-                  services=SERVICE_LEVELS) -> DataFrame:
-    """Order-up-to level of every policy for each series and day.
+def policy_plans(daily: DataFrame, averages: DataFrame, spread: DataFrame, params: PolicyParams = PolicyParams(),
+                 services=SERVICE_LEVELS) -> DataFrame:
+    """Each series and day once, with every policy's order-up-to level in ``plans``.
 
     ``daily``: store_id, sku_id, date, demand, forecast. Static cover of the recent average against
     forecast demand over the cover window plus safety stock at each service level.
     """
-    choices = F.array(
-        F.struct(F.lit("current_state").alias("policy"), F.lit(None).cast("double").alias("target_service"),
-                 F.lit(None).cast("double").alias("z")),
-        *[F.struct(F.lit("forecast_driven").alias("policy"), F.lit(float(s)).alias("target_service"),
-                   F.lit(z_score(s)).alias("z")) for s in services])
     base = (daily.withColumn("ahead", forward_sum("forecast", params.window))
             .join(averages, SERIES, "left").join(spread, SERIES, "left")
             .withColumn("hist_avg", F.coalesce("hist_avg", F.lit(0.0)))
             .withColumn("sigma", F.coalesce("sigma", F.lit(0.0))))
-    safety = F.col("p.z") * F.col("sigma") * F.lit(math.sqrt(params.window))
-    return (base.withColumn("p", F.explode(choices))
-            .select(*SERIES, "date", "demand", F.col("p.policy").alias("policy"),
-                    F.col("p.target_service").alias("target_service"),
-                    F.when(F.col("p.z").isNull(), F.col("hist_avg") * params.cover_days_current)
-                    .otherwise(F.col("ahead") + safety).alias("order_up_to"),
-                    (F.col("hist_avg") * params.window).alias("start_stock")))
+
+    def plan(name: str, service: float | None, level: Column) -> Column:
+        return F.struct(F.lit(name).alias("policy"), F.lit(service).cast("double").alias("target_service"), level.alias("order_up_to"))
+
+    root = F.lit(math.sqrt(params.window))
+    plans = [plan("current_state", None, F.col("hist_avg") * params.cover_days_current),
+             *[plan("forecast_driven", float(s), F.col("ahead") + F.lit(z_score(s)) * F.col("sigma") * root) for s in services]]
+    return base.select(*SERIES, "date", "demand", F.array(*plans).alias("plans"), (F.col("hist_avg") * params.window).alias("start_stock"))
+
+
+def policy_levels(daily: DataFrame, averages: DataFrame, spread: DataFrame, params: PolicyParams = PolicyParams(),
+                  services=SERVICE_LEVELS) -> DataFrame:
+    """Order-up-to level of every policy for each series and day, a row each."""
+    return policy_plans(daily, averages, spread, params, services).select(*SERIES, "date", "demand", F.inline("plans"), "start_stock")
 
 
 def replay_policies(levels: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
-    """Day-by-day stock of every series under every policy, with lost sales.
+    """Day-by-day stock of every series under every policy, from a row per policy; see ``replay_plans``."""
+    plan = F.array(F.struct("policy", "target_service", F.col("order_up_to").cast("double").alias("order_up_to")))
+    return _replayed(levels.select(*SERIES, *[F.col(c).alias(f"own_{c}") for c in POLICY], "date", "demand", plan.alias("plans"), "start_stock"),
+                     [*SERIES, *[f"own_{c}" for c in POLICY]], params)
+
+
+def replay_plans(plans: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Day-by-day stock of every series under every policy of its plans, with lost sales.
 
     Each day: receive what was ordered L days ago, on review days order up to the level minus all
-    stock on hand and on order, then sell what is there. Days run in order within a series and
-    policy, so that pair is the unit of parallel work. It holds one item per day, and its state is
-    the stock and the L open deliveries, folded over the days inside the JVM.
+    stock on hand and on order, then sell what is there. Days run in order within a series; many series and all
+    policies run side by side in one matrix, days are sent once whatever the number of policies, and time is linear in days. All days of a
+    series have the same policies.
     """
+    return _replayed(plans, SERIES, params)
+
+
+def _replayed(plans: DataFrame, keys: list[str], params: PolicyParams) -> DataFrame:
     review, lead = params.review_period, params.lead_time
     if lead < 1:
         raise ValueError("lead_time must be at least 1 day")
-
-    def day(s: Column, x: Column) -> Column:
-        stock = s["stock"] + F.get(s["due"], F.lit(0))
-        open_orders = F.slice(s["due"], 2, lead - 1)
-        position = stock + F.aggregate(open_orders, F.lit(0.0), lambda a, q: a + q)
-        order = F.when(s["t"] % review == 0,
-                       F.greatest(F.lit(0.0), F.ceil(x["order_up_to"] - position).cast("double"))).otherwise(0.0)
-        sold = F.least(stock, x["demand"])
-        done = F.struct(x["date"].alias("date"), x["demand"].alias("demand"), (stock - sold).alias("on_hand"),
-                        sold.alias("sold"))
-        return F.struct((stock - sold).alias("stock"), F.concat(open_orders, F.array(order)).alias("due"),
-                        (s["t"] + 1).alias("t"), F.concat(s["days"], F.array(done)).alias("days"))
-
-    empty = F.array().cast("array<struct<date:date,demand:double,on_hand:double,sold:double>>")
-    begin = F.struct(F.col("start_stock").cast("double").alias("stock"), F.array_repeat(F.lit(0.0), lead).alias("due"),
-                     F.lit(0).alias("t"), empty.alias("days"))
-    series = levels.groupBy(*SERIES, *POLICY).agg(
-        F.array_sort(F.collect_list(F.struct("date", "demand", "order_up_to"))).alias("plan"),
-        F.first("start_stock").alias("start_stock"))
-    return (series.select(*SERIES, *POLICY, F.explode(F.aggregate("plan", begin, day)["days"]).alias("d"))
-            .select(*SERIES, *POLICY, "d.date", "d.demand", "d.on_hand", "d.sold",
-                    (F.col("d.demand") - F.col("d.sold")).alias("lost")))
+    rows = by_series(plans.select(*keys, "date", F.col("demand").cast("double").alias("demand"), "plans", F.col("start_stock").cast("double").alias("start_stock")), keys, "date")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [*SERIES, "date"]}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_series(batches, keys):
+            lists = table["plans"].combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            first = np.repeat(sizes[starts[:-1]], np.diff(starts))
+            if (sizes != first).any():
+                raise ValueError("all days of a series need the same policies")
+            flat, begin = lists.flatten(), np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():  # series with as many policies side by side
+                rows_here = np.flatnonzero(sizes == n)
+                if n:
+                    place = begin[rows_here][:, None] + np.arange(n)
+                    yield _replay_block(table.take(pa.array(rows_here)), flat.take(pa.array(place.ravel())), n, _restarted(starts, sizes == n), review, lead)
+
+    return rows.mapInArrow(work, ", ".join(f"{c} {t}" for c, t in kinds.items() if c != "date")
+                           + f", policy string, target_service double, date {kinds['date']}, demand double, on_hand double, sold double, lost double")
+
+
+def _restarted(starts: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Where series begin once only the flagged rows, which are whole series, are left."""
+    sizes = np.diff(starts)[here[starts[:-1]]]
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _replay_block(table: pa.Table, plans: pa.Array, n: int, starts: np.ndarray, review: int, lead: int) -> pa.RecordBatch:
+    """All days of these series under their n policies."""
+    demand = padded(np.nan_to_num(table["demand"].to_numpy()), starts)
+    target = padded(np.nan_to_num(pc.struct_field(plans, "order_up_to").to_numpy(zero_copy_only=False)).reshape(-1, n), starts)
+    stock = np.repeat(np.nan_to_num(table["start_stock"].to_numpy())[starts[:-1]][:, None], n, 1)
+    due = [np.zeros_like(stock) for _ in range(lead)]
+    on_hand, sold = np.empty_like(target), np.empty_like(target)
+    for t in range(target.shape[1]):
+        stock = stock + due.pop(0)
+        order = np.zeros_like(stock)
+        if t % review == 0:
+            order = np.maximum(0.0, np.ceil(target[:, t] - (stock + sum(due, np.zeros_like(stock)))))
+        sold[:, t] = np.minimum(stock, demand[:, t, None])
+        stock = stock - sold[:, t]
+        on_hand[:, t] = stock
+        due.append(order)
+    sizes = np.diff(starts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    day = np.arange(len(row)) - starts[row]
+    wide = pa.array(np.repeat(np.arange(len(row)), n))
+    wanted = np.repeat(np.nan_to_num(table["demand"].to_numpy()), n)
+    gone = sold[row, day].ravel()
+    out = {c: table[c].combine_chunks().take(wide) for c in SERIES}
+    out |= {"policy": pc.struct_field(plans, "policy"), "target_service": pc.struct_field(plans, "target_service"), "date": table["date"].combine_chunks().take(wide),
+            "demand": pa.array(wanted), "on_hand": pa.array(on_hand[row, day].ravel()), "sold": pa.array(gone), "lost": pa.array(wanted - gone)}
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def policy_costs(replay: DataFrame, cost_price: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
@@ -133,8 +182,8 @@ def policy_costs(replay: DataFrame, cost_price: DataFrame, params: PolicyParams
 
 def run_policies(daily: DataFrame, averages: DataFrame, spread: DataFrame, cost_price: DataFrame,
                  params: PolicyParams = PolicyParams(), services=SERVICE_LEVELS) -> DataFrame:
-    levels = policy_levels(daily, averages, spread, params, services)
-    return policy_costs(replay_policies(levels, params), cost_price, params)
+    plans = policy_plans(daily, averages, spread, params, services)
+    return policy_costs(replay_plans(plans, params), cost_price, params)
 
 
 def replay_inputs(forecasts: DataFrame, model: str) -> DataFrame:

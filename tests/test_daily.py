@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from shelfcast.operators import inventory as I
 from shelfcast.operators import pricing as P
 from shelfcast.operators import quality as Q
 from shelfcast.operators import segments as S
-from shelfcast.operators.ets import holt_winters
+from shelfcast.operators.ets import _smooth, ets, holt_winters, holt_winters_many
 from shelfcast.plans import backtest as BT
 from shelfcast.schemas import HOLIDAYS, PolicyParams, fold_origins
 
@@ -37,10 +39,11 @@ def scores(spark, y, f):
     return M.evaluate(df, ["model"]).first()
 
 
-def test_metrics_known_values(spark):
-    r = scores(spark, [10, 0, 30], [12, 1, 24])
-    assert r["wape"] == pytest.approx(9 / 40) and r["bias"] == pytest.approx(-3 / 40)
-    assert r["vn1"] == pytest.approx(12 / 40) and r["mape"] == pytest.approx(0.2) and r["n"] == 3
+def test_metrics_of_a_hand_worked_week(spark):
+    # errors +1, -2, +3, 0 on sales of 4, 5, 0, 11: 6 off in 20 sold, 2 too many
+    r = scores(spark, [4, 5, 0, 11], [5, 3, 3, 11])
+    assert r["wape"] == pytest.approx(0.3) and r["bias"] == pytest.approx(0.1) and r["vn1"] == pytest.approx(0.4)
+    assert r["mape"] == pytest.approx((1 / 4 + 2 / 5 + 0) / 3) and r["smape"] == pytest.approx((2 / 9 + 4 / 8 + 2 + 0) / 4) and r["n"] == 4
 
 
 def test_metrics_ignore_missing_actual(spark):
@@ -192,19 +195,68 @@ def test_croston_alternating_demand(spark):
     assert 1.5 < level < 2.1
 
 
-def test_weekday_average_repeats_its_profile(spark):
-    fc = B.weekday_repeats(series(spark, list(range(7)) * 5), [day(34)], horizon=14).orderBy("date").toPandas()
-    avg = fc[fc.model == "naive_dow_avg"]["forecast"].tolist()
-    assert avg == [float(x) for x in list(range(7)) * 2]
-    short = B.weekday_repeats(series(spark, range(20)), [day(19)], horizon=7).toPandas()
-    assert short[short.model == "naive_dow_avg"]["forecast"].isna().all()
-    assert sorted(short[short.model == "seasonal_naive"]["forecast"]) == [float(x) for x in range(13, 20)]
-
-
-def test_holt_winters_follows_season_and_falls_back():
-    y = np.tile([10.0, 12, 14, 16, 18, 30, 40], 30)
-    assert np.abs(holt_winters(y, 14) - y[:14]).max() < 1.0
-    assert holt_winters(np.arange(9.0), 3).tolist() == [2.0, 3.0, 4.0]
+def test_weekday_rules_on_a_growing_series(spark):
+    """Sales of week w on weekday d are 10 w + d: the average of the last four weeks lies between the second and third of them."""
+    weeks = 6
+    fc = B.weekday_repeats(series(spark, [10 * (i // 7) + i % 7 for i in range(7 * weeks)]), [day(7 * weeks - 1)], horizon=10).orderBy("date").toPandas()
+    assert fc[fc.model == "naive_dow_avg"]["forecast"].tolist() == [35.0 + i % 7 for i in range(10)]
+    assert fc[fc.model == "seasonal_naive"]["forecast"].tolist() == [50.0 + i % 7 for i in range(10)]
+    short = B.weekday_repeats(series(spark, [3.0] * 21), [day(20)], horizon=3).toPandas()
+    assert short[short.model == "naive_dow_avg"]["forecast"].isna().all() and (short[short.model == "seasonal_naive"]["forecast"] == 3.0).all()
+
+
+def plain_holt_winters(y, horizon, params):
+    """Damped trend and weekly season, day by day, with fixed parameters; the mean squared one-step error first."""
+    alpha, beta, gamma, phi = params
+    y = [v + 1 for v in y]
+    level, season = sum(y[:7]) / 7, [v / (sum(y[:7]) / 7) for v in y[:7]]
+    trend, error = (sum(y[7:14]) / 7 - level) / 7, 0.0
+    for t, v in enumerate(y):
+        base, s = level + phi * trend, season[t % 7]
+        error += (v - base * s) ** 2
+        new = alpha * v / s + (1 - alpha) * base
+        level, trend, season[t % 7] = new, beta * (new - level) + (1 - beta) * phi * trend, gamma * v / base + (1 - gamma) * s
+    out = []
+    for k in range(1, horizon + 1):
+        out.append(max(0.0, (level + sum(phi ** i for i in range(1, k + 1)) * trend) * season[(len(y) + k - 1) % 7] - 1))
+    return error, out
+
+
+def test_smoothing_equals_plain_recursions():
+    rng = np.random.default_rng(11)
+    y = rng.poisson(6, (3, 60)).astype(float) + 2 * (np.arange(60) % 7 == 5)
+    grid = np.array(np.meshgrid((0.05, 0.2, 0.5), (0.01, 0.1), (0.05, 0.2), (0.85, 0.98))).reshape(4, -1)
+    sse, *_ = _smooth(y + 1, grid[:, None, :])
+    for i in range(3):
+        assert np.allclose(sse[i], [plain_holt_winters(y[i], 1, p)[0] for p in grid.T])
+
+
+def test_series_side_by_side_equal_single_ones_and_fall_back():
+    rng = np.random.default_rng(12)
+    y = rng.poisson(4, (5, 90)).astype(float)
+    assert np.allclose(holt_winters_many(y, 9), [holt_winters(v, 9) for v in y])
+    steady = np.tile([7.0, 3, 5, 2, 9, 11, 8], 20)
+    assert np.abs(holt_winters(steady, 21) - steady[:21]).max() < 0.7
+    assert holt_winters(np.array([4.0, 1, 6]), 5).tolist() == [4.0, 1.0, 6.0, 4.0, 1.0]
+
+
+def test_ets_sends_each_day_once_for_all_folds(spark):
+    rng = np.random.default_rng(13)
+    panel = None
+    for k in range(4):
+        own = series(spark, rng.poisson(5 + k, 80), sku=f"K{k}")
+        panel = own if panel is None else panel.unionByName(own)
+    segments = panel.select("store_id", "sku_id").distinct().withColumn("segment", F.when(F.col("sku_id") == "K3", "lumpy").otherwise("smooth"))
+    cuts = [day(50), day(60), day(70)]
+    out = ets(panel.repartition(5), segments, cuts, 6)
+    got = {(r["sku_id"], r["fold"], r["date"]): r["forecast"] for r in out.where("sku_id != 'K3'").collect()}
+    assert len(got) == 3 * 3 * 6
+    y = {k: [r["demand_filled"] for r in panel.where(f"sku_id = 'K{k}'").orderBy("date").collect()] for k in range(3)}
+    for k in range(3):
+        for f, c in enumerate((50, 60, 70), 1):
+            assert np.allclose([got[f"K{k}", f, day(c + i)] for i in range(1, 7)], holt_winters(np.array(y[k][:c + 1]), 6))
+    plan = out.where("sku_id = 'K0'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan
 
 
 def test_cutoffs_and_windows(spark):
@@ -221,9 +273,9 @@ def test_ensemble_needs_both_models(spark):
     assert got[day(0)] == pytest.approx(13.0) and got[day(1)] is None
 
 
-def test_forward_sum_pads_with_the_last_value(spark):
-    got = series(spark, range(10)).withColumn("s", I.forward_sum("demand_filled", 3)).orderBy("date").toPandas()["s"]
-    assert got.iloc[0] == 3 and got.iloc[8] == 8 + 9 + 9 and got.iloc[9] == 27
+def test_forward_sum_at_the_end_of_a_series(spark):
+    got = series(spark, [2, 8, 1, 5]).withColumn("s", I.forward_sum("demand_filled", 4)).orderBy("date").toPandas()["s"]
+    assert got.tolist() == [16.0, 8 + 1 + 5 + 5, 1 + 5 + 5 + 5, 20.0]
 
 
 def replayed(spark, demand, target, start):
@@ -243,32 +295,65 @@ def test_replay_of_a_short_series_order_by_order(spark):
         I.replay_policies(levels, PolicyParams(lead_time=0))
 
 
-def test_replay_conserves_units(spark):
-    demand = np.random.default_rng(0).poisson(5, 50)
-    _, got = replayed(spark, demand, 60, 30)
-    assert np.allclose(got.sold + got.lost, got.demand) and (got.on_hand >= 0).all()
-    arrived = got.on_hand.diff().fillna(got.on_hand.iloc[0] - 30) + got.sold
-    assert set(np.flatnonzero(arrived > 1e-9)) <= {3 + 7 * k for k in range(7)} and (arrived > -1e-9).all()
-
-
-def test_more_service_means_more_stock(spark):
-    rng = np.random.default_rng(1)
-    rows = [("S", f"K{k}", day(i), float(v), 10.0) for k in range(20) for i, v in enumerate(rng.poisson(10, 84))]
+def plain_replay(demand, targets, start, review=7, lead=3):
+    stock, due, out = start, [0.0] * lead, []
+    for t, (d, target) in enumerate(zip(demand, targets)):
+        stock += due.pop(0)
+        due.append(max(0.0, float(math.ceil(target - stock - sum(due)))) if t % review == 0 else 0.0)
+        sold = min(stock, d)
+        stock -= sold
+        out.append((d, stock, sold, d - sold))
+    return out
+
+
+@pytest.mark.parametrize("review, lead", [(7, 3), (4, 5), (1, 1)])
+def test_replay_of_many_series_and_policies_equals_a_plain_loop(spark, review, lead):
+    rng = random.Random(review)
+    rows, want = [], {}
+    for k, days in enumerate([40, 1, 25, 33]):
+        demand = [float(rng.randrange(0, 30)) for _ in range(days)]
+        targets = [[rng.uniform(20, 200) for _ in range(days)] for _ in range(k + 1)]
+        plans = [[(f"p{j}", None if j == 0 else j / 10, targets[j][t]) for j in range(k + 1)] for t in range(days)]
+        rows += [("S", f"K{k}", day(t), demand[t], plans[t], 50.0) for t in range(days)]
+        for j in range(k + 1):
+            for t, x in enumerate(plain_replay(demand, targets[j], 50.0, review, lead)):
+                want[f"K{k}", f"p{j}", day(t)] = x
+    plans = spark.createDataFrame(rows, "store_id string, sku_id string, date date, demand double, plans array<struct<policy string, target_service double, order_up_to double>>, start_stock double")
+    p = PolicyParams(review_period=review, lead_time=lead)
+    for out in (I.replay_plans(plans.repartition(3), p), I.replay_policies(plans.select("store_id", "sku_id", "date", "demand", F.inline("plans"), "start_stock"), p)):
+        got = {(r["sku_id"], r["policy"], r["date"]): (r["demand"], r["on_hand"], r["sold"], r["lost"]) for r in out.collect()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_replay_sends_a_day_once_for_all_policies_and_runs_long_series(spark):
+    base = spark.range(2000).select(F.lit("S").alias("store_id"), F.lit("K").alias("sku_id"), F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("date"),
+                                    (F.col("id") % 11).cast("double").alias("demand"), F.lit(5.0).alias("forecast"))
+    keys = base.select("store_id", "sku_id").distinct()
+    plans = I.policy_plans(base, keys.withColumn("hist_avg", F.lit(5.0)), keys.withColumn("sigma", F.lit(2.0)))
+    assert plans.count() == 2000
+    out = I.replay_plans(plans)
+    assert out.count() == 6 * 2000 and out.where("abs(sold + lost - demand) > 1e-9 or on_hand < 0").count() == 0
+
+
+def test_a_higher_service_level_costs_stock_and_saves_sales(spark):
+    rng = np.random.default_rng(29)
+    rows = [("S", f"K{k}", day(i), float(v), 6.5) for k in range(12) for i, v in enumerate(rng.negative_binomial(4, 0.38, 63))]
     daily = spark.createDataFrame(rows, "store_id string, sku_id string, date date, demand double, forecast double")
     keys = daily.select("store_id", "sku_id").distinct()
-    costs = I.run_policies(daily, keys.withColumn("hist_avg", F.lit(10.0)), keys.withColumn("sigma", F.lit(3.0)),
-                           keys.withColumns({"unit_cost": F.lit(1.0), "price": F.lit(2.0)}))
-    fd = costs.where("policy = 'forecast_driven'").orderBy("target_service").toPandas()
-    assert fd.avg_inventory_units.is_monotonic_increasing and fd.fill_rate.iloc[-1] > fd.fill_rate.iloc[0]
-    story = {r["metric"] for r in I.before_after(costs).collect()}
-    assert len(story) == 5
-
-
-def test_optimal_price(spark):
-    one = spark.range(1)
-    free = one.select(P.optimal_price(F.lit(10.0), F.lit(5.0), F.lit(-2.0), 1.0)).first()[0]
-    capped = one.select(P.optimal_price(F.lit(10.0), F.lit(5.0), F.lit(-0.5), 0.1)).first()[0]
-    assert free == pytest.approx(10) and capped == pytest.approx(11)
+    costs = I.run_policies(daily, keys.withColumn("hist_avg", F.lit(6.5)), keys.withColumn("sigma", F.lit(4.1)),
+                           keys.withColumns({"unit_cost": F.lit(3.0), "price": F.lit(7.0)}))
+    by_level = costs.where("policy = 'forecast_driven'").orderBy("target_service").toPandas()
+    assert (np.diff(by_level.avg_inventory_value) > 0).all() and (np.diff(by_level.lost_margin) <= 0).all()
+    assert np.allclose(by_level.avg_inventory_value, 3 * by_level.avg_inventory_units)
+    assert I.before_after(costs).count() == 5
+
+
+def test_optimal_price_is_the_best_on_a_grid(spark):
+    """Margin (p - c) * p^e on a fine grid of allowed prices has its maximum where the formula says."""
+    for regular, cost, elasticity, band in [(12.0, 4.0, -3.0, 0.6), (12.0, 4.0, -1.2, 0.15), (7.0, 6.0, -2.5, 0.3)]:
+        got = spark.range(1).select(P.optimal_price(F.lit(regular), F.lit(cost), F.lit(elasticity), band)).first()[0]
+        grid = np.linspace(regular * (1 - band), regular * (1 + band), 4001)
+        assert got == pytest.approx(grid[np.argmax((grid - cost) * grid ** elasticity)], rel=1e-3)
 
 
 def test_price_response_equals_a_dummy_variable_glm(spark):
