@@ -197,6 +197,30 @@ FROM (SELECT DISTINCT store_id, sku_id, fold, cutoff FROM history) h LEFT JOIN (
                      count(*) OVER (PARTITION BY store_id, sku_id, fold) AS n
               FROM history WHERE y > 0))
   GROUP BY ALL) c ON c.store_id = h.store_id AND c.sku_id = h.sku_id AND c.fold = h.fold""")
+ETS_GIVEN = (0.2, 0.01, 0.1, 0.98)  # level, trend, season, damping
+_A, _B, _G, _PHI = (f"CAST({v} AS DOUBLE)" for v in ETS_GIVEN)
+block("ets_rows", "marked cutoffs segments", """
+SELECT store_id, sku_id, fold, cutoff, demand_filled + 1 AS y, CAST(row_number() OVER s - 1 AS INTEGER) AS t
+FROM marked JOIN segments USING (store_id, sku_id) CROSS JOIN cutoffs
+WHERE segment IN ('smooth', 'erratic') AND date <= cutoff AND date > cutoff - 365
+WINDOW s AS (PARTITION BY store_id, sku_id, fold ORDER BY date)""")
+# season[1] belongs to the coming day; a step puts its new value behind the others
+block("ets_state", "ets_rows", f"""
+SELECT store_id, sku_id, fold, cutoff, last, CAST(-1 AS INTEGER) AS t, first AS level, (second - first) / 7 AS trend, list_transform(week, lambda v: v / first) AS season
+FROM (SELECT store_id, sku_id, fold, cutoff, max(t) AS last, avg(y) FILTER (t < 7) AS first, avg(y) FILTER (t >= 7 AND t < 14) AS second,
+             list(y ORDER BY t) FILTER (t < 7) AS week FROM ets_rows GROUP BY ALL)
+UNION ALL
+SELECT store_id, sku_id, fold, cutoff, last, t, next_level, {_B} * (next_level - level) + (1 - {_B}) * {_PHI} * trend,
+       list_append(season[2:7], {_G} * y / base + (1 - {_G}) * season[1])
+FROM (SELECT r.* EXCLUDE (t), n.t, y, level + {_PHI} * trend AS base, {_A} * y / season[1] + (1 - {_A}) * (level + {_PHI} * trend) AS next_level
+      FROM ets_state r JOIN ets_rows n ON n.store_id = r.store_id AND n.sku_id = r.sku_id AND n.fold = r.fold AND n.t = r.t + 1)""")
+block("ets_given", "ets_state croston segments", f"""
+SELECT store_id, sku_id, CAST(cutoff + CAST(k AS INTEGER) AS DATE) AS date, fold, 'ets' AS model,
+       greatest((level + {_PHI} * (1 - pow({_PHI}, k)) / (1 - {_PHI}) * trend) * season[CAST((k - 1) % 7 + 1 AS INTEGER)] - 1, 0) AS forecast
+FROM ets_state, (SELECT unnest(range(1, 29)) AS k) WHERE t = last
+UNION ALL
+SELECT store_id, sku_id, CAST(cutoff + CAST(k AS INTEGER) AS DATE), fold, 'ets', croston_sba
+FROM croston JOIN segments USING (store_id, sku_id), (SELECT unnest(range(1, 29)) AS k) WHERE segment NOT IN ('smooth', 'erratic')""")
 block("mixed", "native", """
 SELECT store_id, sku_id, date, fold, 'ensemble_70_30' AS model,
        0.7 * max(forecast) FILTER (model = 'naive_dow_avg') + 0.3 * max(forecast) FILTER (model = 'seasonal_naive') AS forecast
@@ -350,6 +374,21 @@ FROM (SELECT *, base_units * promo_uplift * pow(1 - depth, elasticity) AS units,
            JOIN elasticity USING (category)
            JOIN (SELECT category, count(DISTINCT sku_id) - 1 AS n_siblings FROM panel GROUP BY category) USING (category),
            (SELECT CAST(unnest([0.1, 0.15, 0.2, 0.25, 0.3]) AS DOUBLE) AS depth))""")
+_REGRESSORS = ([(f"dow_{k}", f"CAST(dow = {k} AS INTEGER)") for k in range(1, 7)] + [(f"month_{k}", f"CAST(month = {k} AS INTEGER)") for k in range(2, 13)]
+               + [(c, c) for c in ("log_price_dm", "on_promo", "n_sibling_promo", "holiday")])
+block("design", "dated", """
+SELECT category, sku_id, demand_target AS y, dow, month, on_promo, n_sibling_promo, CAST(days_to_holiday <= 3 AS INTEGER) AS holiday,
+       ln(selling_price) - avg(ln(selling_price)) OVER (PARTITION BY store_id, sku_id) AS log_price_dm,
+       (date - min(date) OVER (PARTITION BY category)) / 365.0 AS t
+FROM dated WHERE demand_target IS NOT NULL""")
+block("balance", "design", f"""
+SELECT category, CAST(NULL AS VARCHAR) AS sku_id, regressor, total
+FROM (SELECT category, {', '.join(f'CAST(sum({x} * y) AS DOUBLE) AS {name}' for name, x in _REGRESSORS)} FROM design GROUP BY category)
+     UNPIVOT (total FOR regressor IN ({', '.join(name for name, _ in _REGRESSORS)}))
+UNION ALL
+SELECT category, sku_id, regressor, total
+FROM (SELECT category, sku_id, CAST(sum(t * y) AS DOUBLE) AS trend, CAST(sum(y) AS DOUBLE) AS units FROM design GROUP BY category, sku_id)
+     UNPIVOT (total FOR regressor IN (trend, units))""")
 block("health", "sc board", f"""
 SELECT *, CASE WHEN alert_accuracy AND alert_bias THEN 'RED' WHEN alert_accuracy THEN 'AMBER-accuracy'
                WHEN alert_bias THEN 'AMBER-bias' ELSE 'GREEN' END AS status
@@ -417,14 +456,17 @@ block("cut", "hpanel", "SELECT max(day) FILTER (split = 'train') AS cutoff FROM
 _SUMS = ", ".join(f"sum(sales[{h + 1}]) AS h{h}" for h in range(24))
 _H_LIST = "[" + ", ".join(f"h{h}" for h in range(24)) + "]"
 block("fit_rows", "hpanel cut", "SELECT * FROM hpanel, cut WHERE empty = 0 AND day <= cutoff")
-for _i, _level in enumerate(["store_id, product_id", "store_id, third_category_id", "third_category_id"]):
-    block(f"prof{_i}", "fit_rows", f"""
+_HELD = "CAST('0x' || substr(md5(store_id || ':' || product_id || ':7'), 1, 15) AS BIGINT) % 10000 < 2000"
+block("unheld_rows", "fit_rows", f"SELECT * FROM fit_rows WHERE NOT {_HELD}")
+for _of, _rows in (("prof", "fit_rows"), ("vprof", "unheld_rows")):  # vprof: without the series held out of the validation
+    for _i, _level in enumerate(["store_id, product_id", "store_id, third_category_id", "third_category_id"]):
+        block(f"{_of}{_i}", _rows, f"""
 SELECT {_level}, list_transform({_H_LIST}, lambda x: x / list_sum({_H_LIST})) AS p{_i}
-FROM (SELECT {_level}, count(*) AS n, {_SUMS} FROM fit_rows GROUP BY {_level})
+FROM (SELECT {_level}, count(*) AS n, {_SUMS} FROM {_rows} GROUP BY {_level})
 WHERE n >= MIN_DAYS AND list_sum({_H_LIST}) > 0""")
-block("prof_all", "fit_rows", f"""
+    block(f"{_of}_all", _rows, f"""
 SELECT list_transform({_H_LIST}, lambda x: x / list_sum({_H_LIST})) AS pa, mean_all
-FROM (SELECT {_SUMS}, avg(observed) AS mean_all FROM fit_rows)""")
+FROM (SELECT {_SUMS}, avg(observed) AS mean_all FROM {_rows})""")
 block("series_stats", "fit_rows", """
 SELECT store_id, product_id, sum(observed) AS s, count(*) AS c FROM fit_rows GROUP BY ALL""")
 block("profiled", "hpanel cut prof0 prof1 prof2 prof_all series_stats", """
@@ -464,6 +506,21 @@ SELECT k.store_id, k.product_id FROM (SELECT DISTINCT store_id, product_id FROM
   FROM (SELECT store_id, count(*) AS n, CAST('0x' || substr(md5(store_id || ':42'), 1, 15) AS BIGINT) AS h
         FROM (SELECT DISTINCT store_id, product_id FROM hpanel) GROUP BY store_id)) s ON s.store_id = k.store_id
 WHERE before < 40""")
+block("vmasked", "hpanel cut fit_rows prof_all vprof0 vprof1 vprof2 vprof_all series_stats", f"""
+SELECT observed AS truth, list_sum(list_transform(range(1, 25), lambda i: sales[i] * (1 - mask[i]))) AS visible,
+       list_sum(list_transform(range(1, 25), lambda i: profile[i] * (1 - mask[i]))) AS share_in, level
+FROM (SELECT t.*, d.mask, coalesce(p0, p1, p2, vprof_all.pa) AS profile,
+             CASE WHEN c > 1 THEN (s - observed) / (c - 1) ELSE prof_all.mean_all END AS level
+      FROM (SELECT *, CAST('0x' || substr(md5(store_id || ':' || product_id || ':' || dt || ':9'), 1, 15) AS BIGINT)
+                      % (SELECT count(*) FROM hpanel, cut WHERE empty > 0 AND day <= cutoff) AS slot
+            FROM fit_rows WHERE {_HELD}) t
+           JOIN (SELECT oos AS mask, row_number() OVER (ORDER BY CAST('0x' || substr(md5(store_id || ':' || product_id || ':' || dt || ':8'), 1, 15) AS BIGINT)) - 1 AS slot
+                 FROM hpanel, cut WHERE empty > 0 AND day <= cutoff) d USING (slot)
+           LEFT JOIN vprof0 USING (store_id, product_id) LEFT JOIN vprof1 USING (store_id, third_category_id)
+           LEFT JOIN vprof2 USING (third_category_id) LEFT JOIN series_stats USING (store_id, product_id) CROSS JOIN prof_all CROSS JOIN vprof_all)""")
+block("vmethods", "vmasked", """
+SELECT truth AS y, visible, 'observed (no recovery)' AS method, visible AS f FROM vmasked
+UNION ALL SELECT truth, visible, 'profile scaling', greatest(visible, CASE WHEN share_in >= 0.15 THEN visible / share_in ELSE level END) FROM vmasked""")
 _HW = "PARTITION BY store_id, product_id ORDER BY day"
 block("hframe", "grouped", f"""
 SELECT *, lag_7 AS pred, avg(lag_7) OVER ({_HW} ROWS 6 PRECEDING) AS rmean_7, avg(lag_7) OVER ({_HW} ROWS 13 PRECEDING) AS rmean_14,
@@ -498,5 +555,5 @@ SELECT training_target, v.eval_view, v.truth AS y, p AS f FROM hvariants, LATERA
   (CASE WHEN empty = 0 THEN 'A, ' || sale_group || ' series' END, observed),
   ('C, ' || sale_group || ' series', level_truth)) v(eval_view, truth)
 WHERE v.eval_view IS NOT NULL""")
-for _n in ("prof0", "prof1", "prof2"):
+for _n in ("prof0", "prof1", "prof2", "vprof0", "vprof1", "vprof2"):
     BLOCKS[_n] = (BLOCKS[_n][0], BLOCKS[_n][1].replace("MIN_DAYS", "20"))

@@ -314,6 +314,20 @@ def _(spark, d):
     return rounded(X.gold(spark, d).select(*names))
 
 
+FEATURES = """store_id sku_id selling_price on_promo discount_pct n_sibling_promo category region store_size segment dow dom month
+weekofyear is_weekend is_payday_window days_to_holiday price_ratio rel_price log_price lag_28 lag_35 lag_42 lag_49 lag_364 rmean_7
+rmean_28 rmean_91 rstd_28 rzero_28 dow_mean_4w trend_ratio""".split()
+
+
+@register("feature_list", query("gold", f"""
+SELECT CAST(list_position({FEATURES!r}, feature) AS INTEGER) AS position, feature, n_known
+FROM (SELECT {', '.join(f'count({c}) AS {c}' for c in FEATURES)} FROM gold) UNPIVOT (n_known FOR feature IN ({', '.join(FEATURES)}))"""))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    T.write_table(FE.feature_list(X.gold(spark, d)), path)
+    return T.read_table(spark, path)
+
+
 @register("future_known_inputs", query("future", f"""
 SELECT {cols(KEY_SQL + ', on_promo, n_sibling_promo', 'regular_price, discount_pct, selling_price')} FROM future"""))
 def _(spark, d):
@@ -361,9 +375,7 @@ def _(spark, d):
 
 @register("fold_cutoffs", query("cutoffs", "SELECT fold, cutoff FROM cutoffs"))
 def _(spark, d):
-    return (Q.date_bounds(X.daily_sales(spark, d)).select(F.posexplode(F.sequence(
-        F.date_sub("last_day", 28 * 4), F.date_sub("last_day", 28), F.expr("INTERVAL 28 DAYS"))).alias("k", "cutoff"))
-        .select((F.col("k") + 1).alias("fold"), "cutoff"))
+    return spark.createDataFrame(list(enumerate(X.cutoffs(spark, d), 1)), "fold int, cutoff date")  # a row per fold
 
 
 # ------------------------------------------------------------------ forecasts and accuracy
@@ -392,6 +404,14 @@ def _(spark, d):
     return rounded(BT.ensemble(native_forecasts(spark, d), RULE, REPEAT).select(*KEYS, "fold", "model", "forecast"))
 
 
+@register("unbiased_forecasts", query("fc sc", f"""
+SELECT {KEY_SQL}, fold, model, round(CASE WHEN forecast IS NOT NULL THEN greatest(forecast - coalesce(bias, 0), 0) END, 6) + 0.0 AS forecast
+FROM fc LEFT JOIN (SELECT store_id, sku_id, model, avg(forecast - actual) AS bias FROM sc WHERE fold = 1 GROUP BY ALL) USING (store_id, sku_id, model)
+WHERE fold > 1"""))
+def _(spark, d):
+    return rounded(BT.without_bias(forecasts(spark, d), 1))
+
+
 @register("forecasts_with_actuals", query("fc", f"""
 SELECT {cols(FC_SQL + ', true_demand, segment, category, on_promo', 'forecast, actual, selling_price, unit_cost')} FROM fc"""))
 def _(spark, d):
@@ -566,6 +586,17 @@ def _(spark, d):
     return P.ranked_recommendations(rounded(r))
 
 
+@register("given_elasticity_error", query("elasticity products", f"""
+SELECT {cols('category', 'elasticity, promo_uplift, cannibalisation_per_sibling, true_elasticity, true_promo_uplift')},
+       round(elasticity / true_elasticity - 1, 6) + 0.0 AS elasticity_error_pct
+FROM elasticity JOIN (SELECT category, avg(-1 - unit_cost / base_price) AS true_elasticity, avg(1 + 0.1 * length(sku_id)) AS true_promo_uplift
+                      FROM products GROUP BY category) USING (category)"""))
+def _(spark, d):
+    truth = X.products(spark, d).select("category", (-1 - F.col("unit_cost") / F.col("base_price")).alias("true_elasticity"),
+                                        (1 + 0.1 * F.length("sku_id")).alias("true_promo_uplift"))
+    return rounded(P.compare_with_truth(given_elasticities(spark), truth))
+
+
 @register("promo_depth_economics", query("promo", f"""
 SELECT {cols('category, depth', 'units_lift_x, incremental_margin, cannibal_loss, promo_margin_pct', 5)} FROM promo"""))
 def _(spark, d):

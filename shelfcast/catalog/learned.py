@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import hourly
-from shelfcast.catalog.ctes import query
+from shelfcast.catalog.ctes import ETS_GIVEN, HOURLY_SQL, cols, query
 from shelfcast.catalog.registry import register, rounded
 from shelfcast.functions import metrics as M
 from shelfcast.operators import features as FE
@@ -66,6 +66,11 @@ def _(spark, d):
     return rounded(ets(X.silver(spark, d), X.segments(spark, d), X.cutoffs(spark, d)))
 
 
+@register("ets_given_weights", query("ets_given", f"SELECT {cols('store_id, sku_id, date, fold, model', 'forecast')} FROM ets_given"))
+def _(spark, d):
+    return rounded(ets(X.silver(spark, d), X.segments(spark, d), X.cutoffs(spark, d), given=ETS_GIVEN))
+
+
 @register("boosted_backtest_accuracy")
 def _(spark, d):
     return rounded(M.evaluate(BT.scored(boosted_backtest(spark, d)), ["model"]))
@@ -102,6 +107,12 @@ def _(spark, d):
     return rounded(P.estimate_response(X.gold(spark, d), control_trend=False))
 
 
+@register("price_response_balance", query("balance", """
+SELECT category, sku_id, regressor, round(total, 3) + 0.0 AS observed, round(total, 3) + 0.0 AS fitted FROM balance"""))
+def _(spark, d):
+    return rounded(P.response_balance(P.fitted_days(X.gold(spark, d))), 3)
+
+
 @register("price_response_error")
 def _(spark, d):
     truth = X.products(spark, d).select("category", F.lit(-1.5).alias("true_elasticity"), F.lit(1.4).alias("true_promo_uplift"))
@@ -156,6 +167,13 @@ def _(spark, d):
                                        params=HOURLY.recovery))
 
 
+@register("recovery_validation_rules", query("vmethods", f"""
+SELECT method, {cols('n, n_masked_days', 'wape, wpe_bias, vn1, avg_hidden_share')}
+FROM (SELECT method, {HOURLY_SQL}, count(*) AS n_masked_days, 1 - sum(visible) / greatest(sum(y), 1e-9) AS avg_hidden_share FROM vmethods GROUP BY method)"""))
+def _(spark, d):
+    return rounded(R.validate_recovery(hourly.prepared(spark, d), hourly.cutoff(spark, d), min_days=hourly.MIN_DAYS, with_model=False))
+
+
 def walk_forward(spark, d, part: str) -> DataFrame:
     """The scores, horizon or scales of one walk-forward run; each is written on first use of any."""
     made = {}

@@ -49,16 +49,19 @@ def _smooth(y: np.ndarray, params: np.ndarray):
     return np.where(np.isfinite(sse), sse, np.inf), level, trend, np.stack(season)
 
 
-def holt_winters_many(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Forecasts of series of one length (rows): of ``y + 1`` minus 1, never below 0; the last week again where nothing fits."""
+def holt_winters_many(y: np.ndarray, horizon: int, given: tuple[float, ...] | None = None) -> np.ndarray:
+    """Forecasts of series of one length (rows): of ``y + 1`` minus 1, never below 0; the last week again where nothing fits.
+
+    ``given``: alpha, beta, gamma and phi that are used as they are instead of searched.
+    """
     fallback = np.clip(y[:, np.arange(-min(SEASON, y.shape[1]), 0)[np.arange(horizon) % min(SEASON, y.shape[1])]], 0, None)
     if y.shape[1] < 2 * SEASON:
         return fallback
     shifted = y[:, -HISTORY:] + 1.0
     rows, fits, centre = np.arange(len(y)), np.ones(len(y), bool), None
     with np.errstate(all="ignore"):
-        for width in (None, 1.6, 1.25):
-            grid = _candidates(centre, width)
+        for width in (None, 1.6, 1.25) if given is None else (None,):
+            grid = _candidates(centre, width) if given is None else np.array(given, float).reshape(4, 1, 1)
             sse, level, trend, season = _smooth(shifted, grid)
             best = np.argmin(sse, 1)
             fits &= np.isfinite(sse[rows, best])
@@ -77,11 +80,11 @@ def holt_winters(y: np.ndarray, horizon: int) -> np.ndarray:
 
 
 def ets(panel: DataFrame, segments: DataFrame, cutoffs: list[dt.date], horizon: int = HORIZON,
-        demand: str = "demand_filled") -> DataFrame:
+        demand: str = "demand_filled", given: tuple[float, ...] | None = None) -> DataFrame:
     """Holt-Winters for smooth and erratic series; the others take the Croston forecast.
 
     A series is sent once, in one exchange, whatever the number of folds; windows of one length of many series and
-    folds are fitted side by side.
+    folds are fitted side by side. ``given``: one set of alpha, beta, gamma and phi for all series.
     """
     routed = panel.select(*SERIES, "date", demand).join(segments.select(*SERIES, "segment"), SERIES)
     steady = F.col("segment").isin("smooth", "erratic")
@@ -101,7 +104,7 @@ def ets(panel: DataFrame, segments: DataFrame, cutoffs: list[dt.date], horizon:
             for n, same in sorted(windows.items()):
                 for at in range(0, len(same), SIDE_BY_SIDE):
                     part = same[at:at + SIDE_BY_SIDE]
-                    f = holt_winters_many(np.stack([y[lo:lo + n] for _, _, lo in part]), horizon)
+                    f = holt_winters_many(np.stack([y[lo:lo + n] for _, _, lo in part]), horizon, given)
                     take = pa.array(np.repeat([starts[k] for k, _, _ in part], horizon))
                     fold = np.repeat([fold for _, fold, _ in part], horizon)
                     date = np.concatenate([ends[x] + np.arange(1, horizon + 1) for _, x, _ in part])

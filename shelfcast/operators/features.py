@@ -67,6 +67,14 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
 
+def feature_list(df: DataFrame) -> DataFrame:
+    """The model inputs as a table: position, feature, and the number of rows that know it."""
+    names = feature_columns(df)
+    known = df.agg(*[F.count(c).alias(c) for c in names])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("n_known")) for i, c in enumerate(names, 1)]
+    return known.select(F.inline(F.array(*rows)))
+
+
 def add_sibling_promo(df: DataFrame, products: DataFrame) -> DataFrame:
     """Promoted SKUs of the same store, category and day, without the row's own.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,14 +49,19 @@ def series_rows(gold: DataFrame) -> DataFrame:
             .repartition(parts, "category", *SERIES))
 
 
-def _centred(row, beta: np.ndarray, slope: float):
-    """Fitted means of one series with its own level solved for, and regressors around their mean."""
+def _expected(row, beta: np.ndarray, slope: float):
+    """Units, regressors and fitted means of one series with its own level solved for."""
     y, dow, month = (np.asarray(getattr(row, c), float) for c in ("y", "dow", "month"))
     z = np.column_stack([dow[:, None] == np.arange(1, 7), month[:, None] == np.arange(2, 13),
                          *[np.asarray(getattr(row, c), float) for c in DAYS[3:]]]).astype(float)
     eta = z[:, :_P] @ beta + z[:, _P] * slope
     weight = np.exp(eta - eta.max())
-    mu = y.sum() * weight / weight.sum()
+    return y, z, y.sum() * weight / weight.sum()
+
+
+def _centred(row, beta: np.ndarray, slope: float):
+    """Fitted means of one series that sold, and regressors around their mean."""
+    y, z, mu = _expected(row, beta, slope)
     return y, mu, z - (mu @ z) / mu.sum()
 
 
@@ -138,20 +145,22 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int = 15, tol: float = 1e-8) -> DataFrame:
-    """Poisson price response of every category with series effects and a trend per SKU.
+@dataclass
+class Maximum:
+    """Where the likelihood of a panel is largest: ``betas`` per category, ``slopes`` (category, sku_id, slope), the last
+    step's information without series and SKU effects (``bread``), the SKU's moments and the step at which a category settled."""
 
-    log E[q] = series + trend_sku * t + elasticity * log(price) + promo + siblings + weekday + month
-    + holiday. The maximum likelihood estimate is the one of a GLM with a dummy per series and per
-    SKU trend, but neither is ever a column: a series' level is solved inside its own group, and a
-    SKU's slope is eliminated from the SKU's summed moments, because two SKUs share no rows. Only
-    the shared block (one small matrix per category) reaches the driver, however many series there
-    are. The confidence limits are heteroskedasticity-robust (HC1). ``converged`` is false for a
-    category whose last step was still ``tol`` or more after ``max_iter`` steps.
-    """
-    series = series_rows(gold).persist()
-    spark = gold.sparkSession
-    keys = series.select("category", *SERIES)
+    sizes: list
+    betas: dict[str, np.ndarray]
+    slopes: DataFrame
+    bread: dict[str, np.ndarray]
+    per_sku: DataFrame
+    settled: dict[str, int]
+
+
+def _maximum(series: DataFrame, keys: DataFrame, control_trend: bool, max_iter: int, tol: float) -> Maximum:
+    """Newton steps; one small matrix per category reaches the driver in each."""
+    spark = series.sparkSession
     sizes = (series.select("category", "sku_id", F.size("y").alias("n_days"))
              .groupBy("category").agg(F.sum("n_days").alias("n"), F.count(F.lit(1)).alias("n_series"),
                                       F.countDistinct("sku_id").alias("n_skus")).collect())  # a row per category
@@ -187,6 +196,25 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
                                          (F.col("slope") + F.coalesce(change, F.lit(0.0))).alias("slope")))
         if len(settled) == len(moved):
             break
+    return Maximum(sizes, betas, slopes, bread, per_sku, settled)
+
+
+def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int = 15, tol: float = 1e-8) -> DataFrame:
+    """Poisson price response of every category with series effects and a trend per SKU.
+
+    log E[q] = series + trend_sku * t + elasticity * log(price) + promo + siblings + weekday + month
+    + holiday. The maximum likelihood estimate is the one of a GLM with a dummy per series and per
+    SKU trend, but neither is ever a column: a series' level is solved inside its own group, and a
+    SKU's slope is eliminated from the SKU's summed moments, because two SKUs share no rows. Only
+    the shared block (one small matrix per category) reaches the driver, however many series there
+    are. The confidence limits are heteroskedasticity-robust (HC1). ``converged`` is false for a
+    category whose last step was still ``tol`` or more after ``max_iter`` steps.
+    """
+    series = series_rows(gold).persist()
+    spark = gold.sparkSession
+    keys = series.select("category", *SERIES)
+    fit = _maximum(series, keys, control_trend, max_iter, tol)
+    sizes, betas, slopes, bread, per_sku, settled = fit.sizes, fit.betas, fit.slopes, fit.bread, fit.per_sku, fit.settled
 
     # robust part: squared residuals times what a regressor adds beyond series level and SKU trend
     if control_trend:
@@ -224,6 +252,42 @@ def estimate_response(gold: DataFrame, control_trend: bool = True, max_iter: int
              " cannibalisation_per_sibling double, n_obs long, converged boolean, n_iter int")
 
 
+def fitted_days(gold: DataFrame, control_trend: bool = True, max_iter: int = 15, tol: float = 1e-8) -> DataFrame:
+    """Every uncensored day with its regressors and the units that the fitted model expects (``fitted``).
+
+    A series that sold nothing expects nothing on any day.
+    """
+    series = series_rows(gold).persist()
+    keys = series.select("category", *SERIES)
+    fit = _maximum(series, keys, control_trend, max_iter, tol)
+    betas = fit.betas
+
+    def work(batches):
+        for pdf in batches:
+            yield pdf.drop(columns="slope").assign(fitted=[_expected(row, betas[row.category], row.slope)[2] for row in pdf.itertuples(index=False)])
+
+    kept = T.StructType([*series.schema.fields, T.StructField("fitted", T.ArrayType(T.DoubleType()))])
+    expected = _with_sku(series, keys, fit.slopes).select(*series.columns, "slope").mapInPandas(work, kept)
+    days = cut_lineage(expected.select("category", *SERIES, F.inline(F.arrays_zip(*DAYS, "fitted"))))
+    series.unpersist()
+    return days
+
+
+def response_balance(days: DataFrame) -> DataFrame:
+    """What the score equations hold equal: sums of each regressor times observed and times fitted units, the
+    shared ones per category, trend and units per SKU (the shared ones have no sku_id)."""
+    def sums(x: dict[str, Column], by: list[str]) -> DataFrame:
+        both = [F.sum(v * F.col(units)).alias(f"{units}__{name}") for name, v in x.items() for units in ("y", "fitted")]
+        rows = F.array(*[F.struct(F.lit(name).alias("regressor"), F.col(f"y__{name}").alias("observed"), F.col(f"fitted__{name}").alias("fitted")) for name in x])
+        return days.groupBy(*by).agg(*both).select(*by, F.inline(rows))
+
+    levels = ({f"dow_{d}": (F.col("dow") == d).cast("double") for d in range(1, 7)}
+              | {f"month_{m}": (F.col("month") == m).cast("double") for m in range(2, 13)})
+    shared = sums(levels | {c: F.col(c) for c in SHARED if c not in levels}, ["category"])
+    own = sums({"trend": F.col("t"), "units": F.lit(1.0)}, ["category", "sku_id"])
+    return shared.withColumn("sku_id", F.lit(None).cast("string")).unionByName(own)
+
+
 def compare_with_truth(response: DataFrame, truth: DataFrame) -> DataFrame:
     """Estimates next to the category means of known parameters, with the relative error."""
     means = truth.groupBy("category").agg(F.avg("true_elasticity").alias("true_elasticity"),

@@ -114,31 +114,28 @@ def importance_by_group(importance: DataFrame) -> DataFrame:
 
 def held_out(share: float, seed: int) -> Column:
     """Whole series set aside by a seeded hash."""
-    return F.pmod(F.xxhash64(*PANEL_KEY, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    return F.pmod(seeded_hash(F.concat_ws(":", *PANEL_KEY), seed), F.lit(10_000)) < round(share * 10_000)
 
 
 def validate_recovery(panel: DataFrame, cutoff: int, holdout_share: float = 0.2, seed: int = 7,
-                      min_days: int = MIN_DAYS, params: BoosterParams = PARAMS) -> DataFrame:
+                      min_days: int = MIN_DAYS, params: BoosterParams = PARAMS, with_model: bool = True) -> DataFrame:
     """Masking test on held-out series: hide hours of clean days, recover, score against the truth.
 
     Profiles and the model never see the held-out series; their own level and everyone's stock-out
-    patterns may be used.
+    patterns may be used. Without a model only the rules are scored.
     """
     clean = A.is_clean("hours_stock_status")
     known, hold = F.col("day") <= cutoff, held_out(holdout_share, seed)
     rows = cut_lineage(with_profile(panel, clean & known & ~hold, clean & known, min_days))
-    model = fit_recovery(rows, known & ~hold, seed, params)
     tests = masked_days(rows.where(clean & known & hold), rows.where(~clean & known), seed + 1)
     left = F.col("x_observed")
-    scored = (model.transform(tests, "estimate")
-              .withColumn("by_profile", profile_recover(F.col("masked_sale"), F.col("mask"), F.col("profile"),
-                                                        F.col("level")))
-              .withColumn("m", F.explode(F.array(
-                  F.struct(F.lit("observed (no recovery)").alias("method"), left.alias("value")),
-                  F.struct(F.lit("profile scaling").alias("method"), F.col("by_profile").alias("value")),
-                  F.struct(F.lit("self-supervised booster").alias("method"),
-                           F.greatest(left, F.col("estimate")).alias("value")))))
-              .select("truth", left.alias("visible"), "m.method", "m.value"))
+    values = {"observed (no recovery)": left,
+              "profile scaling": profile_recover(F.col("masked_sale"), F.col("mask"), F.col("profile"), F.col("level"))}
+    if with_model:
+        tests = fit_recovery(rows, known & ~hold, seed, params).transform(tests, "estimate")
+        values["self-supervised booster"] = F.greatest(left, F.col("estimate"))
+    methods = F.array(*[F.struct(F.lit(name).alias("method"), value.alias("value")) for name, value in values.items()])
+    scored = tests.withColumn("m", F.explode(methods)).select("truth", left.alias("visible"), "m.method", "m.value")
     return scored.groupBy("method").agg(
         *hourly_metrics("truth", "value"), F.count(F.lit(1)).alias("n_masked_days"),
         (1 - F.sum("visible") / F.greatest(F.sum("truth"), F.lit(1e-9))).alias("avg_hidden_share"))

@@ -52,6 +52,15 @@ def attach_actuals(forecasts: DataFrame, gold: DataFrame) -> DataFrame:
     return forecasts.join(actual, KEYS, "left")
 
 
+def without_bias(forecasts: DataFrame, fold: int) -> DataFrame:
+    """Forecasts of later folds less their series' and model's mean error in ``fold``, never below 0; unknown ones stay unknown."""
+    by = [*SERIES, "model"]
+    bias = scored(forecasts).where(F.col("fold") == fold).groupBy(*by).agg(F.avg(F.col("forecast") - F.col("actual")).alias("bias"))
+    corrected = F.greatest(F.col("forecast") - F.coalesce("bias", F.lit(0.0)), F.lit(0.0))
+    return (forecasts.where(F.col("fold") > fold).join(bias, by, "left")
+            .withColumn("forecast", F.when(F.col("forecast").isNotNull(), corrected)).select(*KEYS, "fold", "model", "forecast"))
+
+
 def scored(forecasts: DataFrame) -> DataFrame:
     """Forecasts whose actual is not censored."""
     return forecasts.where(F.col("actual").isNotNull())
