@@ -6,14 +6,18 @@ signature of 64 minima, whose coordinates stand for shared tokens. From each of
 node of the tree samples two coordinates; a set goes to one child per coordinate, named by the path, the
 coordinate and the set's value there. A node with at most ``small`` sets is compared by brute force; a larger one
 splits on, unless it holds most of its parent's sets already (near copies, which no split parts) or is
-``depth`` deep. Large leaves are compared in pairs of blocks. Two sets of similarity 0.8 share a
+``depth`` deep. Two sets of similarity 0.8 share a
 child of a node with probability 0.96, and a leaf below a root with more than 0.94; roots are added until the
 recall expected over the minima in which such a pair agrees reaches ``recall``.
 
 Compared are signatures, with a slack of five deviations at least; sets that pass form candidate groups, in which
-every pair is checked exactly on full sets, in blocks. Links of similarity ``least`` or more form classes.
+every pair is checked exactly on full sets. Links of similarity ``least`` or more form classes.
 No pair is ever written: tasks return numbers of links and the least member reached.
 
+A leaf or group of several blocks moves each set once: its blocks become files of the shared folder, and the tasks that compare
+two blocks are sent their names only. Numbers of links in a large group still take a comparison of all its pairs, spread over
+all tasks.
+
 Null and empty texts have the empty set: they are copies of each other and link to nothing else. Rows without
 doc_id take part; a class that has no doc_id at all has no class_id.
 """
@@ -31,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import join_by_group, written
+from .files import opened, save
+from .tables import join_by_group, new_folder, unpacked, written
 from .textgrid import byte_array, mixed, slice_hashes, sliced, window_hashes, within, word_bounds
 
 MINIMA, WORDS = 64, 5
+RUN = 32  # pairs of blocks that a task compares with one first block
 
 
 @dataclass(frozen=True)
@@ -46,7 +52,7 @@ class Join:
     small: int = 200
     depth: int = 6
     same: float = 0.6
-    block: int = 256
+    block: int = 1024
     exact_block: int = 128
 
     def agreeing(self) -> np.ndarray:
@@ -177,16 +183,11 @@ def leaves(reps: DataFrame, n_reps: int, with_: Join) -> list[DataFrame]:
     return out
 
 
-def in_cells(rows: DataFrame, group: str, blocks: str) -> DataFrame:
-    """Rows dealt to pairs of blocks: ``cell`` names the pair, ``side`` is 0, 1 or (both blocks are one) 2.
-
-    A group of k blocks has k (k + 1) / 2 cells, and each of its rows goes to k of them.
-    """
-    own = F.pmod(F.xxhash64("rep"), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return rows.withColumn("cell", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side).drop("own", "other")
+def by_block(rows: DataFrame, group: str, payload: str) -> DataFrame:
+    """Rows in the order of their group's blocks: cell (names the block), grp, own (its number), blocks, rep and ``payload``."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own")
+    dealt = rows.select(F.col(group).alias("grp"), own, "blocks", "rep", payload)
+    return dealt.select(F.xxhash64("grp", "own").alias("cell"), "*").repartition("cell").sortWithinPartitions("cell")
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -206,10 +207,47 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+STORED = "grp long, own long, blocks long, file string"
+
+
+def stored(t: pa.Table, folder: str) -> list:
+    """The values of STORED for a block whose rep and payload now lie in a file."""
+    sink = pa.BufferOutputStream()
+    kept = t.select([t.column_names[-2], t.column_names[-1]])
+    with pa.ipc.new_stream(sink, kept.schema) as to:
+        to.write_table(kept)
+    return [t["grp"][0].as_py(), t["own"][0].as_py(), t["blocks"][0].as_py(), save(folder, ".block", [sink.getvalue().to_pybytes()])]
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(file, second) of all pairs of blocks of a group, a block with itself included; runs of them share their first."""
+    spark, n = blocks.sparkSession, blocks.agg(F.sum(F.col("blocks") - F.col("own"))).first()[0]
+    pairs = (blocks.withColumn("other", F.explode(F.sequence("own", F.col("blocks") - 1)))
+             .join(blocks.select("grp", F.col("own").alias("other"), F.col("file").alias("second")), ["grp", "other"]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RUN)
+    return pairs.repartition(parts, "grp", "own", F.floor(F.col("other") / RUN)).sortWithinPartitions("grp", "own", "other").select("file", "second")
+
+
+def paired_blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of each pair of blocks and their side: 0 or 1, or 2 if both blocks are one."""
+    fs, path = opened(folder)
+
+    def load(file: str) -> pa.Table:
+        with fs.open_input_stream(f"{path}/{file}") as stream:
+            return pa.ipc.open_stream(stream.read()).read_all()
+
+    name, first = None, None
+    for b in batches:
+        for file, other in zip(b.column("file").to_pylist(), b.column("second").to_pylist()):
+            if file != name:
+                name, first = file, load(file)
+            second = None if other == file else load(other)
+            yield (first, np.full(first.num_rows, 2)) if second is None else (pa.concat_tables([first, second]), np.repeat([0, 1], [first.num_rows, second.num_rows]))
+
+
 def allowed(side: np.ndarray) -> np.ndarray:
-    """Which pairs a cell is for: across its two blocks, or all of its one block."""
-    both = side == 2
-    return np.triu(both[:, None] & both[None, :] | (side[:, None] + side[None, :] == 1) & ~both[:, None] & ~both[None, :], 1)
+    """Which pairs are compared: across two blocks, or all of one block."""
+    return np.triu((side[:, None] == 2) | (side[:, None] != side[None, :]), 1)
 
 
 def least_reached(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
@@ -226,39 +264,56 @@ def least_reached(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return low
 
 
+def alike(t: pa.Table, side: np.ndarray, need: float) -> pa.RecordBatch:
+    """(a, b): rows whose signatures are alike, joined to the least one they reach."""
+    rep, sig = t["rep"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
+    agree = np.zeros((len(rep), len(rep)), np.uint8)
+    for c in range(MINIMA):
+        agree += sig[:, c, None] == sig[None, :, c]
+    near = np.triu(agree >= need, 1)
+    low = least_reached(rep, near)
+    use = low != rep
+    if len(side) and side[0] != 2:
+        # either block alone joins its members elsewhere; here one member speaks for what they join
+        use &= least_reached(rep, near & (side[:, None] == side[None, :])) == rep
+    return pa.RecordBatch.from_arrays([pa.array(rep[use]), pa.array(low[use])], ["a", "b"])
+
+
 def candidates(found: DataFrame, reps: DataFrame, with_: Join) -> DataFrame:
-    """(a, b): sets whose signatures are alike, joined to the least one they reach within a cell. A row per set and leaf, and few more."""
-    need = with_.need()
-    brief = reps.select("rep", "sig")
-    rows = found.withColumn("blocks", F.ceil(F.col("size") / with_.block)).join(brief, "rep")
-    cells = in_cells(rows, "node", "blocks").select("cell", "side", "rep", "sig")
+    """(a, b): sets whose signatures are alike, joined to the least one they reach within a leaf or two of its blocks. A row per set and leaf, and few more."""
+    need, folder = with_.need(), new_folder(found.sparkSession, "signature-blocks")
+    names = ["a", "b", "grp", "own", "blocks", "file"]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, files, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in links)]) for i in (0, 1))
+            none = [None] * len(a)
+            cols = [pa.array([*none, *(f[i] for f in files)], pa.string() if i == 3 else pa.int64()) for i in range(4)]
+            no_link = pa.nulls(len(files), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), no_link]), pa.concat_arrays([pa.array(b), no_link]), *cols], names)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, n = [], [], 0
         for t in by_cell(batches):
-            if t.num_rows < 2:
-                continue
-            rep, side = t["rep"].to_numpy(), t["side"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
-            alike = np.zeros((len(rep), len(rep)), np.uint8)
-            for c in range(MINIMA):
-                alike += sig[:, c, None] == sig[None, :, c]
-            near, same = np.triu(alike >= need, 1), side[:, None] == side[None, :]
-            low = least_reached(rep, near)
-            use = low != rep
-            if side[0] != 2:
-                # the cells of either block alone join its members; here one member speaks for what they join
-                use &= least_reached(rep, near & same) == rep
-            a.append(rep[use])
-            b.append(low[use])
-            n += int(use.sum())
-            if n > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long")
+            if t["blocks"][0].as_py() > 1:
+                files.append(stored(t, folder))
+            elif t.num_rows > 1:
+                links.append(alike(t, np.full(t.num_rows, 2), need))
+                n += links[-1].num_rows
+            if n + len(files) > 20_000:
+                yield flush()
+                links, files, n = [], [], 0
+        if links or files:
+            yield flush()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, side in paired_blocks(batches, folder):
+            yield alike(t, side, need)
+
+    rows = found.withColumn("blocks", F.ceil(F.col("size") / with_.block)).join(reps.select("rep", "sig"), "rep")
+    told = written(by_block(rows, "node", "sig").mapInArrow(local, "a long, b long, " + STORED), "alike-sets")
+    links, blocks = told.where("file is null").select("a", "b"), told.where("file is not null").select("grp", "own", "blocks", "file")
+    return links if blocks.isEmpty() else links.unionByName(block_pairs(blocks).mapInArrow(across, "a long, b long"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -277,12 +332,24 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def linked_sets(t: pa.Table, side: np.ndarray, least: float) -> pa.RecordBatch:
+    """(rep, links, low): numbers of exact links and the least set reached by them."""
+    rep, first = np.unique(t["rep"].to_numpy(), return_index=True)  # rows given twice count once
+    shingles = [np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"].take(pa.array(first))]
+    size, both = np.array([len(s) for s in shingles], np.float64), overlaps(shingles).astype(np.float64)
+    linked = both * (1 + least) >= least * (size[:, None] + size[None, :]) - 1e-6
+    linked &= allowed(side[first]) & (both > 0)
+    return pa.RecordBatch.from_arrays([pa.array(rep), pa.array((linked.sum(0) + linked.sum(1)).astype(np.int64)), pa.array(least_reached(rep, linked))], ["rep", "links", "low"])
+
+
 def verified(docs: DataFrame, members: DataFrame, with_: Join) -> DataFrame:
-    """(rep, links, low, blocks) per cell: numbers of exact links and the least set reached by them.
+    """(rep, links, low, blocks) per group or pair of blocks: numbers of exact links and the least set reached by them.
 
     ``members``: rep, row_key, set_key, grp, blocks of the sets in candidate groups.
     """
     texts = docs.select(row_key(docs), docs["text"].alias("text")).join(members, "row_key")
+    folder, least = new_folder(docs.sparkSession, "shingle-blocks"), with_.least
+    names = ["rep", "links", "low", "grp", "own", "blocks", "file"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -293,21 +360,26 @@ def verified(docs: DataFrame, members: DataFrame, with_: Join) -> DataFrame:
             made = pa.RecordBatch.from_arrays([b.column("rep"), b.column("grp"), b.column("blocks"), packed], ["rep", "grp", "blocks", "shingles"])
             yield made.filter(pa.array(own))
 
-    cells = in_cells(texts.select("text", "rep", "set_key", "grp", "blocks").mapInArrow(sets, "rep long, grp long, blocks long, shingles binary"), "grp", "blocks")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_cell(batches):
-            rep, first = np.unique(t["rep"].to_numpy(), return_index=True)  # rows given twice count once
-            t = t.take(pa.array(first))
-            shingles = [np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"]]
-            size, both = np.array([len(s) for s in shingles], np.float64), overlaps(shingles).astype(np.float64)
-            linked = both * (1 + with_.least) >= with_.least * (size[:, None] + size[None, :]) - 1e-6
-            linked &= allowed(t["side"].to_numpy()) & (both > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array((linked.sum(0) + linked.sum(1)).astype(np.int64)), pa.array(least_reached(rep, linked)),
-                                              t["blocks"].combine_chunks()], ["rep", "links", "low", "blocks"])
-
-    cells = cells.select("cell", "side", "rep", "blocks", "shingles").repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(work, "rep long, links long, low long, blocks long")
+            if t["blocks"][0].as_py() > 1:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, *(pa.array([x]) for x in stored(t, folder))], names)
+            else:
+                found = linked_sets(t, np.full(t.num_rows, 2), least)
+                none = pa.nulls(found.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*found.columns, none, none, pa.array(np.ones(found.num_rows, np.int64)), pa.nulls(found.num_rows, pa.string())], names)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, side in paired_blocks(batches, folder):
+            yield linked_sets(t, side, least)
+
+    rows = texts.select("text", "rep", "set_key", "grp", "blocks").mapInArrow(sets, "rep long, grp long, blocks long, shingles binary")
+    told = written(by_block(rows, "grp", "shingles").mapInArrow(local, "rep long, links long, low long, " + STORED), "verified")
+    links, blocks = told.where("file is null").select("rep", "links", "low", "blocks"), told.where("file is not null").select("grp", "own", "blocks", "file")
+    if blocks.isEmpty():
+        return links
+    wide = written(block_pairs(blocks).mapInArrow(across, "rep long, links long, low long"), "verified-blocks")
+    return links.unionByName(wide.withColumn("blocks", F.lit(2).cast("long")))
 
 
 def classes(docs: DataFrame, with_: Join = Join()) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +400,7 @@ def classes(docs: DataFrame, with_: Join = Join()) -> tuple[DataFrame, DataFrame
     heavy = members.groupBy("grp").agg(F.sum("n").alias("shingles"))
     blocks = written(sizes.join(heavy, "grp").select("grp", "size", F.greatest(F.ceil(F.col("size") / with_.exact_block), F.ceil(F.col("shingles") / 1_000_000)).alias("blocks")), "group-blocks")
     members = join_by_group(members.drop("size"), blocks, "grp", "size", groups.count()).select("rep", "row_key", "set_key", "grp", "blocks")
-    checked = written(verified(docs, written(members, "members"), with_), "verified")
+    checked = verified(docs, written(members, "members"), with_)
     links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"))
     spread = components(checked.where("blocks > 1 and low <> rep"), "rep", "low").select(F.col("node").alias("rep"), F.col("label").alias("wide"))
     local = checked.where("blocks = 1").select("rep", "low")
@@ -358,6 +430,7 @@ def distinct_by_similarity(docs: DataFrame, with_: Join = Join()) -> DataFrame:
     rows, sets = classes(docs, with_)
     keep = written(keepers(sets).select("row_key"), "kept-rows")
     twice = written(rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(keep, "row_key").select("row_key", F.lit(True).alias("again")), "rows-given-twice")
-    out = docs.withColumn("_row_key", row_key(docs)).join(keep.join(twice, "row_key", "left").select(F.col("row_key").alias("_row_key"), F.col("again").alias("_again")), "_row_key")
-    once = out.where("_again is null")
-    return once.unionByName(out.where("_again").dropDuplicates(["_row_key"])).select(*docs.columns)
+    rows_of = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs))
+    out = rows_of.join(keep.join(twice, "row_key", "left"), "row_key")
+    once = out.where("again is null").unionByName(out.where("again").dropDuplicates(["row_key"]))
+    return once.select(*unpacked(docs).values())

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from shelfcast.llm import jaccard
 from shelfcast.llm.components import components
 from shelfcast.llm.jaccard import Join, children, distinct_by_similarity, join_digest, signatures
 
@@ -59,6 +60,36 @@ def test_links_and_classes_equal_brute_force(spark, with_):
     assert got(frame, with_) == want
 
 
+def test_a_large_cluster_moves_each_set_once(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"x{i}"
+        texts.append(" ".join(own))
+    moved, real = [], jaccard.by_block
+
+    def counting(rows, group, payload):
+        moved.append((payload, rows.count(), rows.agg({"blocks": "max"}).first()[0]))
+        return real(rows, group, payload)
+
+    monkeypatch.setattr(jaccard, "by_block", counting)
+    frame = H.docs(spark, texts).repartition(3)
+    with_ = Join(block=32, exact_block=16)
+    assert got(frame, with_) == brute(list(enumerate(texts)))
+    (_, n_leaf_rows, leaf_blocks), (_, n_sets, set_blocks) = moved
+    assert n_sets == 260 and set_blocks == 17 and leaf_blocks > 4 and n_leaf_rows <= 260 * 2 * with_.roots()
+
+
+def test_columns_of_any_name_stay(spark):
+    frame = H.docs(spark, near_copies(5, 4, 8)).selectExpr("doc_id", "text", "1 AS _row_key", "2 AS again", "3 AS row_key", "4 AS `row`", "5 AS `class`")
+    out = distinct_by_similarity(frame)
+    assert out.schema.names == frame.schema.names and set(tuple(r)[2:] for r in out.collect()) == {(1, 2, 3, 4, 5)}
+    assert out.count() == len({w[1] for w in brute([(r["doc_id"], r["text"]) for r in frame.collect()])})
+
+
 def test_hard_rows(spark):
     frame = H.with_odd_rows(spark, H.docs(spark, [*H.texts(), *near_copies(3, 3, 6), "a b c", "a  b\nc", "a b c d", "one"]))
     assert got(frame) == brute([(r["doc_id"], r["text"]) for r in frame.collect()])
