@@ -267,9 +267,11 @@ def least_reached(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
 def alike(t: pa.Table, side: np.ndarray, need: float) -> pa.RecordBatch:
     """(a, b): rows whose signatures are alike, joined to the least one they reach."""
     rep, sig = t["rep"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
-    agree = np.zeros((len(rep), len(rep)), np.uint8)
-    for c in range(MINIMA):
-        agree += sig[:, c, None] == sig[None, :, c]
+    agree, minima = np.zeros((len(rep), len(rep)), np.uint8), np.ascontiguousarray(sig.T)
+    for lo in range(0, len(rep), 64):  # a strip of the upper triangle, small enough for the cache
+        strip = agree[lo:lo + 64, lo:]
+        for own in minima:
+            strip += own[lo:lo + 64, None] == own[None, lo:]
     near = np.triu(agree >= need, 1)
     low = least_reached(rep, near)
     use = low != rep
