@@ -297,6 +297,14 @@ class Pairs:
                    packed(narrow(self.second_ids[a:z])), packed(narrow(self.counts[a:z])), packed(narrow(self.totals[self.second[a:z]])))
 
 
+def pair_keys(first: np.ndarray, second: np.ndarray, limit: int) -> np.ndarray:
+    """A number per pair of ids below ``limit``, equal only for equal pairs: the ids side by side or, if they are too wide, their ranks here."""
+    if limit < 1 << 32:
+        return (first << np.uint64(32)) | second
+    ids, rank = np.unique(second, return_inverse=True)
+    return np.unique(first, return_inverse=True)[1].astype(np.uint64) * np.uint64(len(ids)) + rank.astype(np.uint64)
+
+
 SUMS = 2 + MOST  # per context: mass of seen words' unigrams, numbers of pairs by count up to MOST, tokens of the others
 
 
@@ -313,8 +321,7 @@ def paired(shards: DataFrame, words: DataFrame, folder: str, plan: Plan) -> Data
         cols = [[unpacked(x.as_py()) for x in t[c]] for c in ("firsts", "seconds", "spread", "sizes", "counts", "worth")]
         firsts, seconds, away, sizes, counts, worth = (np.concatenate(c) for c in cols)
         firsts, first = firsts.astype(np.uint64), np.repeat(firsts.astype(np.uint64), sizes)
-        small = (plan.buckets + 1) << plan.index_bits < 1 << 32
-        pair = (first << np.uint64(32)) | seconds.astype(np.uint64) if small else mixed(mixed(first) + seconds.astype(np.uint64))
+        pair = pair_keys(first, seconds.astype(np.uint64), (plan.buckets + 1) << plan.index_bits)
         _, some, at = np.unique(pair, return_index=True, return_inverse=True)
         totals = np.bincount(at, counts.astype(np.float64), len(some)).astype(np.int64)
         seen = totals > 0

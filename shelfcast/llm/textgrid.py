@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21  # hashed at once; a longer text goes block after block, with the same hashes
 BASE = 0x9E3779B97F4A7C15 | 5  # odd and 5 modulo 8: its powers differ late
 
 
@@ -111,13 +112,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The value of each data[start:end] as a polynomial in BASE; starts and ends ascend.
+
+    Arrays of eight bytes a byte are as long as a block: longer data goes block after block, and a slice
+    that lies in several adds up its parts.
+    """
+    if len(data) <= BLOCK_BYTES:
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(kept("byte values", byte_values)[data] * up[:len(data)], out=total[1:])
+        return (total[ends] - total[starts]) * down[starts]
+    out = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(data), BLOCK_BYTES):
+        hi = min(lo + BLOCK_BYTES, len(data))
+        a, z = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left"))
+        part = polynomials(data[lo:hi], np.maximum(starts[a:z], lo) - lo, np.minimum(ends[a:z], hi) - lo)
+        for i in range(int(np.searchsorted(starts[a:z], lo, "left"))):  # begun in an earlier block
+            part[i:i + 1] *= np.uint64(pow(BASE, int(lo - starts[a + i]), 1 << 64))
+        out[a:z] += part
+    return out
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(kept("byte values", byte_values)[data] * up[:len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    """A 64-bit hash of each data[start:end]; starts and ends ascend."""
+    return mixed(polynomials(data, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

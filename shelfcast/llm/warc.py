@@ -1,7 +1,8 @@
 """WARC archives with a Zstandard dictionary.
 
 Every archive file opens with a skippable frame that holds a dictionary built from the records of that
-same file; each record is a frame of its own, compressed with it. Of records with equal payloads of at
+same file; each record is a frame of its own, compressed with it. The dictionary learns from records evenly spread
+over the file, of each at most the first 128 KiB; all records are written whole. Of records with equal payloads of at
 least 100 bytes the one with the smallest page_id is the response, the others revisit it and carry no
 payload.
 

@@ -99,6 +99,23 @@ def test_discounts_are_shares(of):
     assert len(d) == MOST + 1 and ((d > 0) & (d <= 1)).all()
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 1 << 50])
+def test_keys_of_pairs_are_exact(limit):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, limit, 40, np.uint64)
+    first, second = rng.choice(ids, 3000), rng.choice(ids, 3000)
+    keys = katz.pair_keys(first, second, limit)
+    assert len(set(keys.tolist())) == len(set(zip(first.tolist(), second.tolist()))) == len(set(zip(keys.tolist(), first.tolist(), second.tolist())))
+    assert len(katz.pair_keys(first[:0], second[:0], limit)) == 0
+
+
+def test_ids_beyond_32_bits_give_the_same_model(spark, monkeypatch):
+    wide = katz.Plan
+    monkeypatch.setattr(katz, "Plan", lambda buckets, bits, unigrams, docs: wide(buckets, bits + 32, unigrams, docs))
+    frame = H.docs(spark, sample(20)).repartition(3)
+    check([(r["doc_id"], r["text"]) for r in frame.collect()], katz_digest(frame).collect())
+
+
 def test_packing_of_arrays():
     for x in (np.arange(1000, dtype=np.uint64) ** 3, np.zeros(0, np.uint32), np.array([1.5, -2])):
         assert unpacked(packed(x)).tolist() == x.tolist() and unpacked(packed(x)).dtype == x.dtype
