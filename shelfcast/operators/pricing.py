@@ -85,12 +85,16 @@ def _gathered(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _moments_of(series: DataFrame, moments) -> DataFrame:
-    """(category, sku_id, moments(row)) of every series that sold anything, many series per hand-over."""
+    """(category, sku_id, moments) of the series that sold anything, added up per SKU within each batch of series."""
     def work(batches):
         for pdf in batches:
-            sold = [row for row in pdf.itertuples(index=False) if np.sum(row.y) > 0]
-            yield pd.DataFrame({"category": [r.category for r in sold], "sku_id": [r.sku_id for r in sold],
-                                "moments": [moments(r) for r in sold]})
+            sums: dict[tuple, np.ndarray] = {}
+            for row in pdf.itertuples(index=False):
+                if np.sum(row.y) > 0:
+                    key, own = (row.category, row.sku_id), moments(row)
+                    sums[key] = sums[key] + own if key in sums else own
+            yield pd.DataFrame({"category": [c for c, _ in sums], "sku_id": [s for _, s in sums],
+                                "moments": list(sums.values())})
 
     return series.mapInPandas(work, _MOMENTS)
 
