@@ -100,9 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, with_: Ftrl = Ftrl(), label: str =
             yield pa.RecordBatch.from_arrays([b.column("place"), b.column("y"), pa.array([x.tobytes() for x in own], pa.binary())], ["place", "y", "at"])
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("place", "ascending"), ("at", "ascending")])
-        rows = [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table["at"]]
-        left, w, bias = fit_sparse(rows, table["y"].to_numpy(), with_)
+        order = pc.sort_indices(table, sort_keys=[("place", "ascending"), ("at", "ascending")]).to_numpy()
+        at = table["at"]
+        rows = [np.frombuffer(at[i].as_buffer(), np.int32) for i in order.tolist()]  # views: the sample is held once
+        left, w, bias = fit_sparse(rows, table["y"].to_numpy()[order], with_)
         return pa.table({"left": [left.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]})
 
     # repeated rows give equal ones, of which a task sends one
