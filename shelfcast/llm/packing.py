@@ -6,8 +6,7 @@ each length's documents go to the smallest gaps that hold them (a gap takes as m
 fit), and since equal documents contend for equal gaps, the k-th of them gets the k-th gap: a conflict is
 settled by rank. Then the gaps shrink and the next round begins. A round takes lengths down to half of
 the longest left (once that is 8 or less, all that are left), so shorter ones see the gaps that longer ones leave. What
-fits nowhere opens sequences: one for each document over half a sequence, else as many as the left tokens fill. The
-longest length left halves from round to round, so a few dozen rounds do for any number of documents.
+fits nowhere opens sequences: one for each document over half a sequence, else as many as the left tokens fill.
 
 Only the numbers of documents and of gaps per length (1024 at most each) and the matched ranges of ranks
 are known to the driver; documents and gaps meet in Spark, joined by room and rank.
