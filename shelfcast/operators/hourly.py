@@ -9,13 +9,15 @@ from shelfcast.functions import arrays as A
 from shelfcast.functions.metrics import stable_mean
 from shelfcast.functions.quantiles import exact_median
 from shelfcast.schemas import OPEN_HOURS, PANEL_KEY, PROFILE_LEVELS
-from shelfcast.session import cut_lineage
+from shelfcast.session import cut_lineage, partitions_for
 from shelfcast.sources.tables import concat_splits
 
 MIN_SHARE = 0.15
 MIN_SHARE_FEATURE = 0.05
 MIN_DAYS = 5
 PROFILE_KEY = ["store_id", "product_id", "third_category_id"]
+# Rows that a task orders to meet their profiles: about 70 MB.
+ROWS = 100_000
 
 
 def orientation(panel: DataFrame) -> DataFrame:
@@ -76,8 +78,16 @@ def profile_table(panel: DataFrame, fit: Column, min_days: int = MIN_DAYS) -> Da
     written once, since it is read five times: the coarser levels are rolled up from it, and the fallbacks series -> store category -> category -> all are resolved there
     too, never on panel rows. Also carries the series' own totals and the overall daily mean.
     """
+    return _profiles(_hour_sums(panel, fit), min_days)
+
+
+def _hour_sums(panel: DataFrame, fit: Column) -> DataFrame:
+    """All rows, fit days and the fit days' sales by hour, per series."""
     hours = [F.coalesce(F.sum(F.when(fit, _hour("hours_sale", h))), F.lit(0.0)).alias(f"h{h}") for h in range(24)]
-    base = cut_lineage(panel.groupBy(*PROFILE_KEY).agg(F.count(F.when(fit, 1)).alias("days"), *hours))
+    return cut_lineage(panel.groupBy(*PROFILE_KEY).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(fit, 1)).alias("days"), *hours))
+
+
+def _profiles(base: DataFrame, min_days: int) -> DataFrame:
     names = [f"h{h}" for h in range(24)]
     day_total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
 
@@ -112,7 +122,8 @@ def with_profile(panel: DataFrame, fit: Column, level_fit: Column | None = None,
     ``level`` is the series' mean daily sales over its fit days, without the row's own day, or the
     overall mean where nothing else is left.
     """
-    table = profile_table(panel, fit, min_days)
+    sums = _hour_sums(panel, fit)
+    table = _profiles(sums, min_days)
     if level_fit is not None:
         own = profile_table(panel, level_fit, min_days).select(*PROFILE_KEY, "series_sales", "series_days", "mean_all")
         table = table.drop("series_sales", "series_days", "mean_all").join(own, PROFILE_KEY)
@@ -120,7 +131,9 @@ def with_profile(panel: DataFrame, fit: Column, level_fit: Column | None = None,
     observed = A.total("hours_sale")
     left_sales = F.col("series_sales") - F.when(counts, observed).otherwise(0.0)
     left_days = F.col("series_days") - F.when(counts, 1).otherwise(0)
-    return (panel.join(table, PROFILE_KEY)
+    # lists pack well, so partitions cut by their bytes alone would hold very many rows
+    parts = partitions_for(panel.sparkSession, sums.agg(F.sum("rows")).first()[0] or 0, ROWS)
+    return (panel.repartition(parts, *PROFILE_KEY).join(table, PROFILE_KEY)
             .withColumn("observed", observed)
             .withColumn("level", F.when(left_days > 0, F.try_divide(left_sales, left_days.cast("double")))
                         .otherwise(F.col("mean_all")))

@@ -14,7 +14,7 @@ from shelfcast.operators.booster import MODEL, BoosterModel, BoosterParams, Boos
 from shelfcast.operators.hourly import (MIN_DAYS, profile_recover, recover_by_profile, recovery_features,
                                         with_profile)
 from shelfcast.schemas import PANEL_KEY
-from shelfcast.session import cut_lineage
+from shelfcast.session import stored
 
 INPUTS = ["observed", "share_in", "profile_est", "level", "oos_hours", "first_oos_hour", "last_oos_hour", "dow",
           "discount", "holiday_flag", "activity_flag", "avg_temperature", "precpt", "third_category_id"]
@@ -82,7 +82,7 @@ def recover_folds(panel: DataFrame, cutoffs: list[int], seed: int = 42, with_mod
         out = out.unionByName(part)
     if not with_model:
         return out.drop(MODEL), None
-    out = cut_lineage(out)  # read for clean days, donors and scoring
+    out = stored(out, "recovery-folds")  # read for clean days, donors and scoring
     clean, known = A.is_clean("hours_stock_status"), F.col("day") <= F.col("cutoff_day")
     samples = None
     for k in range(len(cutoffs)):
@@ -126,7 +126,7 @@ def validate_recovery(panel: DataFrame, cutoff: int, holdout_share: float = 0.2,
     """
     clean = A.is_clean("hours_stock_status")
     known, hold = F.col("day") <= cutoff, held_out(holdout_share, seed)
-    rows = cut_lineage(with_profile(panel, clean & known & ~hold, clean & known, min_days))
+    rows = stored(with_profile(panel, clean & known & ~hold, clean & known, min_days), "recovery-validation")
     tests = masked_days(rows.where(clean & known & hold), rows.where(~clean & known), seed + 1)
     left = F.col("x_observed")
     values = {"observed (no recovery)": left,

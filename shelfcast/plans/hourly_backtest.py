@@ -13,7 +13,7 @@ from shelfcast.operators import recovery as R
 from shelfcast.operators.booster import MODEL, BoosterParams
 from shelfcast.operators.hourly import MIN_DAYS, sale_groups
 from shelfcast.schemas import HOURLY_HORIZON, HOURLY_LAGS, PANEL_KEY, TARGETS
-from shelfcast.session import cut_lineage
+from shelfcast.session import cut_lineage, stored
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def run_backtest(panel: DataFrame, last_day: int, settings: HourlySettings = Hou
     for c in cutoffs:
         fold = sale_groups(recovered.where(F.col("cutoff_day") == c), c)
         grouped = fold if grouped is None else grouped.unionByName(fold)
-    grouped = cut_lineage(grouped.withColumn("recovered_truth", F.col("rec_model" if s.with_model else "rec_profile")))
+    grouped = stored(grouped.withColumn("recovered_truth", F.col("rec_model" if s.with_model else "rec_profile")), "walk-forward-rows")
     targets = [t for t in TARGETS if t in grouped.columns]
     cutoff = F.col("cutoff_day")
     # labels after the cutoff are never trained on
@@ -54,12 +54,12 @@ def run_backtest(panel: DataFrame, last_day: int, settings: HourlySettings = Hou
 
     number = of({c: k for k, c in enumerate(cutoffs)})[cutoff] * len(targets) + of({t: k for k, t in enumerate(targets)})[F.col("target")]
     own = F.coalesce(*[F.when(F.col("target") == t, F.col(t)) for t in targets])
-    frame = cut_lineage(frame.withColumns({MODEL: number, "own_truth": own, "in_stock": A.is_clean("hours_stock_status")})
-                        .drop("hours_sale", "hours_stock_status"))
+    frame = stored(frame.withColumns({MODEL: number, "own_truth": own, "in_stock": A.is_clean("hours_stock_status")})
+                        .drop("hours_sale", "hours_stock_status"), "walk-forward-frame")
     pred, _ = HF.fit_predict_many(frame, MODEL, len(cutoffs) * len(targets), cutoff, list(s.lags), s.horizon, s.forecaster, s.known_lag)
-    predictions = cut_lineage(pred.select(
+    predictions = stored(pred.select(
         "cutoff_day", "target", of(TARGETS)[F.col("target")].alias("training_target"), *PANEL_KEY, "day", "observed", "recovered_truth",
-        "rec_profile", "in_stock", "sale_group", "own_truth", "pred"))
+        "rec_profile", "in_stock", "sale_group", "own_truth", "pred"), "walk-forward-predictions")
     learned = HF.own_target_ratio(predictions, ["cutoff_day", "target"])
     scales = cut_lineage(learned.withColumn("cutoff_day", cutoff + week).where(cutoff <= cutoffs[-1]))
     variants = HF.with_calibration(predictions.where(cutoff > cutoffs[0]), scales)

@@ -52,6 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is read several times, as parquet in the shared folder: readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Partitions of at most about ``per_task`` rows, one per core at least: a task's memory doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
 _WRITTEN: dict[tuple[str, str, str, str], str] = {}
 
 
