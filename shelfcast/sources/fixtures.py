@@ -15,11 +15,13 @@ from shelfcast.operators.features import add_sibling_promo, build_features
 from shelfcast.operators.quality import apply_rules
 from shelfcast.operators.segments import classify_demand
 from shelfcast.schemas import KEYS, fold_origins
-from shelfcast.session import state_of, written_once
+from shelfcast.session import partitions_for, state_of, written_once
 
 # The order in which lines of one key arrive; together these columns order them totally.
 ARRIVAL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
            "l_returnflag", "l_linestatus"]
+# Lines that a task joins and orders before it drops duplicates: about 430 MB.
+LINES = 1_000_000
 YEARS = range(1995, 2003)
 HOLIDAYS = {**{f"{y}-11-11": 1.35 for y in YEARS}, **{f"{y}-12-12": 1.25 for y in YEARS},
             **{f"{y}-12-25": 1.4 for y in YEARS}}
@@ -53,7 +55,9 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("l_suppkey", F.col("n_name").alias("store_id")))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("sku_id"),
                                                 "p_retailprice")
-    return (lines.join(sites, "l_suppkey").join(parts, "l_partkey")
+    # the join's own exchange, with a number of partitions that grows with the lines
+    placed = lines.join(sites, "l_suppkey").repartition(partitions_for(spark, lines.count(), LINES), "l_partkey")
+    return (placed.join(parts, "l_partkey")
             .withColumn("discount_pct", promo)
             .select("store_id", "sku_id", "date",
                     F.when(returned, -quantity).otherwise(demand).alias("units_sold"),

@@ -103,3 +103,16 @@ def test_rewritten_sources_are_seen(spark, tmp_path):
         spark.range(n).write.mode("overwrite").parquet(f"{source}/t.parquet")
         got = written_once(spark, source, "t", lambda: spark.read.parquet(f"{source}/t.parquet"))
         assert got.count() == n
+
+
+def test_partitions_of_lines_grow_with_their_number(spark, tmp_path, monkeypatch):
+    day, d = dt.datetime(2024, 1, 1), str(tmp_path)
+    lines = [(i, i % 7, i % 3, 1, 10.0, 0.05, 0.01, "N", "O", day + dt.timedelta(days=i % 5)) for i in range(45)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double,"
+                                 " l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k, 0) for k in range(3)], "s_suppkey long, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(k, "SMALL", 9.0) for k in range(7)], "p_partkey long, p_type string, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{d}/nation.parquet")
+    monkeypatch.setattr(X, "LINES", 5)
+    sales = X.daily_sales(spark, d)
+    assert sales.rdd.getNumPartitions() == 9 and sales.count() == 45
