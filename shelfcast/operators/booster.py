@@ -463,7 +463,8 @@ def _write_blocks(prepared: DataFrame, forests: list[Forest], folder: str) -> Da
         if held:
             yield flush()
 
-    prepared.mapInArrow(work, "block string").write.parquet(f"{folder}/blocks")
+    # a name per file, so that a pass deals the blocks evenly to its tasks
+    prepared.mapInArrow(work, "block string").write.option("maxRecordsPerFile", 1).parquet(f"{folder}/blocks")
     return prepared.sparkSession.read.parquet(f"{folder}/blocks")
 
 

@@ -165,3 +165,15 @@ def test_clashing_names_and_a_prediction_named_like_an_input(spark):
     model = fit_booster(df, ["x", "g"], "y", ["k"], params=PLAIN)
     out = model.transform(df)
     assert out.columns == [*df.columns, "prediction"] and out.count() == 100
+
+
+def test_blocks_of_one_task_are_dealt_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    rows = spark.range(500).select(F.lit(0).alias(B.MODEL), F.lit(1.0).alias("y__"), F.col("id").alias("key__"), F.col("id").cast("double").alias("i0")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        blocks = B._write_blocks(rows, [B.Forest(["x"], {"x": np.array([250.0])}, {}, 0.0, 0.2)], str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert blocks.count() == len(blocks.inputFiles()) == 5
+    assert sum(len(B.load_block(str(tmp_path), r[0])[1]) for r in blocks.collect()) == 500
